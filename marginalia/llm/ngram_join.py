@@ -25,7 +25,8 @@ from .components import components
 GROUPS = 128  # coordinates of a point
 RANGES = 1024  # of token space; more where there are many shuffle partitions
 COUNTED = 0.4  # share of the order in which frequencies are counted; the first quarter is what is read without frequent shingles
-FREQUENT, MOST_FREQUENT = 64, 1 << 20  # classes from which a shingle counts as frequent; entries of that list at most
+FREQUENT, COMMON, MOST_FREQUENT = 2, 32, 1 << 21  # classes from which a shingle counts as frequent, and as common; entries of that list at most
+STARS_FROM = 32  # members of a block from which it is first cut down to stars
 LEAF, FANOUT, SMALL = 16, 8, 12  # points of a leaf, nodes of a node, points up to which a block is compared without a tree
 TILE = 2048  # members of a block that one task compares; larger blocks are dealt out by pairs of tiles
 BITMAP_BITS = 1 << 22  # of the list of classes in blocks, as a filter; false hits only cost time
@@ -70,16 +71,18 @@ def by_range(doc_ids: np.ndarray, sets: list[np.ndarray], ranges: int, wide: boo
     return pa.RecordBatch.from_arrays([pa.array(which), ragged(bounds, tokens), owners], ["range_id", "tokens", "owners"])
 
 
-def ordered_prefix(s: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
-    """The first shingles of a sorted set, frequent ones last: as many as no set that reaches the similarity can miss."""
+def ordered_prefix(s: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], percent: int) -> np.ndarray:
+    """The first shingles of a sorted set, frequent ones after the others and common ones last: as many as no set that reaches the similarity can miss."""
     k = prefix_length(len(s), percent)
-    if not len(frequent):
+    known, common = frequent
+    if not len(known):
         return s[:k]
     high = (s >> np.uint64(32)).astype(np.uint32)
-    hot = frequent[np.minimum(np.searchsorted(frequent, high), len(frequent) - 1)] == high
-    if not hot[:k].any():
+    at = np.minimum(np.searchsorted(known, high), len(known) - 1)
+    level = np.where(known[at] == high, np.int8(1) + common[at], np.int8(0))
+    if not level[:k].any():
         return s[:k]
-    return np.concatenate([s[~hot], s[hot]])[:k]
+    return s[np.argsort(level, kind="stable")[:k]]
 
 
 def _emitter(ranges, select, wide, flush=1_500_000):
@@ -142,8 +145,8 @@ def _frequencies(batches):
     yield pa.RecordBatch.from_arrays([pa.nulls(len(keys), pa.int64()), pa.nulls(len(keys), pa.int64()), keys, pa.array(records["n"])], ["token", "classes", "words_key", "n"])
 
 
-def frequent_tokens(counted: DataFrame) -> np.ndarray:
-    """The high halves of the shingles of most classes, sorted; never more than MOST_FREQUENT of them."""
+def frequent_tokens(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The high halves of the shingles of most classes, sorted, and whether they are common; never more than MOST_FREQUENT of them."""
     counted = counted.where("token is not null")
     levels = counted.groupBy(F.floor(F.log2("classes")).cast("int").alias("level")).count().collect()  # a row for each power of two
     at, total = int(math.log2(FREQUENT)), sum(r["count"] for r in levels)
@@ -151,8 +154,10 @@ def frequent_tokens(counted: DataFrame) -> np.ndarray:
         if total <= MOST_FREQUENT:
             break
         total, at = total - r["count"], r["level"] + 1
-    rows = counted.where(F.col("classes") >= 2**at).select("token").toArrow()
-    return np.sort(rows.column(0).to_numpy().astype(np.uint32))
+    rows = counted.where(F.col("classes") >= 2**at).select("token", (F.col("classes") >= COMMON).alias("common")).toArrow()
+    tokens, common = rows.column(0).to_numpy().astype(np.uint32), rows.column(1).to_numpy().astype(np.int8)
+    order = np.argsort(tokens)
+    return tokens[order], common[order]
 
 
 # Blocks
@@ -191,6 +196,19 @@ def _bitmap(members: DataFrame) -> np.ndarray:
     return out
 
 
+def packed_counts(s: np.ndarray) -> bytes:
+    """The counts of a set's shingles over the groups, in the fewest bytes that hold the largest."""
+    c = np.bincount((s >> np.uint64(57)).astype(np.int64), minlength=GROUPS)
+    return c.astype(np.uint8 if c.max() < 1 << 8 else np.uint16 if c.max() < 1 << 16 else np.uint32).tobytes()
+
+
+def points_of(counts: list[bytes]) -> np.ndarray:
+    kinds = {GROUPS: np.uint8, 2 * GROUPS: np.uint16, 4 * GROUPS: np.uint32}
+    if all(len(c) == GROUPS for c in counts):
+        return np.frombuffer(b"".join(counts), np.uint8).reshape(-1, GROUPS).astype(np.int32)
+    return np.stack([np.frombuffer(c, kinds[len(c)]) for c in counts]).astype(np.int32)
+
+
 def _features(bitmap):
     """(doc_id, text) of classes in blocks -> (member, n, counts, tokens)."""
 
@@ -200,7 +218,7 @@ def _features(bitmap):
             hit = bitmap.value[slot // 64] >> (slot % 64).astype(np.uint64) & np.uint64(1)
             for piece, texts in text_pieces(batch.filter(pa.array(hit.astype(bool)))):
                 sets = [shingles(t) for t in texts]
-                counts = [np.bincount((s >> np.uint64(57)).astype(np.int64), minlength=GROUPS).astype(np.uint32).tobytes() for s in sets]
+                counts = [packed_counts(s) for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [piece.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(counts, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["member", "n", "counts", "tokens"]
                 )
@@ -212,60 +230,57 @@ def _features(bitmap):
 
 
 class CountTree:
-    """An R-tree over count vectors, packed: points in order of size and then of their heaviest coordinates."""
+    """An R-tree over count vectors, packed: points in order of size and then of their most varied coordinates."""
 
-    def __init__(self, points: np.ndarray, sizes: np.ndarray):
+    def __init__(self, points: np.ndarray, sizes: np.ndarray, labels: np.ndarray | None = None):
+        labels = np.arange(len(sizes)) if labels is None else labels
         self.order = np.lexsort((*(points[:, k] for k in np.argsort(points.var(axis=0))[-3:]), sizes))
-        self.points, self.sizes = points[self.order], sizes[self.order]
-        self.levels = []  # (largest coordinates, least and largest size) of each node, leaves first
-        high, low_n, high_n, step = self.points, self.sizes, self.sizes, LEAF
-        while len(high) > 1:
-            at = np.arange(0, len(high), step)
-            high, low_n, high_n = np.maximum.reduceat(high, at), np.minimum.reduceat(low_n, at), np.maximum.reduceat(high_n, at)
-            self.levels.append((high, low_n, high_n))
-            step = FANOUT
-
-    def search(self, point: np.ndarray, size: int, percent: int) -> np.ndarray:
-        """Indexes (as given) of all points whose bound reaches the overlap that the sizes need."""
-
-        def reach(high, low_n, high_n):
-            # of all sizes in a node the least that can link to this one needs the smallest overlap
-            least = np.maximum(low_n, -(-percent * size // 100))
-            fits = (least <= high_n) & (100 * size >= percent * low_n)
-            return fits & (np.minimum(high, point).sum(axis=1) >= need(size, least, percent))
-
-        nodes, fan = np.arange(len(self.levels[-1][0])) if self.levels else None, FANOUT
+        # Of each node the largest coordinates, the least and largest size, the least and largest label; points come first.
+        level = (points[self.order], sizes[self.order], sizes[self.order], labels[self.order], labels[self.order])
+        self.levels, self.fans = [level], []
+        while len(level[0]) > 1:
+            fan = FANOUT if self.fans else LEAF
+            at = np.arange(0, len(level[0]), fan)
+            level = tuple(f.reduceat(x, at) for f, x in zip((np.maximum, np.minimum, np.maximum, np.minimum, np.maximum), level))
+            self.levels.append(level)
+            self.fans.append(fan)
+
+    def pairs(self, percent: int) -> np.ndarray:
+        """The index pairs (as given, i < j) of points of different labels whose bounds reach the overlap that their sizes need; the tree is joined with itself from the root down."""
+        i = j = np.zeros(1, np.int64)
         for depth in range(len(self.levels) - 1, -1, -1):
-            high, low_n, high_n = self.levels[depth]
-            nodes = nodes[reach(high[nodes], low_n[nodes], high_n[nodes])]
-            fan, below = (FANOUT, len(self.levels[depth - 1][0])) if depth else (LEAF, len(self.points))
-            nodes = (nodes[:, None] * fan + np.arange(fan)).ravel()
-            nodes = nodes[nodes < below]
-        if nodes is None:
-            nodes = np.arange(len(self.points))
-        n = self.sizes[nodes]
-        return self.order[nodes[reach(self.points[nodes], n, n)]]
-
-
-def block_pairs(points, sizes, labels, percent, tile_a=None, tile_b=None):
+            keep = np.concatenate([self._reach(depth, i[k : k + 8192], j[k : k + 8192], percent) for k in range(0, len(i), 8192)] or [np.empty(0, bool)])
+            i, j = i[keep], j[keep]
+            if depth:
+                fan, n = self.fans[depth - 1], len(self.levels[depth - 1][0])
+                step = np.arange(fan)
+                i, j = np.broadcast_arrays((i[:, None] * fan + step)[:, :, None], (j[:, None] * fan + step)[:, None, :])
+                i, j = i.ravel(), j.ravel()
+                inside = (i < n) & (j < n) & (i <= j)
+                i, j = i[inside], j[inside]
+        i, j = self.order[i], self.order[j]
+        return np.stack([np.minimum(i, j), np.maximum(i, j)], axis=1)
+
+    def _reach(self, depth, i, j, percent):
+        high, low_n, high_n, low, top = self.levels[depth]
+        # Sizes of two nodes that can link: the least of either that is large enough for the least of the other.
+        least_i = np.maximum(low_n[i], -(-percent * low_n[j] // 100))
+        least_j = np.maximum(low_n[j], -(-percent * low_n[i] // 100))
+        out = (least_i <= high_n[i]) & (least_j <= high_n[j]) & ((low[i] != top[i]) | (low[j] != top[j]) | (low[i] != low[j]))
+        at = np.flatnonzero(out)
+        out[at] = np.minimum(high[i[at]], high[j[at]]).sum(axis=1) >= need(least_i[at], least_j[at], percent)
+        return out
+
+
+def block_pairs(points, sizes, labels, percent, tile=None, same=True):
     """Index pairs (i < j) of a block that the bounds leave, labels apart; with tiles only pairs between the two."""
-    out = []
     if len(sizes) <= SMALL:
         i, j = np.triu_indices(len(sizes), 1)
-        keep = (100 * np.minimum(sizes[i], sizes[j]) >= percent * np.maximum(sizes[i], sizes[j])) & (np.minimum(points[i], points[j]).sum(axis=1) >= need(sizes[i], sizes[j], percent))
+        keep = (labels[i] != labels[j]) & (100 * np.minimum(sizes[i], sizes[j]) >= percent * np.maximum(sizes[i], sizes[j])) & (np.minimum(points[i], points[j]).sum(axis=1) >= need(sizes[i], sizes[j], percent))
         pairs = np.stack([i[keep], j[keep]], axis=1)
     else:
-        tree = CountTree(points, sizes)
-        for k in range(len(sizes)):
-            found = tree.search(points[k], int(sizes[k]), percent)
-            found = found[(found > k) & (labels[found] != labels[k])]
-            out.append(np.stack([np.full(len(found), k), found], axis=1))
-        pairs = np.concatenate(out)
-    i, j = pairs[:, 0], pairs[:, 1]
-    keep = labels[i] != labels[j]
-    if tile_a is not None:
-        keep &= (tile_a[i] != tile_a[j]) | tile_b
-    return pairs[keep]
+        pairs = CountTree(points, sizes, labels).pairs(percent)
+    return pairs if same else pairs[tile[pairs[:, 0]] != tile[pairs[:, 1]]]
 
 
 def _join_blocks(percent):
@@ -278,7 +293,7 @@ def _join_blocks(percent):
         for s, e in zip(first, [*first[1:], len(key)]):
             if e - s < 2 or (rows["label"][s:e] == rows["label"][s]).all():
                 continue
-            points = np.frombuffer(b"".join(rows["counts"][s:e]), np.uint32).reshape(-1, GROUPS).astype(np.int64)
+            points = points_of(rows["counts"][s:e])
             pairs = block_pairs(points, rows["n"][s:e], rows["label"][s:e], percent, rows["own"][s:e], key[s, 1] == key[s, 2]) + s
             m = rows["member"]
             out.append(np.stack([np.maximum(m[pairs[:, 0]], m[pairs[:, 1]]), np.minimum(m[pairs[:, 0]], m[pairs[:, 1]])], axis=1))
@@ -305,6 +320,19 @@ def _join_blocks(percent):
     return run
 
 
+def _bounded(percent):
+    """The pairs whose sizes and counts allow the similarity."""
+
+    def run(batches):
+        for batch in batches:
+            n, m = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            x, y = points_of(batch.column(4).to_pylist()), points_of(batch.column(5).to_pylist())
+            keep = pa.array((100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (np.minimum(x, y).sum(axis=1) >= need(n, m, percent)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
+
+    return run
+
+
 def _checked(percent):
     def run(batches):
         for batch in batches:
@@ -365,14 +393,17 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     # A text that another partition holds too stood there for its class; from here on the smallest doc_id does.
     members = raw.join(keyed.withColumnRenamed("doc_id", "member"), "member").join(classes, "words_key").select("block", F.col("rep").alias("member")).distinct()
     members = cut(members)
-    blocks = members.groupBy("block").agg(F.min("member").alias("leader"), F.max("member").alias("last")).where("leader < last")
+    blocks = members.groupBy("block").agg(F.min("member").alias("leader"), F.max("member").alias("last"), F.count("*").alias("size")).where("leader < last")
 
     bitmap = spark.sparkContext.broadcast(_bitmap(members.join(blocks, "block", "left_semi")))
     features = cut(known.mapInArrow(_features(bitmap), "member long, n long, counts binary, tokens binary"))
 
-    # Most members of a large group of near copies link to the first of them; such stars are one label each.
-    stars = members.join(blocks, "block").where("member > leader").groupBy("member").agg(F.min("leader").alias("leader"))
-    stars = cut(checked_links(stars.select(F.col("member").alias("a"), F.col("leader").alias("b")), features, percent))
+    # Most members of a large group of near copies link to its first; those that do get its label, and only different labels are compared.
+    points = features.select("member", "n", "counts")
+    firsts = members.join(blocks.where(F.col("size") >= STARS_FROM), "block").where("member > leader").groupBy("member").agg(F.min("leader").alias("leader"))
+    leaders = points.select(F.col("member").alias("leader"), F.col("n").alias("n_b"), F.col("counts").alias("counts_b"))
+    stars = firsts.join(points, "member").join(leaders, "leader").select(F.col("member").alias("a"), F.col("leader").alias("b"), "n", "n_b", "counts", "counts_b")
+    stars = cut(checked_links(stars.mapInArrow(_bounded(percent), "a long, b long"), features, percent))
     labelled = members.join(stars.select(F.col("a").alias("member"), F.col("b").alias("label")), "member", "left").select("block", "member", F.coalesce("label", "member").alias("label"))
     open_blocks = labelled.groupBy("block").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")).where("low < high").select("block", "size")
     tiles = F.ceil(F.col("size") / TILE).cast("int")
@@ -381,7 +412,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
         .withColumn("own", F.pmod(F.xxhash64("member"), tiles).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
         .select("block", F.least("own", "other").alias("tile_a"), F.greatest("own", "other").alias("tile_b"), "own", "member", "label")
-        .join(features.select("member", "n", "counts"), "member")
+        .join(points, "member")
         .repartition(parts, "block", "tile_a", "tile_b")
         .sortWithinPartitions("block", "tile_a", "tile_b")
     )

@@ -71,6 +71,7 @@ def test_against_all_pairs(spark, monkeypatch):
 def test_against_all_pairs_with_small_tiles_and_lists(spark, monkeypatch):
     rows = texts(5)
     monkeypatch.setattr(nj, "TILE", 16)
+    monkeypatch.setattr(nj, "STARS_FROM", 3)
     got, _ = run(spark, rows, percent=60)
     assert got == brute(rows, 60)
 
@@ -88,14 +89,16 @@ def test_empty_table_extra_columns_null_and_repeated_ids(spark):
     assert out == [(1, 2, 1), (1, 2, 1), (None, None, None)]
 
 
-def test_tree_finds_all_that_the_bound_allows():
+def test_tree_join_finds_all_that_the_bounds_allow():
     rng = np.random.default_rng(0)
-    points = rng.poisson(3, (300, 16)).astype(np.int64)
-    sizes = points.sum(axis=1)
-    tree = nj.CountTree(points, sizes)
-    for k in range(0, 300, 17):
-        want = [j for j in range(300) if np.minimum(points[k], points[j]).sum() >= nj.need(sizes[k], sizes[j], 75) and 100 * min(sizes[k], sizes[j]) >= 75 * max(sizes[k], sizes[j])]
-        assert sorted(tree.search(points[k], int(sizes[k]), 75)) == want
+    for n in (1, 2, 17, 300):
+        points = rng.poisson(rng.choice([2, 3, 5], (n, 1)), (n, 16)).astype(np.int64)
+        sizes, labels = points.sum(axis=1), rng.integers(0, max(1, n // 3), n)
+        want = {
+            (i, j) for i in range(n) for j in range(i + 1, n)
+            if labels[i] != labels[j] and 100 * min(sizes[i], sizes[j]) >= 75 * max(sizes[i], sizes[j]) and np.minimum(points[i], points[j]).sum() >= nj.need(sizes[i], sizes[j], 75)
+        }
+        assert {tuple(p) for p in nj.CountTree(points, sizes, labels).pairs(75).tolist()} == want
 
 
 def test_components(spark):
