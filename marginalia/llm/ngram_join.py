@@ -25,11 +25,11 @@ from .components import components
 GROUPS = 128  # coordinates of a point
 RANGES = 1024  # of token space; more where there are many shuffle partitions
 COUNTED = 0.4  # share of the order in which frequencies are counted; the first quarter is what is read without frequent shingles
-FREQUENT, COMMON, MOST_FREQUENT = 2, 32, 1 << 21  # classes from which a shingle counts as frequent, and as common; entries of that list at most
+FREQUENT, COMMON, MOST_FREQUENT = 2, 32, 1 << 22  # classes from which a shingle counts as frequent, and as common; entries of that list at most
 STARS_FROM = 32  # members of a block from which it is first cut down to stars
 LEAF, FANOUT, SMALL = 16, 8, 12  # points of a leaf, nodes of a node, points up to which a block is compared without a tree
 TILE = 2048  # members of a block that one task compares; larger blocks are dealt out by pairs of tiles
-BITMAP_BITS = 1 << 22  # of the list of classes in blocks, as a filter; false hits only cost time
+BITMAP_BITS, MOST_BITMAP_BITS = 1 << 22, 1 << 26  # of a list of ids as a filter, by their number; false hits only cost time
 
 
 def need(na, nb, percent):
@@ -85,10 +85,11 @@ def ordered_prefix(s: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], perce
     return s[np.argsort(level, kind="stable")[:k]]
 
 
-def _emitter(ranges, select, wide, flush=1_500_000):
+def _emitter(ranges, select, wide, flush=600_000):
     """Text rows (doc_id, text) -> rows of by_range, for one text of each class in the partition.
 
-    select maps a set to the tokens that go out. Narrow rows hold keys and set sizes of classes in place of owners.
+    select maps the id and set of a text to the tokens that go out. Narrow rows hold keys and set sizes of classes
+    in place of owners.
     """
 
     def packed(ids, keys, sizes, sets):
@@ -113,7 +114,7 @@ def _emitter(ranges, select, wide, flush=1_500_000):
                         continue
                     seen.add(key)
                     full = np.unique(shingle_stream(words))
-                    s = select(full)
+                    s = select(doc_id, full)
                     ids.append(doc_id)
                     keys.append(key)
                     sizes.append(len(full))
@@ -188,12 +189,25 @@ def _blocks(batches):
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(keys[i : i + 20_000], n).astype(np.int64)), pa.array(owners[at])], ["block", "member"])
 
 
-def _bitmap(members: DataFrame) -> np.ndarray:
-    slot = f"pmod(member, {BITMAP_BITS}L)"
-    words = members.groupBy(F.expr(f"cast({slot} div 64 as int) AS word")).agg(F.expr(f"bit_or(shiftleft(1L, cast({slot} % 64 as int))) AS bits")).toArrow()
-    out = np.zeros(BITMAP_BITS // 64, np.uint64)
-    out[words.column(0).to_numpy()] = words.column(1).to_numpy().astype(np.uint64)
-    return out
+class Bitmap:
+    """A set of ids that may also hold others."""
+
+    def __init__(self, ids: DataFrame):
+        """ids: one long column."""
+        ids = ids.toDF("id")
+        self.bits = min(MOST_BITMAP_BITS, max(BITMAP_BITS, 1 << (32 * ids.count()).bit_length()))
+        slot = f"pmod(id, {self.bits}L)"
+        words = ids.groupBy(F.expr(f"cast({slot} div 64 as int) AS word")).agg(F.expr(f"bit_or(shiftleft(1L, cast({slot} % 64 as int))) AS bits")).toArrow()  # at most a word for 64 bits
+        self.words = np.zeros(self.bits // 64, np.uint64)
+        self.words[words.column(0).to_numpy()] = words.column(1).to_numpy().astype(np.uint64)
+
+    def __contains__(self, i: int) -> bool:
+        slot = i % self.bits
+        return bool(int(self.words[slot // 64]) >> slot % 64 & 1)
+
+    def has(self, ids: np.ndarray) -> np.ndarray:
+        slot = np.mod(ids, self.bits)
+        return (self.words[slot // 64] >> (slot % 64).astype(np.uint64) & np.uint64(1)).astype(bool)
 
 
 def packed_counts(s: np.ndarray) -> bytes:
@@ -214,9 +228,8 @@ def _features(bitmap):
 
     def run(batches):
         for batch in batches:
-            slot = np.mod(batch.column(0).to_numpy(), BITMAP_BITS)
-            hit = bitmap.value[slot // 64] >> (slot % 64).astype(np.uint64) & np.uint64(1)
-            for piece, texts in text_pieces(batch.filter(pa.array(hit.astype(bool)))):
+            hit = bitmap.value.has(batch.column(0).to_numpy())
+            for piece, texts in text_pieces(batch.filter(pa.array(hit))):
                 sets = [shingles(t) for t in texts]
                 counts = [packed_counts(s) for s in sets]
                 yield pa.RecordBatch.from_arrays(
@@ -382,20 +395,25 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     keyed = cut(known.mapInArrow(_classes, "doc_id long, words_key binary"))
     space = np.uint64(int(COUNTED * 2**64))
     emitted = "range_id int, tokens binary, owners binary"
-    narrow = known.mapInArrow(_emitter(ranges, lambda s: s[: np.searchsorted(s, space)], False), emitted).repartitionById(parts, F.pmod("range_id", F.lit(parts)))
+    smallest = cut(keyed.where("words_key is not null").groupBy("words_key").agg(F.min("doc_id").alias("rep")))
+    copies = Bitmap(keyed.join(smallest, "words_key").where("doc_id <> rep").select("doc_id"))
+    copies = spark.sparkContext.broadcast(copies)
+    nothing = np.empty(0, np.uint64)
+    # Copies don't make a shingle frequent; a text that is taken for one by mistake is only missing in the order.
+    narrow = known.mapInArrow(_emitter(ranges, lambda i, s: nothing if i in copies.value else s[: np.searchsorted(s, space)], False), emitted).repartitionById(parts, F.pmod("range_id", F.lit(parts)))
     counted = cut(narrow.mapInArrow(_frequencies, "token long, classes long, words_key binary, n long"))
     sizes = counted.where("words_key is not null").select("words_key", "n").distinct()
-    classes = cut(keyed.where("words_key is not null").groupBy("words_key").agg(F.min("doc_id").alias("rep")).join(sizes, "words_key"))
+    classes = cut(smallest.join(sizes, "words_key"))
 
     frequent = spark.sparkContext.broadcast(frequent_tokens(counted))
-    wide = known.mapInArrow(_emitter(ranges, lambda s: ordered_prefix(s, frequent.value, percent), True), emitted).repartitionById(parts, F.pmod("range_id", F.lit(parts)))
+    wide = known.mapInArrow(_emitter(ranges, lambda _, s: ordered_prefix(s, frequent.value, percent), True), emitted).repartitionById(parts, F.pmod("range_id", F.lit(parts)))
     raw = wide.mapInArrow(_blocks, "block long, member long").distinct()
     # A text that another partition holds too stood there for its class; from here on the smallest doc_id does.
     members = raw.join(keyed.withColumnRenamed("doc_id", "member"), "member").join(classes, "words_key").select("block", F.col("rep").alias("member")).distinct()
     members = cut(members)
     blocks = members.groupBy("block").agg(F.min("member").alias("leader"), F.max("member").alias("last"), F.count("*").alias("size")).where("leader < last")
 
-    bitmap = spark.sparkContext.broadcast(_bitmap(members.join(blocks, "block", "left_semi")))
+    bitmap = spark.sparkContext.broadcast(Bitmap(members.join(blocks, "block", "left_semi").select("member").distinct()))
     features = cut(known.mapInArrow(_features(bitmap), "member long, n long, counts binary, tokens binary"))
 
     # Most members of a large group of near copies link to its first; those that do get its label, and only different labels are compared.
