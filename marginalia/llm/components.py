@@ -58,6 +58,8 @@ def components(links: DataFrame) -> DataFrame:
     """
     links = links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b")
     edges = cut(links.mapInArrow(_forests, "a long, b long"))  # a > b
+    if edges.isEmpty():
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     before = None
     while True:
         both = edges.union(edges.select("b", "a"))

@@ -22,11 +22,10 @@ from pyspark.sql import functions as F
 from .common import MIX_A, ascii_words, cut, mix, ragged, shingle_stream, shingles, shuffle_partitions, text_pieces
 from .components import components
 
-GROUPS = 128  # coordinates of a point
+GROUPS, FINE = 128, 512  # coordinates of a point in the tree, and of the finer point that surviving pairs are bounded by
 RANGES = 1024  # of token space; more where there are many shuffle partitions
 COUNTED = 0.4  # share of the order in which frequencies are counted; the first quarter is what is read without frequent shingles
 FREQUENT, COMMON, MOST_FREQUENT = 2, 32, 1 << 22  # classes from which a shingle counts as frequent, and as common; entries of that list at most
-STARS_FROM = 32  # members of a block from which it is first cut down to stars
 LEAF, FANOUT, SMALL = 16, 8, 12  # points of a leaf, nodes of a node, points up to which a block is compared without a tree
 TILE = 2048  # members of a block that one task compares; larger blocks are dealt out by pairs of tiles
 BITMAP_BITS, MOST_BITMAP_BITS = 1 << 22, 1 << 26  # of a list of ids as a filter, by their number; false hits only cost time
@@ -211,15 +210,15 @@ class Bitmap:
 
 
 def packed_counts(s: np.ndarray) -> bytes:
-    """The counts of a set's shingles over the groups, in the fewest bytes that hold the largest."""
-    c = np.bincount((s >> np.uint64(57)).astype(np.int64), minlength=GROUPS)
+    """The counts of a set's shingles over the fine groups, in the fewest bytes that hold the largest."""
+    c = np.bincount((s >> np.uint64(55)).astype(np.int64), minlength=FINE)
     return c.astype(np.uint8 if c.max() < 1 << 8 else np.uint16 if c.max() < 1 << 16 else np.uint32).tobytes()
 
 
 def points_of(counts: list[bytes]) -> np.ndarray:
-    kinds = {GROUPS: np.uint8, 2 * GROUPS: np.uint16, 4 * GROUPS: np.uint32}
-    if all(len(c) == GROUPS for c in counts):
-        return np.frombuffer(b"".join(counts), np.uint8).reshape(-1, GROUPS).astype(np.int32)
+    kinds = {FINE: np.uint8, 2 * FINE: np.uint16, 4 * FINE: np.uint32}
+    if all(len(c) == FINE for c in counts):
+        return np.frombuffer(b"".join(counts), np.uint8).reshape(-1, FINE)
     return np.stack([np.frombuffer(c, kinds[len(c)]) for c in counts]).astype(np.int32)
 
 
@@ -285,19 +284,46 @@ class CountTree:
         return out
 
 
-def block_pairs(points, sizes, labels, percent, tile=None, same=True):
+def block_pairs(fine, sizes, labels, percent, tile=None, same=True):
     """Index pairs (i < j) of a block that the bounds leave, labels apart; with tiles only pairs between the two."""
     if len(sizes) <= SMALL:
         i, j = np.triu_indices(len(sizes), 1)
-        keep = (labels[i] != labels[j]) & (100 * np.minimum(sizes[i], sizes[j]) >= percent * np.maximum(sizes[i], sizes[j])) & (np.minimum(points[i], points[j]).sum(axis=1) >= need(sizes[i], sizes[j], percent))
+        keep = (labels[i] != labels[j]) & (100 * np.minimum(sizes[i], sizes[j]) >= percent * np.maximum(sizes[i], sizes[j]))
         pairs = np.stack([i[keep], j[keep]], axis=1)
     else:
+        points = fine.reshape(len(fine), GROUPS, -1).sum(axis=2, dtype=np.int32)
         pairs = CountTree(points, sizes, labels).pairs(percent)
-    return pairs if same else pairs[tile[pairs[:, 0]] != tile[pairs[:, 1]]]
-
-
-def _join_blocks(percent):
-    """Rows sorted by (block, tile_a, tile_b): member, label, own tile, n, counts -> candidate links (a, b), a > b."""
+    if not same:
+        pairs = pairs[tile[pairs[:, 0]] != tile[pairs[:, 1]]]
+    least = need(sizes[pairs[:, 0]], sizes[pairs[:, 1]], percent)
+    keep = [np.minimum(fine[pairs[k : k + 8192, 0]], fine[pairs[k : k + 8192, 1]]).sum(axis=1, dtype=np.int64) >= least[k : k + 8192] for k in range(0, len(pairs), 8192)]
+    return pairs[np.concatenate(keep)] if keep else pairs
+
+
+def star_cover(pairs: np.ndarray, n: int) -> np.ndarray:
+    """Of the pairs no more than two for each node: stars around the nodes of most pairs, and a pair from each star's centre to an earlier star."""
+    if len(pairs) < 2:
+        return pairs
+    both = np.concatenate([pairs, pairs[:, ::-1]])
+    both = both[np.argsort(both[:, 0], kind="stable")]
+    first = np.searchsorted(both[:, 0], np.arange(n + 1))
+    centre = np.full(n, -1)
+    out = []
+    for x in np.argsort(-np.diff(first), kind="stable"):
+        near = both[first[x] : first[x + 1], 1]
+        if centre[x] >= 0 or not len(near):
+            continue
+        free = near[centre[near] < 0]
+        centre[x] = x
+        centre[free] = x
+        out += [(x, y) for y in free]
+        if len(free) < len(near):
+            out.append((x, near[centre[near] != x][0]))
+    return np.sort(np.array(out, np.int64), axis=1)
+
+
+def _join_blocks(percent, cover):
+    """Rows sorted by (block, tile_a, tile_b): member, label, own tile, n, counts -> candidate links (a, b), a > b; with cover only stars of them."""
 
     def solve(rows):
         out = []
@@ -306,8 +332,8 @@ def _join_blocks(percent):
         for s, e in zip(first, [*first[1:], len(key)]):
             if e - s < 2 or (rows["label"][s:e] == rows["label"][s]).all():
                 continue
-            points = points_of(rows["counts"][s:e])
-            pairs = block_pairs(points, rows["n"][s:e], rows["label"][s:e], percent, rows["own"][s:e], key[s, 1] == key[s, 2]) + s
+            pairs = block_pairs(points_of(rows["counts"][s:e]), rows["n"][s:e], rows["label"][s:e], percent, rows["own"][s:e], key[s, 1] == key[s, 2])
+            pairs = (star_cover(pairs, e - s) if cover else pairs) + s
             m = rows["member"]
             out.append(np.stack([np.maximum(m[pairs[:, 0]], m[pairs[:, 1]]), np.minimum(m[pairs[:, 0]], m[pairs[:, 1]])], axis=1))
         pairs = np.unique(np.concatenate(out), axis=0) if out else np.empty((0, 2), np.int64)
@@ -333,19 +359,6 @@ def _join_blocks(percent):
     return run
 
 
-def _bounded(percent):
-    """The pairs whose sizes and counts allow the similarity."""
-
-    def run(batches):
-        for batch in batches:
-            n, m = batch.column(2).to_numpy(), batch.column(3).to_numpy()
-            x, y = points_of(batch.column(4).to_pylist()), points_of(batch.column(5).to_pylist())
-            keep = pa.array((100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (np.minimum(x, y).sum(axis=1) >= need(n, m, percent)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
-
-    return run
-
-
 def _checked(percent):
     def run(batches):
         for batch in batches:
@@ -411,34 +424,39 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     # A text that another partition holds too stood there for its class; from here on the smallest doc_id does.
     members = raw.join(keyed.withColumnRenamed("doc_id", "member"), "member").join(classes, "words_key").select("block", F.col("rep").alias("member")).distinct()
     members = cut(members)
-    blocks = members.groupBy("block").agg(F.min("member").alias("leader"), F.max("member").alias("last"), F.count("*").alias("size")).where("leader < last")
+    blocks = members.groupBy("block").agg(F.min("member").alias("low"), F.max("member").alias("high")).where("low < high")
 
     bitmap = spark.sparkContext.broadcast(Bitmap(members.join(blocks, "block", "left_semi").select("member").distinct()))
     features = cut(known.mapInArrow(_features(bitmap), "member long, n long, counts binary, tokens binary"))
 
-    # Most members of a large group of near copies link to its first; those that do get its label, and only different labels are compared.
     points = features.select("member", "n", "counts")
-    firsts = members.join(blocks.where(F.col("size") >= STARS_FROM), "block").where("member > leader").groupBy("member").agg(F.min("leader").alias("leader"))
-    leaders = points.select(F.col("member").alias("leader"), F.col("n").alias("n_b"), F.col("counts").alias("counts_b"))
-    stars = firsts.join(points, "member").join(leaders, "leader").select(F.col("member").alias("a"), F.col("leader").alias("b"), "n", "n_b", "counts", "counts_b")
-    stars = cut(checked_links(stars.mapInArrow(_bounded(percent), "a long, b long"), features, percent))
-    labelled = members.join(stars.select(F.col("a").alias("member"), F.col("b").alias("label")), "member", "left").select("block", "member", F.coalesce("label", "member").alias("label"))
-    open_blocks = labelled.groupBy("block").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")).where("low < high").select("block", "size")
-    tiles = F.ceil(F.col("size") / TILE).cast("int")
-    dealt = (
-        labelled.join(open_blocks, "block")
-        .withColumn("own", F.pmod(F.xxhash64("member"), tiles).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
-        .select("block", F.least("own", "other").alias("tile_a"), F.greatest("own", "other").alias("tile_b"), "own", "member", "label")
-        .join(points, "member")
-        .repartition(parts, "block", "tile_a", "tile_b")
-        .sortWithinPartitions("block", "tile_a", "tile_b")
-    )
-    pairs = cut(dealt.mapInArrow(_join_blocks(percent), "a long, b long").distinct())
-    links = checked_links(pairs, features, percent).union(stars)
-    found = components(links)
 
-    by_class = classes.join(found, classes["rep"] == found["node"], "left").select("words_key", "n", F.coalesce("component", "rep").alias("component"))
+    def candidates(labelled: DataFrame, cover: bool) -> DataFrame:
+        """labelled (block, member, label) -> the pairs of members with different labels that the bounds leave, or stars of them."""
+        mixed = labelled.groupBy("block").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")).where("low < high").select("block", "size")
+        tiles = F.ceil(F.col("size") / TILE).cast("int")
+        dealt = (
+            labelled.join(mixed, "block")
+            .withColumn("own", F.pmod(F.xxhash64("member"), tiles).cast("int"))
+            .withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
+            .select("block", F.least("own", "other").alias("tile_a"), F.greatest("own", "other").alias("tile_b"), "own", "member", "label")
+            .join(points, "member")
+            .repartition(parts, "block", "tile_a", "tile_b")
+            .sortWithinPartitions("block", "tile_a", "tile_b")
+        )
+        return dealt.mapInArrow(_join_blocks(percent, cover), "a long, b long").distinct()
+
+    # First a few pairs of each block, enough to connect most of a group of near copies; then all pairs of what is still apart.
+    stars = checked_links(cut(candidates(members.withColumn("label", F.col("member")), True)), features, percent)
+    joined = cut(components(stars).withColumnsRenamed({"node": "member", "component": "label"}))
+    labelled = cut(members.join(joined, "member", "left").select("block", "member", F.coalesce("label", "member").alias("label")))
+    links = checked_links(cut(candidates(labelled, False)), features, percent)
+    named = lambda c: joined.select(F.col("member").alias(c), F.col("label").alias(f"{c}_label"))
+    links = links.join(named("a"), "a", "left").join(named("b"), "b", "left").select(F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b"))
+    groups = components(links)
+
+    found = classes.join(joined, F.col("rep") == F.col("member"), "left").select("words_key", "n", F.coalesce("label", "rep").alias("label"))
+    by_class = found.join(groups, F.col("label") == F.col("node"), "left").select("words_key", "n", F.coalesce("component", "label").alias("component"))
     out = keyed.join(by_class, "words_key", "left").select(
         "doc_id", F.when(F.col("words_key").isNull(), F.lit(0).cast("long")).otherwise(F.col("n")).alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")
     )

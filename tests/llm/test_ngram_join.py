@@ -71,7 +71,6 @@ def test_against_all_pairs(spark, monkeypatch):
 def test_against_all_pairs_with_small_tiles_and_lists(spark, monkeypatch):
     rows = texts(5)
     monkeypatch.setattr(nj, "TILE", 16)
-    monkeypatch.setattr(nj, "STARS_FROM", 3)
     got, _ = run(spark, rows, percent=60)
     assert got == brute(rows, 60)
 
