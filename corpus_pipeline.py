@@ -20,7 +20,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     def verdict():
         return lambda texts: langid.nearest(texts, shared.value)[1] >= LEAST_LANGUAGE
 
-    return keep_rows(docs, verdict)
+    return keep_rows(docs, "language", verdict)
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +31,7 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     def verdict():
         return lambda texts: [shared.value.score(t) >= 0.5 for t in texts]
 
-    return keep_rows(docs, verdict)
+    return keep_rows(docs, "quality", verdict)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHE_WORDS, text_pieces
+from .common import CACHE_WORDS, claim, keeps, text_pieces
 
 #: The pre-tokenizer's pattern, with its white space spelt out (fixed values of the byte-level vocabulary).
 SPACE = r"\t-\r \x85\xa0  -     　"
@@ -85,7 +85,7 @@ class Automaton:
         self.born = array("i", [never] * size)  # the merge that makes a token; bytes come before all
         self.left = array("i", [-1] * size)  # the u of its merge
         self.parent, self.lost, self.made = array("i", [-1]), array("i", [-1]), array("i", [-1])
-        self.known: dict[int, bool] = {}
+        self.known: dict[int, bool] = keeps("bpe", {})
         for b in v.bytes.tolist():
             self.to[b], self.born[b] = 0, -1
         for rank, (a, b, ab) in enumerate(v.merges):
@@ -169,7 +169,7 @@ class Encoder:
 
     def __init__(self, path: str):
         self.v, self.a = vocabulary(path), automaton(path)
-        self.words: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = keeps("bpe", {})
 
     def encode(self, text: str) -> np.ndarray:
         words = self.v.split(text)
@@ -233,6 +233,7 @@ def round_trips(docs: DataFrame, path: str | None = None) -> DataFrame:
     path = path or default_vocabulary()
 
     def run(batches):
+        claim("bpe")
         e = encoder(path)
         names = list(map(str, range(len(e.v.labels)))).__getitem__
         for batch in batches:

@@ -54,6 +54,27 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+_kept: dict[str, list] = {}
+_owner = [""]
+
+
+def keeps(owner: str, cache):
+    """Registers what an operator keeps in its worker between tasks; it has clear()."""
+    _kept.setdefault(owner, []).append(cache)
+    return cache
+
+
+def claim(owner: str) -> None:
+    """To be called as a task begins: what other operators have kept in this worker goes, so that stages don't add up."""
+    if _owner[0] != owner:
+        for name, caches in _kept.items():
+            if name != owner:
+                for cache in caches:
+                    cache.clear()
+        _owner[0] = owner
+    pa.default_memory_pool().release_unused()
+
+
 class WordHashes(dict):
     """word -> 64-bit hash, the same in every process."""
 
@@ -69,7 +90,7 @@ class WordHashes(dict):
 
 
 #: A reused Python worker keeps it between tasks.
-WORD_HASHES = WordHashes()
+WORD_HASHES = keeps("words", WordHashes())
 
 #: Words of a shingle.
 SHINGLE_WORDS = 5
@@ -99,7 +120,10 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(shingle_stream(ascii_words(text)))
 
 
-def text_pieces(batch: pa.RecordBatch, column: str = "text", rows: int = 512) -> Iterator[tuple[pa.RecordBatch, list]]:
+PIECE_ROWS = 256
+
+
+def text_pieces(batch: pa.RecordBatch, column: str = "text", rows: int = PIECE_ROWS) -> Iterator[tuple[pa.RecordBatch, list]]:
     """Slices of an Arrow batch with their texts as Python strings, so that few texts are held twice."""
     at = batch.schema.get_field_index(column)
     for start in range(0, batch.num_rows, rows):
@@ -118,10 +142,11 @@ def ragged(bounds: np.ndarray, data: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
 
 
-def keep_rows(df: DataFrame, verdict) -> DataFrame:
+def keep_rows(df: DataFrame, owner: str, verdict) -> DataFrame:
     """The rows of df, all columns, for whose text verdict() is true; verdict() takes texts and returns booleans and runs on executors."""
 
     def run(batches):
+        claim(owner)
         test = verdict()
         for batch in batches:
             kept = [k for _, texts in text_pieces(batch) for k in test(texts)]

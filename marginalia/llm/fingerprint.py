@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, shingles, shuffle_partitions, text_pieces
+from .common import claim, shingles, shuffle_partitions, text_pieces
 
 K = 128  # hashes of a sketch; the standard error of a likeness of one half is about 0.044
 SPACE = float(2**64)
@@ -108,6 +108,7 @@ def _with_next(k):
     def run(batches):
         names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+        claim("words")
         last, rows = None, []  # (doc_id, text, sketch, slice, whether it is only there to follow)
         for batch in batches:
             slices, extra = batch.column("slice").to_pylist(), batch.column("extra").to_pylist()

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_pieces
+from .common import PIECE_ROWS, claim, keeps, text_pieces
 
 DIMENSIONS, N = 1024, 3
 SEED = 20_240_501
@@ -86,7 +86,7 @@ class Grams:
 
 @lru_cache(1)
 def grams() -> Grams:
-    return Grams()
+    return keeps("language", Grams())
 
 
 def bundles(texts: list[str | None]) -> np.ndarray:
@@ -110,11 +110,12 @@ def bundles(texts: list[str | None]) -> np.ndarray:
 
 
 def _sums(batches):
+    claim("language")
     sums: dict[str, np.ndarray] = {}
     for batch in batches:
         langs = batch.column("lang").to_pylist()
         for k, (_, texts) in enumerate(text_pieces(batch)):
-            for lang, v in zip(langs[k * 512 : k * 512 + len(texts)], bundles(texts)):
+            for lang, v in zip(langs[k * PIECE_ROWS : k * PIECE_ROWS + len(texts)], bundles(texts)):
                 sums[lang] = sums.get(lang, 0) + v.astype(np.float64)
     if sums:
         yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([v.tobytes() for v in sums.values()])], ["lang", "sum"])
@@ -144,6 +145,7 @@ def predict(docs: DataFrame, profiles: dict[str, np.ndarray], id_col: str = "doc
     shared = docs.sparkSession.sparkContext.broadcast(matrix(profiles))
 
     def run(batches):
+        claim("language")
         for batch in batches:
             for piece, texts in text_pieces(batch):
                 langs, score = nearest(texts, shared.value)

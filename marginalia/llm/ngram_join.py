@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MIX_A, ascii_words, cut, mix, ragged, shingle_stream, shingles, shuffle_partitions, text_pieces
+from .common import MIX_A, ascii_words, claim, cut, mix, ragged, shingle_stream, shingles, shuffle_partitions, text_pieces
 from .components import components
 
 GROUPS, FINE = 128, 512  # coordinates of a point in the tree, and of the finer point that surviving pairs are bounded by
@@ -48,6 +48,7 @@ def words_key(words: list[bytes]) -> bytes | None:
 
 
 def _classes(batches):
+    claim("words")
     for batch in batches:
         for piece, texts in text_pieces(batch):
             yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([words_key(ascii_words(t)) for t in texts], pa.binary())], ["doc_id", "words_key"])
@@ -103,6 +104,7 @@ def _emitter(ranges, select, wide, flush=600_000):
         return pa.RecordBatch.from_arrays([*first, ragged(bounds, record)], ["range_id", "tokens", "owners"])
 
     def run(batches):
+        claim("words")
         seen, ids, keys, sizes, sets, held = set(), [], [], [], [], 0
         for batch in batches:
             for piece, texts in text_pieces(batch):
@@ -135,6 +137,7 @@ def _gather(batches, column, dtype):
 
 def _frequencies(batches):
     """Rows of narrow emitters -> the tokens of many classes, and the class keys with their set sizes."""
+    claim("blocks")
     batches = list(batches)
     tokens, n = np.unique(_gather(batches, 1, np.uint32), return_counts=True)
     keep = n >= FREQUENT
@@ -165,6 +168,7 @@ def frequent_tokens(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 def _blocks(batches):
     """All rows of some token ranges -> (block, member): each set of two or more classes that share a token, once."""
+    claim("blocks")
     batches = list(batches)
     tokens, owners = _gather(batches, 1, np.uint64), _gather(batches, 2, np.int64)
     del batches
@@ -344,6 +348,7 @@ def _join_blocks(percent, cover):
         return {"key": np.stack([c("block"), c("tile_a"), c("tile_b")], axis=1), "own": c("own"), "member": c("member"), "label": c("label"), "n": c("n"), "counts": table.column("counts").to_pylist()}
 
     def run(batches):
+        claim("blocks")
         held = None
         for batch in batches:
             t = pa.Table.from_batches([batch])

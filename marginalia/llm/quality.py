@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHE_WORDS, GOLD, MIX_A, mix, text_pieces
+from .common import CACHE_WORDS, GOLD, MIX_A, claim, keeps, mix, text_pieces
 
 SAMPLE_PER_CLASS = 3000  # labelled rows of each class that the model is fitted to, about; all if there are fewer
 LEAST_TEXTS = 3  # of the sample that an n-gram of the model is in
@@ -41,13 +41,13 @@ class _Hashes(dict):
         self.make = of
 
     def __missing__(self, word):
-        if len(self) >= CACHE_WORDS // 2:
+        if len(self) >= CACHE_WORDS // 4:
             self.clear()
         value = self[word] = _hash(self.make(word))
         return value
 
 
-_words, _shapes = _Hashes(str.lower), _Hashes(shape)
+_words, _shapes = keeps("quality", _Hashes(str.lower)), keeps("quality", _Hashes(shape))
 
 
 def features(text: str | None) -> np.ndarray:
@@ -177,6 +177,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
+        claim("quality")
         m = shared.value
         for batch in batches:
             for piece, texts in text_pieces(batch):

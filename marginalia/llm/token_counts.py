@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import default_vocabulary, vocabulary
-from .common import CACHE_WORDS, text_pieces
+from .common import CACHE_WORDS, claim, keeps, text_pieces
 
 NONE = np.int32(2**31 - 1)
 
@@ -100,7 +100,7 @@ class Counter:
     def __init__(self, path: str):
         self.v = vocabulary(path)
         self.pairs = PairRanks(self.v.merges)
-        self.known: dict[str, int] = {}
+        self.known: dict[str, int] = keeps("tokens", {})
 
     def counts(self, texts: list[str | None]) -> list[int]:
         split = [self.v.split(t) if t else [] for t in texts]
@@ -129,6 +129,7 @@ def token_counts(docs: DataFrame, limit: int = 512, path: str | None = None, id_
     path = path or default_vocabulary()
 
     def run(batches):
+        claim("tokens")
         c = counter(path)
         for batch in batches:
             for piece, texts in text_pieces(batch):
