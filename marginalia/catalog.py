@@ -1,4 +1,7 @@
 """All queries by name, with the SQL that gives the same rows."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from .plans import search, text
+
+_PLANS = (text, search)
+QUERIES: dict = {name: f for plan in _PLANS for name, f in plan.QUERIES.items()}
+ORACLE_SQL: dict = {name: sql for plan in _PLANS for name, sql in plan.ORACLE_SQL.items()}
