@@ -1,7 +1,7 @@
 """All queries by name, with the SQL that gives the same rows."""
 
-from .plans import search, study, text
+from .plans import search, structure, study, text
 
-_PLANS = (text, search, study)
+_PLANS = (text, search, structure, study)
 QUERIES: dict = {name: f for plan in _PLANS for name, f in plan.QUERIES.items()}
 ORACLE_SQL: dict = {name: sql for plan in _PLANS for name, sql in plan.ORACLE_SQL.items()}
