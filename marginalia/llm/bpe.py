@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHE_WORDS, claim, keeps, text_pieces
+from .common import CACHE_WORDS, keeps, text_pieces, task
 
 #: The pre-tokenizer's pattern, with its white space spelt out (fixed values of the byte-level vocabulary).
 SPACE = r"\t-\r \x85\xa0  -     　"
@@ -232,8 +232,8 @@ def round_trips(docs: DataFrame, path: str | None = None) -> DataFrame:
     """
     path = path or default_vocabulary()
 
+    @task("bpe")
     def run(batches):
-        claim("bpe")
         e = encoder(path)
         names = list(map(str, range(len(e.v.labels)))).__getitem__
         for batch in batches:

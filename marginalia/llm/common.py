@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import tempfile
 import uuid
@@ -55,24 +56,40 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _kept: dict[str, list] = {}
-_owner = [""]
+
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # another C library
+    _trim = None
 
 
 def keeps(owner: str, cache):
-    """Registers what an operator keeps in its worker between tasks; it has clear()."""
+    """Registers what an operator keeps in its worker; it has clear()."""
     _kept.setdefault(owner, []).append(cache)
     return cache
 
 
-def claim(owner: str) -> None:
-    """To be called as a task begins: what other operators have kept in this worker goes, so that stages don't add up."""
-    if _owner[0] != owner:
-        for name, caches in _kept.items():
-            if name != owner:
-                for cache in caches:
-                    cache.clear()
-        _owner[0] = owner
+def release(owner: str) -> None:
+    for cache in _kept.get(owner, ()):
+        cache.clear()
     pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
+def task(owner: str):
+    """For functions of an iterator of Arrow batches: what they have kept goes when they end, as idle workers live on and would add up."""
+
+    def around(run):
+        def whole(batches):
+            try:
+                yield from run(batches)
+            finally:
+                release(owner)
+
+        return whole
+
+    return around
 
 
 class WordHashes(dict):
@@ -89,7 +106,6 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
-#: A reused Python worker keeps it between tasks.
 WORD_HASHES = keeps("words", WordHashes())
 
 #: Words of a shingle.
@@ -145,8 +161,8 @@ def ragged(bounds: np.ndarray, data: np.ndarray) -> pa.Array:
 def keep_rows(df: DataFrame, owner: str, verdict) -> DataFrame:
     """The rows of df, all columns, for whose text verdict() is true; verdict() takes texts and returns booleans and runs on executors."""
 
+    @task(owner)
     def run(batches):
-        claim(owner)
         test = verdict()
         for batch in batches:
             kept = [k for _, texts in text_pieces(batch) for k in test(texts)]

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import claim, shingles, shuffle_partitions, text_pieces
+from .common import shingles, shuffle_partitions, text_pieces, task
 
 K = 128  # hashes of a sketch; the standard error of a likeness of one half is about 0.044
 SPACE = float(2**64)
@@ -65,6 +65,7 @@ def from_text(s: str) -> np.ndarray:
 def fingerprints(docs: DataFrame, k: int = K, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint, n_distinct (estimated) of every row; null and empty texts have the empty fingerprint."""
 
+    @task("words")
     def run(batches):
         for batch in batches:
             for piece, texts in text_pieces(batch):
@@ -105,10 +106,10 @@ def _with_next(k):
     def sha(s):
         return hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
 
+    @task("words")
     def run(batches):
         names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-        claim("words")
         last, rows = None, []  # (doc_id, text, sketch, slice, whether it is only there to follow)
         for batch in batches:
             slices, extra = batch.column("slice").to_pylist(), batch.column("extra").to_pylist()

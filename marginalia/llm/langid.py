@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PIECE_ROWS, claim, keeps, text_pieces
+from .common import PIECE_ROWS, keeps, text_pieces, task
 
 DIMENSIONS, N = 1024, 3
 SEED = 20_240_501
@@ -109,8 +109,8 @@ def bundles(texts: list[str | None]) -> np.ndarray:
     return out / np.where(norms == 0, 1, norms).astype(np.float32)[:, None]
 
 
+@task("language")
 def _sums(batches):
-    claim("language")
     sums: dict[str, np.ndarray] = {}
     for batch in batches:
         langs = batch.column("lang").to_pylist()
@@ -144,8 +144,8 @@ def predict(docs: DataFrame, profiles: dict[str, np.ndarray], id_col: str = "doc
     """
     shared = docs.sparkSession.sparkContext.broadcast(matrix(profiles))
 
+    @task("language")
     def run(batches):
-        claim("language")
         for batch in batches:
             for piece, texts in text_pieces(batch):
                 langs, score = nearest(texts, shared.value)

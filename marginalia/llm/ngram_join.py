@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MIX_A, ascii_words, claim, cut, mix, ragged, shingle_stream, shingles, shuffle_partitions, text_pieces
+from .common import MIX_A, ascii_words, cut, mix, ragged, shingle_stream, shingles, shuffle_partitions, text_pieces, task
 from .components import components
 
 GROUPS, FINE = 128, 512  # coordinates of a point in the tree, and of the finer point that surviving pairs are bounded by
@@ -47,8 +47,8 @@ def words_key(words: list[bytes]) -> bytes | None:
     return hashlib.blake2b(b" ".join(words), digest_size=16).digest() if words else None
 
 
+@task("words")
 def _classes(batches):
-    claim("words")
     for batch in batches:
         for piece, texts in text_pieces(batch):
             yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([words_key(ascii_words(t)) for t in texts], pa.binary())], ["doc_id", "words_key"])
@@ -103,8 +103,8 @@ def _emitter(ranges, select, wide, flush=600_000):
         first = [out.column(0), out.column(1)] if out is not None else [pa.array([0], pa.int32()), pa.array([b""], pa.binary())]
         return pa.RecordBatch.from_arrays([*first, ragged(bounds, record)], ["range_id", "tokens", "owners"])
 
+    @task("words")
     def run(batches):
-        claim("words")
         seen, ids, keys, sizes, sets, held = set(), [], [], [], [], 0
         for batch in batches:
             for piece, texts in text_pieces(batch):
@@ -135,9 +135,9 @@ def _gather(batches, column, dtype):
     return np.concatenate(parts) if parts else np.empty(0, dtype)
 
 
+@task("blocks")
 def _frequencies(batches):
     """Rows of narrow emitters -> the tokens of many classes, and the class keys with their set sizes."""
-    claim("blocks")
     batches = list(batches)
     tokens, n = np.unique(_gather(batches, 1, np.uint32), return_counts=True)
     keep = n >= FREQUENT
@@ -166,9 +166,9 @@ def frequent_tokens(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 # Blocks
 
 
+@task("blocks")
 def _blocks(batches):
     """All rows of some token ranges -> (block, member): each set of two or more classes that share a token, once."""
-    claim("blocks")
     batches = list(batches)
     tokens, owners = _gather(batches, 1, np.uint64), _gather(batches, 2, np.int64)
     del batches
@@ -229,6 +229,7 @@ def points_of(counts: list[bytes]) -> np.ndarray:
 def _features(bitmap):
     """(doc_id, text) of classes in blocks -> (member, n, counts, tokens)."""
 
+    @task("words")
     def run(batches):
         for batch in batches:
             hit = bitmap.value.has(batch.column(0).to_numpy())
@@ -347,8 +348,8 @@ def _join_blocks(percent, cover):
         c = lambda k: table.column(k).to_numpy()
         return {"key": np.stack([c("block"), c("tile_a"), c("tile_b")], axis=1), "own": c("own"), "member": c("member"), "label": c("label"), "n": c("n"), "counts": table.column("counts").to_pylist()}
 
+    @task("blocks")
     def run(batches):
-        claim("blocks")
         held = None
         for batch in batches:
             t = pa.Table.from_batches([batch])
@@ -452,7 +453,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
         return dealt.mapInArrow(_join_blocks(percent, cover), "a long, b long").distinct()
 
     # First a few pairs of each block, enough to connect most of a group of near copies; then all pairs of what is still apart.
-    stars = checked_links(cut(candidates(members.withColumn("label", F.col("member")), True)), features, percent)
+    stars = cut(checked_links(cut(candidates(members.withColumn("label", F.col("member")), True)), features, percent))
     joined = cut(components(stars).withColumnsRenamed({"node": "member", "component": "label"}))
     labelled = cut(members.join(joined, "member", "left").select("block", "member", F.coalesce("label", "member").alias("label")))
     links = checked_links(cut(candidates(labelled, False)), features, percent)

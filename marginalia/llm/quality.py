@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHE_WORDS, GOLD, MIX_A, claim, keeps, mix, text_pieces
+from .common import CACHE_WORDS, GOLD, MIX_A, keeps, mix, text_pieces, task
 
 SAMPLE_PER_CLASS = 3000  # labelled rows of each class that the model is fitted to, about; all if there are fewer
 LEAST_TEXTS = 3  # of the sample that an n-gram of the model is in
@@ -176,8 +176,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    @task("quality")
     def run(batches):
-        claim("quality")
         m = shared.value
         for batch in batches:
             for piece, texts in text_pieces(batch):

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import default_vocabulary, vocabulary
-from .common import CACHE_WORDS, claim, keeps, text_pieces
+from .common import CACHE_WORDS, keeps, text_pieces, task
 
 NONE = np.int32(2**31 - 1)
 
@@ -128,8 +128,8 @@ def token_counts(docs: DataFrame, limit: int = 512, path: str | None = None, id_
     """
     path = path or default_vocabulary()
 
+    @task("tokens")
     def run(batches):
-        claim("tokens")
         c = counter(path)
         for batch in batches:
             for piece, texts in text_pieces(batch):
