@@ -244,8 +244,8 @@ def near_vectors(embeddings: DataFrame, least: float = 0.9, id_col: str = "vec_i
 
     Two vectors link when their cosine in double precision is at least `least` (over 0). Vectors that are null,
     empty, zero or hold a null or non-finite component link with nothing, as do vectors of different lengths with
-    each other. Equal vectors are compared once and counted as often as they occur; rows that repeat an id count as
-    other vectors. A row with a null id links with nothing and comes back with a null component. Other columns
+    each other. Equal vectors are compared once and counted as often as they occur; rows that repeat an id are
+    one vector of several forms, each row with the links of all. A row with a null id links with nothing and comes back with a null component. Other columns
     are ignored.
     """
     if not 0 < least <= 1:
