@@ -1 +1 @@
-
+"""Review states over streams of reviews."""
