@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators.graphs import pagerank, scaled_to_one
 from ..operators.joins import top_per_group
 from ..sources import tables
 from .text import CHUNKS, LINES, _list
@@ -103,6 +104,22 @@ def detect_negation(spark, d):
     return tables.lines(spark, d).select("doc_id", "pos", F.arrays_overlap(T.simple_tokens(F.col("s")), F.array(*map(F.lit, negation))).alias("value"))
 
 
+def _turn_graph(spark, d):
+    """The turns of each conversation as a graph, weighted by the words that two turns share."""
+    w = tables.table(spark, d, "conversations").groupBy("conv_id", "turn").agg(F.array_distinct(F.flatten(F.collect_list(T.simple_tokens(F.col("text"))))).alias("w"))
+    a, b = w.select("conv_id", F.col("turn").alias("src"), F.col("w").alias("x")), w.select("conv_id", F.col("turn").alias("dst"), F.col("w").alias("y"))
+    shared = F.size(F.array_intersect("x", "y")) / F.greatest(F.size(F.array_union("x", "y")), F.lit(1))
+    return a.join(b, "conv_id").where("src <> dst").select(F.col("conv_id").alias("graph_id"), "src", "dst", shared.alias("w"))
+
+
+def pagerank_stable(spark, d):
+    return pagerank(_turn_graph(spark, d))
+
+
+def textrank(spark, d):
+    return scaled_to_one(pagerank(_turn_graph(spark, d)))
+
+
 _KEY = f"list_filter(regexp_extract_all(lower(s), '[a-z]+'), lambda w: length(w) >= 4 AND NOT list_contains({_list(T.CONTENT_STOPWORDS)}, w))"
 _CLOZE = "list_filter(regexp_extract_all(s, '[A-Za-z]+'), lambda w: length(w) >= 5)"
 _SETS = "list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]+'))"
@@ -111,7 +128,7 @@ from .text import SQUEEZE, _exercise, _noise, _overload, _ratio, _reference, _sh
 
 QUERIES = {f.__name__: f for f in (
     list_books, analyze_field, naive_keywords, extract_key_terms, compute_redundancy, make_card_id, format_citation, extract_tags, make_cloze_cards, extract_list_items, check_quality_gates,
-    rejection_reasons, apply_diversity_order, detect_negation,
+    rejection_reasons, apply_diversity_order, detect_negation, pagerank_stable, textrank,
 )}
 ORACLE_SQL = {
     "list_books": "SELECT source AS book, count(*) AS chunks FROM documents GROUP BY 1",

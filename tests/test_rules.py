@@ -74,3 +74,18 @@ def test_fold_follows_time_not_row_order(spark):
     df = spark.createDataFrame([(u, c, t, t, q) for u, c, t, q in rows], "user_id long, card_id long, ts long, event_id long, quality int")
     r = fold_reviews(df, ["user_id", "card_id"]).first()
     assert (r.n_reviews, r.interval_days, r.reps, r.lapses) == (3, 1, 1, 1)
+
+
+def test_ranks(spark):
+    import numpy as np
+
+    from marginalia.operators.graphs import pagerank, stable_rank
+
+    assert np.allclose(stable_rank(np.zeros((3, 3))), 1 / 3)
+    m = np.random.default_rng(0).random((6, 6)) * (np.random.default_rng(1).random((6, 6)) < 0.5)
+    step = np.where(m.sum(1, keepdims=True) > 0, m / np.where(m.sum(1, keepdims=True) > 0, m.sum(1, keepdims=True), 1), 1 / 6)
+    want = np.linalg.solve(np.eye(6) - 0.85 * step.T, np.full(6, 0.15 / 6))
+    assert np.allclose(stable_rank(m, most=500), want, atol=1e-7)
+    edges = spark.createDataFrame([(1, 10, 20, 1.0), (1, 20, 10, 1.0), (2, 5, 6, 1.0)], "graph_id long, src long, dst long, w double")
+    got = {(r.graph_id, r.node): r["rank"] for r in pagerank(edges).collect()}
+    assert got[1, 10] == got[1, 20] == 0.5 and got[2, 6] > got[2, 5]
