@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import concepts as C
 from ..operators import structure as S
-from ..operators.joins import as_of_join, overlap_join, top_per_group
+from ..operators.joins import as_of_join, top_per_group
 from ..sources import tables
 from .text import CHUNKS, LINES, _ngrams, _structural
 
@@ -28,9 +28,9 @@ def fallback_outline(spark, d):
 def filter_chunks_by_page_ranges(spark, d):
     """Chunks whose pages meet any range of their book's chapters 1 to 3."""
     c = tables.chunks(spark, d)
-    ranges = S.outline(c).where("level = 1 and id in ('ch_1', 'ch_2', 'ch_3')").select(F.col("book").alias("r_book"), "lo", F.least("hi", F.col("lo") + 15).alias("r_hi"))
-    met = overlap_join(c.select("chunk_id", "book", "page_start", "page_end"), ranges, "page_start", "page_end", "lo", "r_hi", bucket=16)
-    return met.where("book = r_book").select("chunk_id").distinct()
+    ranges = S.outline(c).where("level = 1 and id in ('ch_1', 'ch_2', 'ch_3')").select(F.col("book").alias("r_book"), "lo", "hi")
+    meets = (F.col("book") == F.col("r_book")) & (F.col("page_start") <= F.col("hi")) & (F.col("lo") <= F.col("page_end"))
+    return c.join(F.broadcast(ranges), meets, "left_semi").select("chunk_id").distinct()
 
 
 def build_page_to_sections(spark, d):

@@ -26,3 +26,8 @@ def test_all_documents_keep_their_texts(spark):
 @pytest.mark.parametrize("name", ["stats", "build_corpus", "build_term_stats", "extract_headings", "naive_keywords", "make_cloze_cards", "check_filters"])
 def test_same_rows_as_sql_over_whole_texts(spark, duck, name):  # noqa: F811
     same_rows(spark, duck, name, catalog.ORACLE_SQL[name].replace(tables.AUGMENTED, tables.WHOLE))
+
+
+def test_page_ranges_are_not_clipped(spark, duck):  # noqa: F811
+    sql = catalog.ORACLE_SQL["filter_chunks_by_page_ranges"]
+    same_rows(spark, duck, "filter_chunks_by_page_ranges", sql.replace("least(hi, lo + 15) AS hi", "hi"))
