@@ -102,7 +102,7 @@ def grade_answers(spark, d):
     user, reply = _answers(spark, d)
     pairs = user.join(reply, ["conv_id", "turn"])
     kind = F.when(F.col("turn") % 3 == 0, "cloze").otherwise("basic")
-    return pairs.groupBy("conv_id", "turn").agg(F.max(U.grade(F.col("question"), F.substring("answer", 1, 80), kind)).alias("score"))
+    return pairs.groupBy("conv_id", "turn").agg(F.max(U.grade(F.col("question"), F.col("answer"), kind)).alias("score"))
 
 
 def grade_synonyms(spark, d):

@@ -31,3 +31,12 @@ def test_same_rows_as_sql_over_whole_texts(spark, duck, name):  # noqa: F811
 def test_page_ranges_are_not_clipped(spark, duck):  # noqa: F811
     sql = catalog.ORACLE_SQL["filter_chunks_by_page_ranges"]
     same_rows(spark, duck, "filter_chunks_by_page_ranges", sql.replace("least(hi, lo + 15) AS hi", "hi"))
+
+
+@pytest.mark.parametrize("name", ["bm25_search", "tfidf_search", "tfidf_search_in_book", "golden_retrieval"])
+def test_questions_are_whole_passages(spark, duck, name):  # noqa: F811
+    same_rows(spark, duck, name, catalog.ORACLE_SQL[name].replace("substr(text, 1, 120)", "text"))
+
+
+def test_grades_are_against_whole_answers(spark, duck):  # noqa: F811
+    same_rows(spark, duck, "grade_answers", catalog.ORACLE_SQL["grade_answers"].replace("substr(answer, 1, 80)", "answer"))
