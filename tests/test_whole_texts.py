@@ -33,10 +33,20 @@ def test_page_ranges_are_not_clipped(spark, duck):  # noqa: F811
     same_rows(spark, duck, "filter_chunks_by_page_ranges", sql.replace("least(hi, lo + 15) AS hi", "hi"))
 
 
-@pytest.mark.parametrize("name", ["bm25_search", "tfidf_search", "tfidf_search_in_book", "golden_retrieval"])
+@pytest.mark.parametrize("name", ["bm25_search", "tfidf_search", "tfidf_search_in_book", "golden_retrieval", "hybrid_search"])
 def test_questions_are_whole_passages(spark, duck, name):  # noqa: F811
     same_rows(spark, duck, name, catalog.ORACLE_SQL[name].replace("substr(text, 1, 120)", "text"))
 
 
 def test_grades_are_against_whole_answers(spark, duck):  # noqa: F811
     same_rows(spark, duck, "grade_answers", catalog.ORACLE_SQL["grade_answers"].replace("substr(answer, 1, 80)", "answer"))
+
+
+def test_hybrid_search_counts_shared_symbols(spark, tmp_path):
+    docs = [(1, "alpha :: beta", "en"), (2, "alpha (beta)", "en"), (3, "alpha beta", "en"), (4, "gamma", "de")]
+    put = lambda name, rows, schema: spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    put("documents", docs, "doc_id long, text string, lang string")
+    put("benchmark", [(1, "alpha :: (beta)"), (2, "alpha beta")], "item_id long, text string")
+    put("embeddings", [(k, [1.0, 0.0]) for k in (1, 2, 3)], "vec_id long, embedding array<float>")
+    got = {(r.q_id, r.doc): r.score for r in catalog.QUERIES["hybrid_search"](spark, str(tmp_path)).collect()}
+    assert got == {(1, 1): 0.933333, (1, 2): 0.966667, (1, 3): 0.9, (2, 1): 0.9, (2, 2): 0.9, (2, 3): 0.9}
