@@ -35,13 +35,14 @@ def page_buckets(chunks: DataFrame, pages: int = 20) -> DataFrame:
     return span.select("book", "high", F.explode(F.sequence("low", "high", F.lit(pages).cast("bigint"))).alias("start")).select("book", "start", F.least(F.col("start") + pages - 1, F.col("high")).alias("end"))
 
 
-def word_windows(docs: DataFrame, id_col: str, s: Column, most: int = 1000, overlap: int = 100) -> DataFrame:
+def word_windows(docs: DataFrame, id_col: str, s: Column, most: int = 1000, overlap: int = 100, all_words: bool = True) -> DataFrame:
     """(id, chunk_index, total_chunks, words): a text of over `most` words as windows of that many, each starting `overlap` before the last one's end.
 
-    There are ceil(words / most) windows, so that with much overlap the last words may be in none, as users of
-    such windows expect; all_words adds what is left to the last window.
+    There are as many windows as it takes to reach the last word. Without all_words there are ceil(words / most), as the
+    reference has it, so that the last words of a long text are in none.
     """
-    held = docs.select(F.col(id_col).alias("id"), T.words(s).alias("w")).withColumn("total_chunks", F.greatest(F.ceil(F.size("w") / most), F.lit(1)).cast("int"))
+    after_first = F.ceil((F.size("w") - most) / (most - overlap)) if all_words else F.ceil(F.size("w") / most) - 1
+    held = docs.select(F.col(id_col).alias("id"), T.words(s).alias("w")).withColumn("total_chunks", (F.greatest(after_first, F.lit(0)) + 1).cast("int"))
     one = held.select("id", "w", "total_chunks", F.explode(F.sequence(F.lit(0), F.col("total_chunks") - 1)).alias("chunk_index"))
     return one.select("id", "chunk_index", "total_chunks", F.slice("w", F.col("chunk_index") * (most - overlap) + 1, F.when(F.col("total_chunks") == 1, F.greatest(F.size("w"), F.lit(1))).otherwise(most)).alias("words"))
 

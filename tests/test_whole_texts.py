@@ -1,9 +1,11 @@
 """Queries read whole texts: none of a document is left out."""
 
 import pytest
+from pyspark.sql import functions as F
 from test_queries import SF, duck, plain  # noqa: F401
 
 from marginalia import catalog
+from marginalia.operators.structure import word_windows
 from marginalia.sources import tables
 
 
@@ -50,3 +52,18 @@ def test_hybrid_search_counts_shared_symbols(spark, tmp_path):
     put("embeddings", [(k, [1.0, 0.0]) for k in (1, 2, 3)], "vec_id long, embedding array<float>")
     got = {(r.q_id, r.doc): r.score for r in catalog.QUERIES["hybrid_search"](spark, str(tmp_path)).collect()}
     assert got == {(1, 1): 0.933333, (1, 2): 0.966667, (1, 3): 0.9, (2, 1): 0.9, (2, 2): 0.9, (2, 3): 0.9}
+
+
+def test_windows_reach_the_last_word(spark):
+    sizes = [0, 1, 999, 1000, 1001, 1900, 1901, 2000, 2800, 2801, 5184, 20000]
+    docs = spark.createDataFrame([(n, " ".join(map(str, range(n)))) for n in sizes], "id long, text string")
+    found = {}
+    for r in word_windows(docs, "id", F.col("text")).orderBy("id", "chunk_index").collect():
+        assert len(r.words) <= 1000 and r.words[:1] == [str(r.chunk_index * 900)][: r.id]
+        found.setdefault(r.id, []).append(r)
+    for n in sizes:
+        assert {w for r in found[n] for w in r.words} == set(map(str, range(n)))
+        assert [r.chunk_index for r in found[n]] == list(range(found[n][0].total_chunks))
+        assert len(found[n]) == 1 or len(found[n][-1].words) > 100
+    parity = word_windows(docs, "id", F.col("text"), all_words=False).where("id = 20000").collect()
+    assert len(parity) == 20 and max(int(w) for r in parity for w in r.words) == 18099
