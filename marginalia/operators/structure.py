@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,3 +68,58 @@ def greedy_pack(docs: DataFrame, id_col: str, sizes: Column, flush: int = 220, m
 
     folded = docs.select(F.col(id_col).alias("id"), F.aggregate(sizes, start, step).alias("s"))
     return folded.select("id", F.when(F.col("s.open") > 0, F.array_append("s.packs", F.col("s.open"))).otherwise(F.col("s.packs")).alias("packs"))
+
+
+def paragraph_pieces(text: str, target: int = 450, most: int = 650) -> list[str]:
+    """The paragraphs of a text; one of over `most` words as its sentences, else its lines, else slices of `target` words."""
+    solid = lambda parts: [p for p in map(str.strip, parts) if p]
+    pieces = []
+    for p in solid(re.split(r"\n\s*\n", text)):
+        w = p.split()
+        if len(w) <= most:
+            pieces.append(p)
+        elif len(sentences := solid(re.split(r"(?<=[.!?])\s+(?=[A-Z])", p))) > 1:
+            pieces += sentences
+        elif "\n" in p:
+            pieces += [x for x in p.split("\n") if x.strip()]
+        else:
+            pieces += [" ".join(w[k : k + target]) for k in range(0, len(w), target)]
+    return pieces
+
+
+def pack_pieces(pieces: list[str], flush: int = 220, most: int = 650) -> list[tuple[str, int]]:
+    """(text, words) of each pack of pieces as in greedy_pack; a tail of under flush / 2 words joins the pack before."""
+    packs, parts, n = [], [], 0
+    for p in pieces:
+        k = len(p.split())
+        if n + k > most:
+            if parts:
+                packs.append((parts, n))
+            parts, n = [p], k
+            continue
+        parts, n = [*parts, p], n + k
+        if n >= flush:
+            packs.append((parts, n))
+            parts, n = [], 0
+    if parts and packs and n < flush // 2:
+        packs[-1] = (packs[-1][0] + parts, packs[-1][1] + n)
+    elif parts:
+        packs.append((parts, n))
+    return [("\n\n".join(p), k) for p, k in packs]
+
+
+def subchunks(docs: DataFrame, id_col: str, s: Column, flush: int = 220, target: int = 450, most: int = 650) -> DataFrame:
+    """(id, pos, text, n_words): the sub-chunks of each text in order. As in the reference, one sentence or line of over `most` words stays one pack.
+
+    In Python, as a fold of arrays of texts in SQL copies them at each step.
+    """
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                ids, texts = (c.to_pylist() for c in batch.slice(at, 256).columns)
+                rows = [(i, pos, t, n) for i, text in zip(ids, texts) for pos, (t, n) in enumerate(pack_pieces(paragraph_pieces(text or "", target, most), flush, most))]
+                kinds = (pa.int64(), pa.int32(), pa.string(), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["id", "pos", "text", "n_words"])
+
+    return docs.select(F.col(id_col).cast("long").alias("id"), s.alias("text")).mapInArrow(run, "id long, pos int, text string, n_words int")

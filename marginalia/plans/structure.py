@@ -64,11 +64,9 @@ def chunk_long_sections(spark, d):
 
 
 def subchunk_text(spark, d):
-    """Paragraph lines packed into sub-chunks by their word counts."""
-    c = tables.chunks(spark, d)
-    sizes = F.transform(T.solid_lines(F.col("text")), lambda x: T.word_count(x))
-    packs = S.greedy_pack(c, "chunk_id", sizes)
-    return packs.select("id", F.size("packs").alias("n_packs"), F.aggregate("packs", F.lit(0), lambda a, x: a + x).alias("n_words"), F.coalesce(F.array_max("packs"), F.lit(0)).alias("largest"))
+    """Sub-chunks of whole paragraphs, or of the parts of long ones, in order, with digests of their texts."""
+    packs = S.subchunks(tables.chunks(spark, d), "chunk_id", F.col("text"))
+    return packs.select("id", "pos", "n_words", F.md5("text").alias("digest"))
 
 
 def check_filters(spark, d):

@@ -1,11 +1,14 @@
 """Queries read whole texts: none of a document is left out."""
 
+import hashlib
+import re
+
 import pytest
 from pyspark.sql import functions as F
 from test_queries import SF, duck, plain  # noqa: F401
 
 from marginalia import catalog
-from marginalia.operators.structure import word_windows
+from marginalia.operators.structure import subchunks, word_windows
 from marginalia.sources import tables
 
 
@@ -67,3 +70,40 @@ def test_windows_reach_the_last_word(spark):
         assert len(found[n]) == 1 or len(found[n][-1].words) > 100
     parity = word_windows(docs, "id", F.col("text"), all_words=False).where("id = 20000").collect()
     assert len(parity) == 20 and max(int(w) for r in parity for w in r.words) == 18099
+
+
+def plain_subchunks(text):
+    pieces = []
+    for p in (x.strip() for x in re.split(r"\n\s*\n", text) if x.strip()):
+        sentences = [x.strip() for x in re.split(r"(?<=[.!?])\s+(?=[A-Z])", p) if x.strip()]
+        w, lines = p.split(), p.split("\n")
+        slices = [" ".join(w[k : k + 450]) for k in range(0, len(w), 450)]
+        pieces += [p] if len(w) <= 650 else sentences if len(sentences) > 1 else [x for x in lines if x.strip()] if len(lines) > 1 else slices
+    packs, now, n = [], [], 0
+    for p in pieces:
+        k = len(p.split())
+        if n + k > 650:
+            packs += [now] if now else []
+            now, n = [p], k
+        else:
+            now, n = now + [p], n + k
+            if n >= 220:
+                packs, now, n = packs + [now], [], 0
+    if now and packs and n < 110:
+        packs[-1] = packs[-1] + now
+    elif now:
+        packs.append(now)
+    return ["\n\n".join(p) for p in packs]
+
+
+def test_subchunks_are_those_of_a_plain_loop(spark):
+    run = lambda n, w="w": " ".join(f"{w}{i}" for i in range(n))
+    texts = [None, "", " \n \n", "one", run(3000), run(650), run(651), "\n".join([run(400), " ", run(700)]).replace(" \n", "\n"), f"{run(300)}\n{run(400)}\n{run(50)}"]
+    texts += [" ".join(f"A{i} {run(90)}." for i in range(9)), "\n\n".join([run(100), run(100), run(50), run(30)]), "\n \n".join([run(200), run(500), run(2000), run(109)]), f"{run(230)}\n\n{run(110)}", f"B {run(700)}. C {run(20)}.\n\n{run(640)}\n\n{run(15)}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string").union(tables.chunks(spark, SF).select(F.col("chunk_id") + 1000, "text"))
+    want = {r.id: plain_subchunks(r.text or "") for r in docs.collect()}
+    found = subchunks(docs, "id", F.col("text")).collect()
+    assert {(r.id, r.pos): r.text for r in found} == {(k, i): t for k, v in want.items() for i, t in enumerate(v)}
+    assert all(r.n_words == len(r.text.split()) for r in found)
+    got = {(r.id, r.pos): r.digest for r in catalog.QUERIES["subchunk_text"](spark, SF).collect()}
+    assert got == {(k - 1000, i): hashlib.md5(t.encode()).hexdigest() for k, v in want.items() if k >= 1000 for i, t in enumerate(v)}
