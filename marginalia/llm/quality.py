@@ -28,7 +28,7 @@ _shape_of = {"title": "Xx", "upper": "X", "lower": "x", "digits": "9"}
 
 def shape(word: str) -> str:
     """A word with its runs of letters and digits as classes: Haus -> Xx, THE!! -> X!!."""
-    return _runs(lambda m: _shape_of[m.lastgroup], word[:64])
+    return _runs(lambda m: _shape_of[m.lastgroup], word)
 
 
 def _hash(s: str) -> int:
