@@ -191,12 +191,12 @@ ORACLE_SQL = {
     "build_outline": f"{OUTLINE} SELECT * FROM o",
     "compute_outline_id": f"{OUTLINE} SELECT book, substr(sha256(string_agg(x, ';' ORDER BY x)), 1, 16) AS outline_id FROM (SELECT book, id || '|' || title || '|' || lo || '|' || hi AS x FROM o) GROUP BY book",
     "fallback_outline": f"{CHUNKS}, g AS (SELECT book, least(min(page_start), min(page_end)) AS low, greatest(max(page_start), max(page_end)) AS high FROM l GROUP BY book), x AS (SELECT book, high, unnest(range(low, high + 1, 20)) AS start FROM g) SELECT book, start, least(start + 19, high) AS \"end\" FROM x",
-    "filter_chunks_by_page_ranges": f"{OUTLINE} SELECT DISTINCT doc_id AS chunk_id FROM l JOIN (SELECT book, lo, least(hi, lo + 15) AS hi FROM o WHERE id IN ('ch_1', 'ch_2', 'ch_3')) r ON l.book = r.book AND page_start <= r.hi AND r.lo <= page_end",
+    "filter_chunks_by_page_ranges": f"{OUTLINE} SELECT DISTINCT doc_id AS chunk_id FROM l JOIN (SELECT book, lo, hi FROM o WHERE id IN ('ch_1', 'ch_2', 'ch_3')) r ON l.book = r.book AND page_start <= r.hi AND r.lo <= page_end",
     "build_page_to_sections": f"{CHUNKS}, x AS (SELECT book, section, unnest(range(page_start, page_end + 1)) AS page FROM l) SELECT book, page, array_to_string(list_sort(list(DISTINCT section)), ',') AS sections FROM x GROUP BY ALL",
     "lookup_section": f"{CHUNKS}, x AS (SELECT book, doc_id, page_start, page_end - page_start AS width, unnest(range(page_start, page_end + 1)) AS page FROM l) SELECT book, page, doc_id AS chunk_id FROM x QUALIFY row_number() OVER (PARTITION BY book, page ORDER BY width, page_start, doc_id) = 1",
     "get_chapter_info": f"{CHUNKS}, p AS (SELECT DISTINCT book, page_end AS page FROM l), c AS (SELECT book, page_start, max(chapter) AS chapter FROM l GROUP BY ALL) SELECT p.book, page, chapter FROM p ASOF LEFT JOIN c ON p.book = c.book AND page >= page_start",
     "scan_sections": f"{CHUNKS}, s AS (SELECT book, page_start, min(doc_id) AS section_number FROM l GROUP BY ALL), z AS (SELECT book, max(page_end) AS last_page FROM l GROUP BY book) SELECT book, page_start, section_number, coalesce(greatest(lead(page_start) OVER (PARTITION BY book ORDER BY page_start, section_number) - 1, page_start), last_page) AS page_end FROM s JOIN z USING (book)",
-    "chunk_long_sections": f"{CHUNKS}, w AS (SELECT doc_id AS id, {_words} AS w FROM l), t AS (SELECT *, greatest(ceil(len(w) / 1000), 1)::INT AS total_chunks FROM w), x AS (SELECT id, w, total_chunks, unnest(range(total_chunks)) AS chunk_index FROM t), y AS (SELECT id, chunk_index, total_chunks, CASE WHEN total_chunks = 1 THEN w ELSE w[chunk_index * 900 + 1:chunk_index * 900 + 1000] END AS words FROM x) SELECT id, chunk_index, total_chunks, len(words) AS word_count, md5(array_to_string(words, ' ')) AS digest FROM y",
+    "chunk_long_sections": f"{CHUNKS}, w AS (SELECT doc_id AS id, {_words} AS w FROM l), t AS (SELECT *, (greatest(ceil((len(w) - 1000) / 900), 0) + 1)::INT AS total_chunks FROM w), x AS (SELECT id, w, total_chunks, unnest(range(total_chunks)) AS chunk_index FROM t), y AS (SELECT id, chunk_index, total_chunks, w[chunk_index * 900 + 1:chunk_index * 900 + 1000] AS words FROM x) SELECT id, chunk_index, total_chunks, len(words) AS word_count, md5(array_to_string(words, ' ')) AS digest FROM y",
     "check_filters": None,
     "build_corpus": f"{CHUNKS}, x AS (SELECT book, len({_words}) AS n, {_structural} AS st FROM l), y AS (SELECT *, st OR n < 20 AS out FROM x) SELECT book, count(*) AS input, count(*) FILTER (out) AS filtered, count(*) FILTER (NOT out) AS kept, round(avg(n) FILTER (NOT out), 1) AS avg_words FROM y GROUP BY book",
     "get_catalog": f"{CHUNKS} SELECT book, count(*) AS chunks, grouping(book) AS total FROM l GROUP BY ROLLUP (book)",

@@ -253,7 +253,7 @@ ORACLE_SQL = {
         {_rank('book', 'due_date, card_id', 28, 'x', "book, 'due' AS block, rank, card_id")} UNION ALL {_rank('book', 'mastery, card_id', 10, 'y', "book, 'weak' AS block, rank, card_id")}""",
     "match_questions_and_answers": f"{_ANSWERS}, o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY length(answer) DESC, answer DESC) AS k FROM a) WHERE k = 1) SELECT conv_id, turn, max(length(answer)) AS answer_chars, bool_or(answer IS NOT NULL) AS matched FROM u LEFT JOIN o USING (conv_id, turn) GROUP BY ALL",
     "unmatched_questions": f"{_ANSWERS} SELECT conv_id, count(*) AS n FROM u ANTI JOIN a USING (conv_id, turn) GROUP BY conv_id",
-    "grade_answers": f"{_ANSWERS}, x AS (SELECT conv_id, turn, question, substr(answer, 1, 80) AS e FROM u JOIN a USING (conv_id, turn)) SELECT conv_id, turn, max({_grade('question', 'e', 'turn % 3 = 0')}) AS score FROM x GROUP BY ALL",
+    "grade_answers": f"{_ANSWERS}, x AS (SELECT conv_id, turn, question, answer AS e FROM u JOIN a USING (conv_id, turn)) SELECT conv_id, turn, max({_grade('question', 'e', 'turn % 3 = 0')}) AS score FROM x GROUP BY ALL",
     "grade_synonyms": f"{CARDS}, x AS (SELECT card_id, prompt || ' quick list' AS g, 'fast vector ' || prompt AS e FROM c) SELECT card_id, {_grade('g', 'e', 'false')} AS score FROM x",
     "terminality_scores": "SELECT event_id, round(greatest(0, least(1, CASE event_id % 4 WHEN 0 THEN 1.0::DOUBLE WHEN 1 THEN 0.6 ELSE 0.3 END * (1 + (event_id % 11) / 10 * 0.3::DOUBLE) * CASE WHEN event_id % 3 = 0 THEN 0.5::DOUBLE ELSE 1 END)), 6) AS terminality FROM events",
     "session_log": f"{REVIEWS} SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, count(*) AS cards_reviewed, count(*) FILTER (quality >= 3) AS correct, round(avg(quality), 4) AS avg_quality, {', '.join(f'count(*) FILTER (quality = {q}) AS q{q}' for q in range(6))} FROM r GROUP BY ALL",

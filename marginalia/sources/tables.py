@@ -5,18 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: The corpus with headings, contents pages, definitions and references in some documents, which invented prose lacks.
+#: The corpus with headings, contents pages, definitions and references before some documents' texts, which invented prose lacks.
 AUGMENTED = """CASE
- WHEN doc_id % 17 = 3 THEN 'Table of Contents' || chr(10) || '1.1 Basic ideas ........ 4' || chr(10) || '1.2 More ideas ...... 9' || chr(10) || '1.3' || chr(10) || '2.1 Sorting ............ 17' || chr(10) || '2.2 Searching 31' || chr(10) || '2.3 Trees ..... 40' || chr(10) || 'Index ...... 99'
+ WHEN doc_id % 17 = 3 THEN 'Table of Contents' || chr(10) || '1.1 Basic ideas ........ 4' || chr(10) || '1.2 More ideas ...... 9' || chr(10) || '1.3' || chr(10) || '2.1 Sorting ............ 17' || chr(10) || '2.2 Searching 31' || chr(10) || '2.3 Trees ..... 40' || chr(10) || 'Index ...... 99' || chr(10) || text
  WHEN doc_id % 13 = 5 THEN 'Chapter ' || CAST(doc_id % 40 + 1 AS STRING) || chr(10) || '2.1 Growing things ..... 12' || chr(10) || text
  WHEN doc_id % 11 = 2 THEN 'A gradient descent method is defined as a rule that moves toward a minimum because slopes lead down.' || chr(10) || 'Exercise 3: prove that the sum is fixed.' || chr(10) || 'Summary of key points versus overview' || chr(10) || text
  WHEN doc_id % 11 = 7 THEN 'See Smith, J. University Press (1998), vol. 3, pp. 12, Journal of Things 1999, 2001.' || chr(10) || 'Step x = y << 2 :: 12 34 56 78 90' || chr(10) || 'What is the difference of a list and a vector?' || chr(10) || text
  ELSE text END"""
 
-#: What the queries read: AUGMENTED with the contents pages before the texts of their documents and not in place of them. The
-#: SQL still reads AUGMENTED, which leaves those texts out.
-WHOLE = AUGMENTED.replace("'Index ...... 99'", "'Index ...... 99' || chr(10) || text")
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -27,13 +23,13 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     start = F.col("doc_id") % 400 + 1
     return table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("chunk_id"), F.col("source").alias("book"), F.col("lang").alias("section"),
-        (F.col("doc_id") % 12 + 1).cast("int").alias("chapter"), start.alias("page_start"), (start + F.expr("n_chars div 2000")).alias("page_end"), F.expr(WHOLE).alias("text"),
+        (F.col("doc_id") % 12 + 1).cast("int").alias("chapter"), start.alias("page_start"), (start + F.expr("n_chars div 2000")).alias("page_end"), F.expr(AUGMENTED).alias("text"),
     )
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, pos, s): the lines of the augmented documents."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.expr(WHOLE), "\n")).alias("pos", "s"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.expr(AUGMENTED), "\n")).alias("pos", "s"))
 
 
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:

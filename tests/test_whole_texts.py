@@ -3,9 +3,8 @@
 import hashlib
 import re
 
-import pytest
 from pyspark.sql import functions as F
-from test_queries import SF, duck, plain  # noqa: F401
+from test_queries import SF
 
 from marginalia import catalog
 from marginalia.llm.quality import shape
@@ -13,13 +12,6 @@ from marginalia.operators.structure import subchunks, word_windows
 from marginalia.sources import tables
 
 
-def same_rows(spark, duck, name, sql):  # noqa: F811
-    df, r = catalog.QUERIES[name](spark, SF), duck.execute(sql)
-    columns = [x[0] for x in r.description]
-    want, got = (sorted(repr([plain(x) for x in row]) for row in rows) for rows in (r.fetchall(), [[row[k] for k in columns] for row in df.collect()]))
-    assert got == want
-
-
 def test_all_documents_keep_their_texts(spark):
     docs = {r.doc_id: r.text for r in tables.table(spark, SF, "documents").collect()}
     chunks = {r.chunk_id: r.text for r in tables.chunks(spark, SF).collect()}
@@ -29,25 +21,6 @@ def test_all_documents_keep_their_texts(spark):
     assert all(chunks[k].endswith(t) and "\n".join(lines[k]).endswith(t) for k, t in docs.items())
 
 
-@pytest.mark.parametrize("name", ["stats", "build_corpus", "build_term_stats", "extract_headings", "naive_keywords", "make_cloze_cards", "check_filters"])
-def test_same_rows_as_sql_over_whole_texts(spark, duck, name):  # noqa: F811
-    same_rows(spark, duck, name, catalog.ORACLE_SQL[name].replace(tables.AUGMENTED, tables.WHOLE))
-
-
-def test_page_ranges_are_not_clipped(spark, duck):  # noqa: F811
-    sql = catalog.ORACLE_SQL["filter_chunks_by_page_ranges"]
-    same_rows(spark, duck, "filter_chunks_by_page_ranges", sql.replace("least(hi, lo + 15) AS hi", "hi"))
-
-
-@pytest.mark.parametrize("name", ["bm25_search", "tfidf_search", "tfidf_search_in_book", "golden_retrieval", "hybrid_search"])
-def test_questions_are_whole_passages(spark, duck, name):  # noqa: F811
-    same_rows(spark, duck, name, catalog.ORACLE_SQL[name].replace("substr(text, 1, 120)", "text"))
-
-
-def test_grades_are_against_whole_answers(spark, duck):  # noqa: F811
-    same_rows(spark, duck, "grade_answers", catalog.ORACLE_SQL["grade_answers"].replace("substr(answer, 1, 80)", "answer"))
-
-
 def test_hybrid_search_counts_shared_symbols(spark, tmp_path):
     docs = [(1, "alpha :: beta", "en"), (2, "alpha (beta)", "en"), (3, "alpha beta", "en"), (4, "gamma", "de")]
     put = lambda name, rows, schema: spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
