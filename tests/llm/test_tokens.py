@@ -142,15 +142,80 @@ def test_bin_completion_is_optimal_on_small_cases():
     for _ in range(60):
         sizes = sorted((r.randint(5, 60) for _ in range(r.randint(1, 11))), reverse=True)
         counts = {s: sizes.count(s) for s in sizes}
-        plan = packing.complete_bins(counts, 100)
+        found = packing.complete_bins(counts, 100)
         got = {}
-        for filling, times in plan:
+        for filling, times in found.plan:
             assert sum(filling) <= 100
             for s in filling:
                 got[s] = got.get(s, 0) + times
         assert got == counts
-        bins = sum(t for _, t in plan)
-        assert packing.lower_bound(counts, 100) <= bins == smallest(sizes, 100)
+        assert found.bins == sum(t for _, t in found.plan) and found.proved
+        assert packing.lower_bound(counts, 100) == found.bound <= found.bins == smallest(sizes, 100)
+
+
+def test_fillings_are_all_undominated_ones():
+    r = random.Random(3)
+    for _ in range(150):
+        counts = {}
+        for _ in range(r.randint(1, 9)):
+            s = r.randint(2, 30)
+            counts[s] = counts.get(s, 0) + 1
+        gap, sizes = r.randint(1, 60), sorted(counts)
+        every = {()}
+        for s in sizes:
+            every = {f + (s,) * n for f in every for n in range(counts[s] + 1) if sum(f) + s * n <= gap}
+        left = lambda f, s: counts.get(s, 0) > f.count(s)
+        want = set()
+        for f in every:
+            slack = gap - sum(f)
+            longer = any(left(f, y) for x in {*f, 0} for y in range(x + 1, x + slack + 1))
+            two = any(left(f, x + y) for k, x in enumerate(f) for y in f[k + 1 :])
+            if not longer and not two:
+                want.add(f)
+        got = [tuple(sorted(f)) for f in packing.fillings(sizes, counts, gap)]
+        assert len(got) == len(set(got)) and set(got) == want
+        assert [sum(f) for f in got] == sorted((sum(f) for f in got), reverse=True)
+
+
+def test_bin_completion_betters_best_fit_where_it_wastes():
+    r = random.Random(7)
+    better = 0
+    for _ in range(8):
+        sizes = [x for _ in range(40) for a in [r.randint(200, 500)] for b in [r.randint(100, 400)] for x in (a, b, 1024 - a - b)]  # forty full bins
+        counts = {s: sizes.count(s) for s in sizes}
+        found = packing.complete_bins(counts, 1024, nodes=30_000)
+        assert sum(found.plan and [t * sum(f) for f, t in found.plan]) == sum(sizes)
+        assert 40 <= found.bins <= sum(t for _, t in packing.best_fit(counts, 1024))
+        better += found.bins < sum(t for _, t in packing.best_fit(counts, 1024))
+    assert better  # triples that fill bins exactly are the hardest: never worse, and better now and then
+
+
+def test_the_packing_of_documents_is_proved_best(library):
+    import pyarrow.parquet as pq
+
+    encode, counts = packing._encoding(PATH), {}
+    for t in pq.read_table("/root/testdata/sf0.01/documents.parquet")["text"].to_pylist():
+        n = len(encode(t or "")) + 1
+        for k, times in ((n % 1024, 1), (1024, n // 1024)):
+            if k and times:
+                counts[k] = counts.get(k, 0) + times
+    found = packing.complete_bins(counts, 1024)
+    assert found.proved and found.bins == found.bound < sum(t for _, t in packing.best_fit(counts, 1024))
+
+
+RUNS = [" " * 2_000_000, "\n" * 2_000_000, "a" * 300_000, "!" * 300_000, "a" + " " * 1_500_000 + "b", "\t" * 900_000 + "x"]
+
+
+def test_very_long_runs(spark, library):
+    """Packing, counts and round trips of runs that a pattern's look-ahead has to walk."""
+    want = [ids(library, t) for t in RUNS]
+    encode = packing._encoding(PATH)
+    assert [encode(t).tolist() for t in RUNS] == want
+    df = spark.createDataFrame(list(enumerate(RUNS)), "doc_id long, text string")
+    assert packing.pack(df).groupBy("doc_id").sum("length").count() == len(RUNS)
+    assert {r.doc_id: r.n_tokens for r in token_counts.token_counts(df).collect()} == {k: len(x) for k, x in enumerate(want)}
+    digest = lambda x: hashlib.sha256(",".join(map(str, x)).encode()).hexdigest()
+    assert {r.doc_id: r.ids_sha256 for r in bpe.round_trips(df).collect()} == {k: digest(x) for k, x in enumerate(want)}
 
 
 def test_empty_tables(spark):
