@@ -15,17 +15,21 @@ def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def list_entries(pages: DataFrame) -> DataFrame:
-    """Dated list events on the tables' own hosts, by rules on a digest of the host."""
+    """Dated list events on the tables' own hosts, by rules on a digest of the host; some write hosts, and paths, in other cases."""
     hosts = pages.select(url_filter.host_of(F.col("url")).alias("host")).where("host is not null").distinct()
     v = hosts.withColumn("v", F.conv(F.substring(F.md5("host"), 1, 4), 16, 10).cast("int"))
     parent = F.regexp_replace("host", r"^[^.]+\.([^.]+\.[^.]+\..*)$", "$1")
     rules = [  # list, pattern, when, day, added
         ("adult", F.col("host"), "v % 3 = 0", "v % 200", True),
-        ("adult", F.col("host"), "v % 6 = 0", "v % 200 + 90", False),
+        ("adult", F.upper("host"), "v % 6 = 0", "v % 200 + 90", False),
         ("adult", F.col("host"), "v % 12 = 0", "v % 200 + 150", True),
         ("malware", parent, "v % 5 = 0", "v % 100", True),
         ("paths", F.concat("host", F.lit("/en")), "v % 7 = 0", "v % 300", True),
-        ("paths", F.concat("host", F.lit("/en")), "v % 14 = 0", "v % 300 + 30", False),
+        ("paths", F.concat(F.initcap("host"), F.lit("/en/")), "v % 14 = 0", "v % 300 + 30", False),
+        ("paths", F.concat("host", F.lit("/EN")), "v % 5 = 1", "v % 300", True),
+        ("case", F.concat(F.upper("host"), F.lit(".")), "v % 4 = 1", "v % 250", True),
+        ("case", F.col("host"), "v % 4 = 1", "v % 250", False),
+        ("case", F.col("host"), "v % 8 = 1", "v % 250 + 20", False),
     ]
     event = lambda name, pattern, day, added: F.struct(F.lit(name).alias("list"), pattern.alias("pattern"), F.expr(f"timestamp_seconds(1704067200 + ({day}) * 86400)").alias("at"), F.lit(added).alias("added"))
     events = F.array_compact(F.array(*[F.when(F.expr(when), event(name, pattern, day, added)) for name, pattern, when, day, added in rules]))
@@ -41,22 +45,26 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP1_SQL = r"""
 WITH p AS (SELECT page_id, url, make_timestamp((1704067200 + (page_id * 7919 % 525600) * 60) * 1000000) AS fetched_at,
-      nullif(regexp_replace(lower(regexp_extract(trim(url), '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '\.+$', ''), '') AS host,
+      nullif(regexp_replace(lower(regexp_extract(trim(url), '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]+)', 1)), '\.+$', ''), '') AS host,
       regexp_extract(trim(url), '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]+/([^/?#]+)', 1) AS segment FROM pages),
 h AS (SELECT DISTINCT host, ('0x' || substr(md5(host), 1, 4))::INT AS v FROM p WHERE host IS NOT NULL),
 e AS (
   SELECT 'adult' AS list, host AS pattern, v % 200 AS day, true AS added FROM h WHERE v % 3 = 0
-  UNION ALL SELECT 'adult', host, v % 200 + 90, false FROM h WHERE v % 6 = 0
+  UNION ALL SELECT 'adult', upper(host), v % 200 + 90, false FROM h WHERE v % 6 = 0
   UNION ALL SELECT 'adult', host, v % 200 + 150, true FROM h WHERE v % 12 = 0
   UNION ALL SELECT 'malware', regexp_replace(host, '^[^.]+\.([^.]+\.[^.]+\..*)$', '\1'), v % 100, true FROM h WHERE v % 5 = 0
   UNION ALL SELECT 'paths', host || '/en', v % 300, true FROM h WHERE v % 7 = 0
-  UNION ALL SELECT 'paths', host || '/en', v % 300 + 30, false FROM h WHERE v % 14 = 0),
-d AS (SELECT list, pattern, TIMESTAMP '2024-01-01' + INTERVAL 1 DAY * day AS moment, bool_or(added) AS added FROM e GROUP BY ALL),
+  UNION ALL SELECT 'paths', upper(host[1]) || host[2:] || '/en/', v % 300 + 30, false FROM h WHERE v % 14 = 0
+  UNION ALL SELECT 'paths', host || '/EN', v % 300, true FROM h WHERE v % 5 = 1
+  UNION ALL SELECT 'case', upper(host) || '.', v % 250, true FROM h WHERE v % 4 = 1
+  UNION ALL SELECT 'case', host, v % 250, false FROM h WHERE v % 4 = 1
+  UNION ALL SELECT 'case', host, v % 250 + 20, false FROM h WHERE v % 8 = 1),
+d AS (SELECT list, regexp_replace(lower(regexp_extract(trim(pattern), '^[^/]*')), '\.+$', '') || regexp_replace(regexp_extract(trim(pattern), '/.*$'), '/+$', '') AS pattern, TIMESTAMP '2024-01-01' + INTERVAL 1 DAY * day AS moment, bool_or(added) AS added FROM e GROUP BY 1, 2, 3),
 t AS (SELECT *, lag(added) OVER (PARTITION BY list, pattern ORDER BY moment) AS was FROM d),
 c AS (SELECT *, lead(moment) OVER (PARTITION BY list, pattern ORDER BY moment) AS until FROM t WHERE added <> coalesce(was, false)),
 i AS (SELECT list, pattern, moment AS since, until FROM c WHERE added),
 k AS (SELECT page_id, fetched_at, unnest(list_distinct(list_concat(
-        list_transform(range(1, greatest(len(string_split(host, '.')) - 1, 1) + 1), lambda x: array_to_string(string_split(host, '.')[x:], '.')),
+        list_transform(range(1, CASE WHEN regexp_matches(host, '^([0-9]+([.][0-9]+){3}|\[.*\])$') THEN 1 ELSE greatest(len(string_split(host, '.')) - 1, 1) END + 1), lambda x: array_to_string(string_split(host, '.')[x:], '.')),
         CASE WHEN segment <> '' THEN [host || '/' || segment] ELSE [] END))) AS pattern FROM p WHERE host IS NOT NULL),
 m AS (SELECT page_id, list, k.pattern, since FROM k JOIN i ON k.pattern = i.pattern AND since <= fetched_at AND (until IS NULL OR fetched_at < until)),
 g AS (SELECT page_id, array_to_string(list_sort(list(DISTINCT list)), ',') AS lists, count(DISTINCT (list, pattern, since)) AS n_entries, min(since) AS listed_since FROM m GROUP BY page_id)

@@ -1,6 +1,7 @@
 import hashlib
 import random
-from datetime import datetime
+import re
+from datetime import datetime, timedelta
 
 import numpy as np
 
@@ -168,19 +169,82 @@ def test_planted_licences_are_found(spark):
 # URL lists
 
 
-def test_entries_at_the_time_of_the_fetch(spark):
+def test_entries_at_the_time_of_the_fetch(spark, monkeypatch):
     day = lambda n: datetime(2024, 1, n)
     entries = [("ads", "Bad.example.com", day(2), True), ("ads", "bad.example.com", day(5), False), ("ads", "bad.example.com", day(5), False), ("ads", "bad.example.com", day(8), True), ("ads", "bad.example.com", day(9), True),
                ("path", "ok.example.com/en", day(3), True), ("never", "x.org", day(4), False), (None, "x.org", day(1), True)]
-    e = spark.createDataFrame(entries, "list string, pattern string, at timestamp, added boolean").withColumn("pattern", __import__("pyspark").sql.functions.lower("pattern"))
+    e = spark.createDataFrame(entries, "list string, pattern string, at timestamp, added boolean")
     rows = [(1, "http://a.bad.example.com/x", day(1)), (2, "http://a.bad.example.com/x", day(2)), (3, "https://u@BAD.example.com:80/x", day(4)), (4, "http://bad.example.com", day(5)), (5, "http://bad.example.com", day(20)), (6, "http://ok.example.com/en/1", day(9)),
             (7, "http://ok.example.com/de/1", day(9)), (8, None, day(9)), (9, "no url", day(9)), (10, "http://bad.example.com", None), (2, "http://a.bad.example.com/x", day(2)), (11, "http://x.org/", day(9))]
     c = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, fetched_at timestamp, lists string")
     want = [(1, False), (2, True), (2, True), (3, True), (4, False), (5, True), (6, True), (7, False), (8, False), (9, False), (10, False), (11, False)]
     for most in (200_000, 0):
-        url_filter.BROADCAST_INTERVALS = most
+        monkeypatch.setattr(url_filter, "BROADCAST_PIECES", most)
         got = url_filter.evaluate(c, e).collect()
         assert sorted((r.id, r.blocked) for r in got) == want
         assert {r.lists for r in got if r.blocked} == {"ads", "path"}
-    url_filter.BROADCAST_INTERVALS = 200_000
+    monkeypatch.undo()
     assert url_filter.evaluate(c.limit(0), e).count() == 0 and not any(r.blocked for r in url_filter.evaluate(c, e.limit(0)).collect())
+
+
+def plain_blocks(captures, entries):
+    """(id, lists, n_entries, listed_since) of each capture, by a walk over all events."""
+    spans = {}
+    events = {}
+    for name, pattern, at, added in entries:
+        if None in (name, pattern, at, added):
+            continue
+        host, slash, path = pattern.strip().partition("/")
+        key = (name, host.lower().rstrip(".") + (slash + path).rstrip("/"))
+        events.setdefault(key, {}).setdefault(at, set()).add(added)
+    for key, by_time in events.items():
+        on = None
+        for at in sorted(by_time):
+            if True in by_time[at] and on is None:
+                on = at
+            elif True not in by_time[at] and on is not None:
+                spans.setdefault(key, []).append((on, at))
+                on = None
+        if on is not None:
+            spans.setdefault(key, []).append((on, None))
+    out = []
+    for i, url, at in captures:
+        found = []
+        if url and at and "://" in url:
+            rest = url.strip().split("://", 1)[1]
+            place = re.split("[/?#]", rest)[0].rpartition("@")[2]
+            host = (place[: place.index("]") + 1] if place.startswith("[") else place.split(":")[0]).lower().rstrip(".")
+            labels = host.split(".")
+            address = place.startswith("[") or len(labels) == 4 and all(x.isdigit() for x in labels)
+            keys = {host} | (set() if address else {".".join(labels[k:]) for k in range(len(labels) - 1)})
+            tail = re.match("[^/?#]+/([^/?#]+)", rest)
+            keys |= {f"{host}/{tail[1]}"} if tail else set()
+            found = [(name, since) for (name, p), all_of in spans.items() if p in keys for since, until in all_of if since <= at and (until is None or at < until)]
+        out.append((i, ",".join(sorted({n for n, _ in found})), len(found), min((s for _, s in found), default=None)))
+    return sorted(out, key=str)
+
+
+def test_blocks_against_a_walk_over_all_events(spark, monkeypatch):
+    r = random.Random(8)
+    hosts = ["h.org", "H.org", "a.h.org", "A.B.h.org", "1.2.3.4", "3.4", "[::1]", "localhost", "x.co.uk", "h.org."]
+    paths = ["", "/", "/Foo", "/foo", "/foo/bar", "/Foo?x=1", "?q=/z", "#f"]
+    moment = lambda: datetime(2024, 1, 1) + timedelta(hours=r.randrange(24 * 200))
+    moments = [moment() for _ in range(40)]  # few, so that events and fetches meet at one time
+    entries = [(r.choice(["p", "q", "s", None]), r.choice(hosts) + r.choice(["", "", "/Foo", "/foo", "/foo/"]), r.choice(moments), r.random() < 0.6) for _ in range(300)] + [("p", None, moments[0], True), ("p", "h.org", None, True), ("p", "h.org", moments[0], None)]
+    rows = [(k % 350, f"{r.choice(['http', 'HTTPS'])}://{r.choice(['', 'u:p@'])}{r.choice(hosts)}{r.choice(['', ':80'])}{r.choice(paths)}", r.choice([*moments, moment()])) for k in range(400)]
+    rows += [(900, "http://h.org/" + "x" * 300_000, moments[0]), (901, " ", moments[0]), (902, "h.org/Foo", moments[0])]
+    c = spark.createDataFrame(rows, "page_id long, url string, fetched_at timestamp")
+    e = spark.createDataFrame(entries, "list string, pattern string, at timestamp, added boolean")
+    want = plain_blocks(rows, entries)
+    assert sum(n > 0 for _, _, n, _ in want) > 50
+    for most in (200_000, 0):
+        monkeypatch.setattr(url_filter, "BROADCAST_PIECES", most)
+        assert sorted(((x.id, x.lists, x.n_entries, x.listed_since) for x in url_filter.evaluate(c, e).collect()), key=str) == want
+
+
+def test_the_cases_that_lists_and_urls_differ_in(spark):
+    day = lambda n: datetime(2024, 1, n)
+    entries = [("l", "h.org/Foo", day(1), True), ("l", "Bad.org", day(1), True), ("l", "bad.org", day(3), False), ("l", "3.4", day(1), True)]
+    rows = [(1, "http://H.ORG/Foo/x", day(5)), (2, "http://h.org/foo", day(5)), (3, "http://bad.org/", day(5)), (4, "http://bad.org/", day(2)), (5, "http://1.2.3.4/x", day(5))]
+    got = url_filter.evaluate(spark.createDataFrame(rows, "page_id long, url string, fetched_at timestamp"), spark.createDataFrame(entries, "list string, pattern string, at timestamp, added boolean"))
+    assert {r.id: r.blocked for r in got.collect()} == {1: True, 2: False, 3: False, 4: True, 5: False}
