@@ -74,6 +74,9 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+_ONE = (1,)
+
+
 class Automaton:
     """The tokenization automaton of a vocabulary. State 0 is the first; arcs are (state, token) -> state or None."""
 
@@ -92,7 +95,12 @@ class Automaton:
             self._merge(rank, a, b, ab)
         self.known.clear()
         self.arcs = {label: i for label, i in v.ids.items() if self.to[i] >= 0}
-        self.longest = max(map(len, self.arcs))
+        #: First two bytes -> the lengths of the labels that begin so, longest first.
+        by_head: dict[bytes, set[int]] = {}
+        for label in self.arcs:
+            if len(label) > 1:
+                by_head.setdefault(label[:2], {1}).add(len(label))
+        self.lengths = {head: tuple(sorted(n, reverse=True)) for head, n in by_head.items()}
 
     def _merge(self, rank: int, u: int, w: int, uw: int) -> None:
         before, target = self.to[u], self.to[w]
@@ -129,32 +137,31 @@ class Automaton:
 
     def encode(self, word: bytes) -> list[int]:
         """The only token sequence of these bytes that the automaton accepts: the longest arc first, and back where none leads on."""
-        arcs, known, reads, to, n, longest = self.arcs.get, self.known.get, self.reads, self.to, len(word), self.longest
+        arcs, known, reads, to, n, lengths = self.arcs.get, self.known.get, self.reads, self.to, len(word), self.lengths.get
         path: list[int] = []
-        begins: list[int] = []
+        tried: list[tuple[int, tuple[int, ...], int]] = []  # where each token of the path begins, the lengths there and which it has
         dead = None  # tokens that no path goes on from, by where they end
-        at = state = 0
-        end = min(n, longest)
+        at = state = k = 0
+        some = lengths(word[:2], _ONE)
         while at < n:
-            while end > at:
-                token = arcs(word[at:end])
-                if token is not None and (dead is None or (end, token) not in dead):
+            while k < len(some):
+                end = at + some[k]
+                if end <= n and (token := arcs(word[at:end])) is not None and (dead is None or (end, token) not in dead):
                     allowed = known(state << 20 | token)
                     if allowed or allowed is None and reads(state, token):
                         break
-                end -= 1
-            if end > at:
+                k += 1
+            if k < len(some):
                 path.append(token)
-                begins.append(at)
+                tried.append((at, some, k))
                 at, state = end, to[token]
-                end = min(n, at + longest)
+                some, k = lengths(word[at : at + 2], _ONE), 0
             else:
                 if dead is None:
                     dead = set()
-                token = path.pop()
-                dead.add((at, token))
-                end = at - 1
-                at = begins.pop()
+                dead.add((at, path.pop()))
+                at, some, k = tried.pop()
+                k += 1
                 state = to[path[-1]] if path else 0
         return path
 
@@ -190,8 +197,9 @@ class Encoder:
         return array("I", [special] if special is not None else self.a.encode(w.encode("utf-8", "surrogatepass"))).tobytes()
 
     def decode(self, ids) -> str:
-        """The labels of the ids' arcs, one after another; bytes that aren't UTF-8 come out as U+FFFD."""
-        return b"".join(map(self.v.labels.__getitem__, ids)).decode("utf-8", "replace")
+        """The labels of the ids' arcs, one after another; bytes that aren't UTF-8 come out as U+FFFD, null ids and those of no token as nothing."""
+        labels = self.v.labels
+        return b"".join([labels[i] for i in ids if i is not None and 0 <= i < len(labels)]).decode("utf-8", "replace")
 
 
 @lru_cache(4)
