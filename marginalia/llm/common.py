@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import hashlib
 import tempfile
@@ -25,20 +26,67 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. A local one is made only where the cluster names none."""
+    """The folder all executors share, as spark.checkpoint.dir names it. Only a local session without one gets a folder of this machine."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="marginalia-")
         spark.sparkContext.setCheckpointDir(named)
     return named
 
 
+#: Folders that cut() has written and nobody has dropped, by application; what is left goes when Python ends.
+_written: dict[str, list[str]] = {}
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Writes df into the shared folder and reads it back: lineage ends here and lost executors cost no rerun."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
+    if not _written:
+        atexit.register(_drop_all, spark)
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def drop(df: DataFrame) -> None:
+    """Deletes what cut() wrote for df; neither it nor what was derived from it can be read after that."""
+    spark, path = df.sparkSession, getattr(df, "cut_path", None)
+    held = _written.get(spark.sparkContext.applicationId, [])
+    if path in held:
+        held.remove(path)
+        _delete(spark, path)
+
+
+def cuts(spark: SparkSession) -> list[str]:
+    """The folders that this application's cut() has written and that are still there."""
+    return list(_written.get(spark.sparkContext.applicationId, []))
+
+
+def drop_since(spark: SparkSession, before: list[str], keep: DataFrame) -> None:
+    """Deletes the folders written after cuts() gave `before`, but for that of `keep`: what a stage wrote on its way to its result."""
+    kept = {*before, getattr(keep, "cut_path", None)}
+    for path in cuts(spark):
+        if path not in kept:
+            _written[spark.sparkContext.applicationId].remove(path)
+            _delete(spark, path)
+
+
+def _drop_all(spark: SparkSession) -> None:
+    try:
+        for path in _written.pop(spark.sparkContext.applicationId, []):
+            _delete(spark, path)
+    except Exception:  # the session has ended: its folder is the cluster's to clean
+        pass
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -176,15 +224,23 @@ FILTER_BITS = 1 << 22
 
 
 def without_ids(df: DataFrame, dropped: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of df whose id isn't in dropped (one long column, no nulls); only rows that a bitmap of the ids can't clear are shuffled."""
+    """The rows of df whose id isn't in dropped (one long column, no nulls); only rows that a bitmap of the ids can't clear are shuffled.
+
+    Rows with a null id stay. The columns it works with are named apart from those of df.
+    """
     from pyspark.sql import functions as F
 
-    ids = dropped.toDF("_dropped")
+    tag = "_"
+    while any(c.lower().startswith(tag) for c in df.columns):
+        tag += "_"
+    word, bits, hit, gone = (tag + n for n in ("word", "bits", "hit", "gone"))
+    ids = dropped.toDF(gone)
     slot = "pmod(cast({} as long), " + str(FILTER_BITS) + "L)"
-    of = slot.format("_dropped")
-    bitmap = ids.groupBy(F.expr(f"{of} div 64 AS _word")).agg(F.expr(f"bit_or(shiftleft(1L, cast({of} % 64 as int))) AS _bits"))
+    of = slot.format(gone)
+    bitmap = ids.groupBy(F.expr(f"{of} div 64 AS {word}")).agg(F.expr(f"bit_or(shiftleft(1L, cast({of} % 64 as int))) AS {bits}"))
     own = slot.format(f"`{id_col}`")
-    marked = df.join(F.broadcast(bitmap), F.expr(f"{own} div 64 = _word"), "left").withColumn("_hit", F.expr(f"coalesce(shiftright(_bits, cast({own} % 64 as int)) & 1, 0) = 1"))
-    clear = marked.where("not _hit").select(df.columns)
-    checked = marked.where("_hit").select(df.columns).join(ids, F.expr(f"cast(`{id_col}` as long) = _dropped"), "left_anti")
+    columns = [f"`{c}`" for c in df.columns]
+    marked = df.join(F.broadcast(bitmap), F.expr(f"{own} div 64 = {word}"), "left").withColumn(hit, F.expr(f"coalesce(shiftright({bits}, cast({own} % 64 as int)) & 1, 0) = 1"))
+    clear = marked.where(f"not {hit}").select(columns)
+    checked = marked.where(hit).select(columns).join(ids, F.expr(f"cast(`{id_col}` as long) = {gone}"), "left_anti")
     return clear.union(checked)

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, drop
 
 
 def union_find(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -67,7 +67,8 @@ def components(links: DataFrame) -> DataFrame:
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.greatest("b", "m").alias("a"), F.col("m").alias("b")).where("a <> b")
-        edges = cut(small.union(low.where("a <> m").select("a", F.col("m").alias("b"))).distinct())
+        last, edges = edges, cut(small.union(low.where("a <> m").select("a", F.col("m").alias("b"))).distinct())
+        drop(last)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before or not now[0]:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(

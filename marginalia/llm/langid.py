@@ -21,6 +21,7 @@ DIMENSIONS, N = 1024, 3
 SEED = 20_240_501
 SAMPLE_PER_LANGUAGE = 4000  # documents that a profile is learned from, about; all if there are fewer
 UNKNOWN = "und"
+SAMPLE_FOR_LIMITS = 2000  # documents that the limits of rejection are learned from, about
 GRAMS_KEPT = 40_000  # trigram vectors that a worker keeps, 40 MB
 
 
@@ -139,8 +140,9 @@ def predict(docs: DataFrame, profiles: dict[str, np.ndarray], id_col: str = "doc
     """doc_id, lang_pred, score of every row.
 
     score is the cosine with the nearest profile, at least 0; ties go to the first language by name. A text that is
-    null or has no letter is `und` with score 0, as is every text where there are no profiles. Repeated and null
-    ids come back as they are; other columns are ignored.
+    null or has no letter is `und` with score 0, as is every text where there are no profiles. A text of any length
+    is read whole, its trigrams are counted in arrays of eight bytes a letter. Repeated and null ids come back as
+    they are; other columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(matrix(profiles))
 
@@ -154,6 +156,59 @@ def predict(docs: DataFrame, profiles: dict[str, np.ndarray], id_col: str = "doc
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
+def scrambled(text: str) -> str:
+    """The text with its letters in another order, the same each time: no language, but its letters and word lengths."""
+    letters = [c for c in text if c.isalpha()]
+    np.random.default_rng((SEED, len(letters))).shuffle(letters)
+    left = iter(letters)
+    return "".join(next(left) if c.isalpha() else c for c in text)
+
+
+def _scores(shared):
+    @task("language")
+    def run(batches):
+        for batch in batches:
+            for _, texts in text_pieces(batch):
+                texts = [t or "" for t in texts]
+                for plain, some in ((True, texts), (False, [scrambled(t) for t in texts])):
+                    n = [len(trigrams(t)[0]) for t in some]
+                    yield pa.RecordBatch.from_arrays([pa.array([plain] * len(some)), pa.array([k.bit_length() for k in n], pa.int32()), pa.array(nearest(some, shared.value)[1])], ["plain", "bits", "score"])
+
+    return run
+
+
+def limits(docs: DataFrame, profiles: dict[str, np.ndarray], sample: int = SAMPLE_FOR_LIMITS, least: int = 20) -> np.ndarray:
+    """The cosine under which a text of so many distinct trigrams (by bit length) is rejected, from about `sample` texts that a language is known of.
+
+    A third of the way from the median of the same texts with their letters scrambled to the least of the texts as
+    they are; 0 where those meet or fewer than `least` texts of either kind tell, so that texts too short to judge stay.
+    """
+    docs = docs.where("lang is not null and text is not null").select("doc_id", "text")
+    n = docs.count()
+    out = np.zeros(33)
+    if not profiles or not n:
+        return out
+    shared = docs.sparkSession.sparkContext.broadcast(matrix(profiles))
+    chosen = docs.where(F.pmod(F.xxhash64("doc_id", F.lit("limits")), F.lit(1_000_003)) < min(1.0, sample / n) * 1_000_003).select("doc_id", "text")
+    found = chosen.repartition(12, "doc_id").mapInArrow(_scores(shared), "plain boolean, bits int, score double")
+    rows = found.groupBy("bits", "plain").agg(F.count("*").alias("n"), F.min("score").alias("low"), F.median("score").alias("middle")).collect()  # two for each bit length
+    real, mixed = ({r["bits"]: r for r in rows if r["plain"] == plain and r["n"] >= least} for plain in (True, False))
+    held = 0.0
+    for bits in range(len(out)):
+        if bits in real and bits in mixed:
+            low, noise = real[bits]["low"], mixed[bits]["middle"]
+            held = max(held, noise + (low - noise) / 3) if low > noise else held
+        out[bits] = held
+    return out
+
+
+def accepted(texts: list[str | None], profiles: tuple[list[str], np.ndarray], least: np.ndarray) -> list[bool]:
+    """Whether each text is in a language of the profiles: it has letters, and its cosine reaches the limit for its number of distinct trigrams."""
+    names, cos = nearest(texts, profiles)
+    bits = [min(len(least) - 1, len(trigrams(t)[0]).bit_length()) for t in texts]
+    return [name != UNKNOWN and c >= least[b] for name, c, b in zip(names, cos, bits)]
+
+
 def matrix(profiles: dict[str, np.ndarray]) -> tuple[list[str], np.ndarray]:
     return list(profiles), np.array(list(profiles.values()), np.float32).reshape(len(profiles), DIMENSIONS)
 
