@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import atexit
 import ctypes
-import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -140,36 +140,76 @@ def task(owner: str):
     return around
 
 
-class WordHashes(dict):
-    """word -> 64-bit hash, the same in every process."""
+#: Words of a shingle.
+SHINGLE_WORDS = 5
 
-    def __missing__(self, word) -> int:
-        if len(self) >= CACHE_WORDS // 2:
-            self.clear()
-        raw = word if isinstance(word, bytes) else word.encode("utf-8", "surrogatepass")
-        value = self[word] = int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little")
-        return value
+_BASE = 0x9D7F3B5C1E86A2D5  # an odd multiplier: a word's hash is a polynomial of its bytes in it, mixed at the end
+_RING = 1 << 64
+_SEGMENT = 1 << 18  # bytes hashed at once
 
-    def of(self, words: list) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
+def _powers(base: int) -> np.ndarray:
+    out = np.ones(_SEGMENT, np.uint64)
+    out[1] = base
+    done = 2
+    while done < _SEGMENT:
+        out[done : 2 * done] = out[:done] * np.uint64(pow(base, done, _RING))
+        done *= 2
+    return out
 
-WORD_HASHES = keeps("words", WordHashes())
-
-#: Words of a shingle.
-SHINGLE_WORDS = 5
 
+@lru_cache(1)
+def _hash_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Values of the bytes (A-Z as a-z, the six ASCII spaces 0), whether they are in words, and powers up and down."""
+    values = np.random.default_rng(20_240_517).integers(1, 2**64, 256, np.uint64)
+    values[65:91] = values[97:123]
+    spaces = [0x20, *range(0x09, 0x0E)]
+    values[spaces] = 0
+    inside = np.ones(256, bool)
+    inside[spaces] = False
+    return values, inside, _powers(_BASE), _powers(pow(_BASE, -1, _RING))
 
-def ascii_words(text: str | None) -> list[bytes]:
-    """A-Z lower-cased, split at the six ASCII spaces (0x20, 0x09-0x0D)."""
-    return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The 64-bit hashes of all words of some texts, and how many of them come before each text's end (from 0).
 
-def shingle_stream(words: list[bytes], width: int = SHINGLE_WORDS) -> np.ndarray:
-    """A 64-bit hash of each run of `width` words in order; of the whole sequence if it is shorter; none without words."""
-    if not words:
+    data: the UTF-8 bytes of the texts one after another, offsets: where each begins, and the end of the last. Words
+    are split at the six ASCII spaces and lower-cased from A-Z. Bytes are worked on in segments, so that neither a
+    long text nor a long word takes more than its share of memory.
+    """
+    values, in_word, up, down = _hash_tables()
+    lo, hi = int(offsets[0]), int(offsets[-1])
+    hashes: list[np.ndarray] = []
+    begins: list[np.ndarray] = []
+    open_at, was_inside = -1, False  # where the word that reaches over the segment's start began
+    for a in range(lo, hi, _SEGMENT):
+        seg = data[a : min(hi, a + _SEGMENT)]
+        inside = in_word[seg]
+        first = inside.copy()
+        first[1:] &= ~inside[:-1]
+        first[0] &= not was_inside
+        cuts = offsets[np.searchsorted(offsets, a) : np.searchsorted(offsets, a + len(seg))] - a
+        first[cuts] = inside[cuts]
+        at = np.flatnonzero(first)
+        terms = values[seg] * up[: len(seg)]
+        if was_inside and not first[0]:  # the rest of a word from before
+            end = at[0] if len(at) else len(seg)
+            rest = int(terms[:end].sum(dtype=np.uint64)) * pow(_BASE, a - open_at, _RING) % _RING
+            hashes[-1][-1:] += np.uint64(rest)
+        if len(at):
+            hashes.append(np.add.reduceat(terms, at) * down[at])
+            begins.append(at + a)
+            open_at = int(at[-1]) + a
+        was_inside = bool(inside[-1])
+    if not hashes:
+        return np.empty(0, np.uint64), np.zeros(len(offsets) - 1, np.int64)
+    return mix(np.concatenate(hashes)), np.searchsorted(np.concatenate(begins), offsets[1:])
+
+
+def shingle_stream(h: np.ndarray, width: int = SHINGLE_WORDS) -> np.ndarray:
+    """A 64-bit hash of each run of `width` words in order, from the words' hashes; of the whole sequence if it is shorter; none without words."""
+    if not len(h):
         return np.empty(0, np.uint64)
-    h = WORD_HASHES.of(words)
     runs = min(width, len(h))
     n = len(h) - runs + 1
     out = np.full(n, runs, np.uint64)
@@ -179,9 +219,44 @@ def shingle_stream(words: list[bytes], width: int = SHINGLE_WORDS) -> np.ndarray
     return mix(out)
 
 
+def distinct_sorted(x: np.ndarray) -> np.ndarray:
+    """As np.unique, which sorts 64-bit integers the slow way."""
+    x = np.sort(x)
+    if len(x) < 2:
+        return x
+    keep = np.empty(len(x), bool)
+    keep[0] = True
+    np.not_equal(x[1:], x[:-1], out=keep[1:])
+    return x[keep]
+
+
+def text_words(text: str | None) -> np.ndarray:
+    """The hashes of a text's words in order."""
+    raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
+    return word_hashes(raw, np.array([0, len(raw)]))[0]
+
+
 def shingles(text: str | None) -> np.ndarray:
     """The sorted distinct shingle hashes of a text."""
-    return np.unique(shingle_stream(ascii_words(text)))
+    return distinct_sorted(shingle_stream(text_words(text)))
+
+
+def column_words(column: pa.Array, most: int = 1 << 22) -> Iterator[np.ndarray]:
+    """The word hashes of each text of a string column, in order; none for a null. Some `most` bytes are worked on at once, a longer text alone."""
+    column = column.cast(pa.large_string())
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2], np.uint8) if column.buffers()[2] else np.empty(0, np.uint8)
+    there = column.is_valid().to_numpy(zero_copy_only=False)
+    start = 0
+    while start < len(column):
+        end = max(start + 1, int(np.searchsorted(offsets, offsets[start] + most, side="right")) - 1)
+        end = min(end, len(column))
+        h, ends = word_hashes(data, offsets[start : end + 1])
+        low = 0
+        for k, high in enumerate(ends.tolist()):
+            yield h[low:high] if there[start + k] else h[:0]
+            low = high
+        start = end
 
 
 PIECE_ROWS = 256
@@ -223,24 +298,37 @@ def keep_rows(df: DataFrame, owner: str, verdict) -> DataFrame:
 FILTER_BITS = 1 << 22
 
 
-def without_ids(df: DataFrame, dropped: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of df whose id isn't in dropped (one long column, no nulls); only rows that a bitmap of the ids can't clear are shuffled.
-
-    Rows with a null id stay. The columns it works with are named apart from those of df.
-    """
+def _marked(df: DataFrame, ids: DataFrame, id_col: str):
+    """(df with a boolean column that a bitmap of ids sets, that column's name, ids with a name of its own); names are apart from those of df."""
     from pyspark.sql import functions as F
 
     tag = "_"
     while any(c.lower().startswith(tag) for c in df.columns):
         tag += "_"
-    word, bits, hit, gone = (tag + n for n in ("word", "bits", "hit", "gone"))
-    ids = dropped.toDF(gone)
+    word, bits, hit, given = (tag + n for n in ("word", "bits", "hit", "given"))
+    ids = ids.toDF(given)
     slot = "pmod(cast({} as long), " + str(FILTER_BITS) + "L)"
-    of = slot.format(gone)
+    of, own = slot.format(given), slot.format(f"`{id_col}`")
     bitmap = ids.groupBy(F.expr(f"{of} div 64 AS {word}")).agg(F.expr(f"bit_or(shiftleft(1L, cast({of} % 64 as int))) AS {bits}"))
-    own = slot.format(f"`{id_col}`")
+    joined = df.join(F.broadcast(bitmap), F.expr(f"{own} div 64 = {word}"), "left")
+    return joined.withColumn(hit, F.expr(f"coalesce(shiftright({bits}, cast({own} % 64 as int)) & 1, 0) = 1")), hit, ids
+
+
+def with_ids(df: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """The rows of df whose id is in ids (one long column), and some others: what a bitmap of the ids can't tell from them."""
+    marked, hit, _ = _marked(df, ids, id_col)
+    return marked.where(hit).select([f"`{c}`" for c in df.columns])
+
+
+def without_ids(df: DataFrame, dropped: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of df whose id isn't in dropped (one long column, no nulls); only rows that a bitmap of the ids can't clear are shuffled.
+
+    Rows with a null id stay. The columns it works with are named apart from those of df.
+    """
+    from pyspark.sql import functions as F
+
+    marked, hit, ids = _marked(df, dropped, id_col)
     columns = [f"`{c}`" for c in df.columns]
-    marked = df.join(F.broadcast(bitmap), F.expr(f"{own} div 64 = {word}"), "left").withColumn(hit, F.expr(f"coalesce(shiftright({bits}, cast({own} % 64 as int)) & 1, 0) = 1"))
     clear = marked.where(f"not {hit}").select(columns)
-    checked = marked.where(hit).select(columns).join(ids, F.expr(f"cast(`{id_col}` as long) = {gone}"), "left_anti")
+    checked = marked.where(hit).select(columns).join(ids, F.expr(f"cast(`{id_col}` as long) = {ids.columns[0]}"), "left_anti")
     return clear.union(checked)

@@ -13,21 +13,24 @@ from __future__ import annotations
 
 import hashlib
 import math
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import MIX_A, ascii_words, cut, mix, ragged, shingle_stream, shingles, shuffle_partitions, text_pieces, task
+from .common import MIX_A, column_words, cut, distinct_sorted, drop, mix, ragged, shingle_stream, shuffle_partitions, task, with_ids
 from .components import components
 
 GROUPS, FINE = 128, 512  # coordinates of a point in the tree, and of the finer point that surviving pairs are bounded by
 RANGES = 1024  # of token space; more where there are many shuffle partitions
 COUNTED = 0.4  # share of the order in which frequencies are counted; the first quarter is what is read without frequent shingles
 FREQUENT, COMMON, MOST_FREQUENT = 2, 32, 1 << 22  # classes from which a shingle counts as frequent, and as common; entries of that list at most
-LEAF, FANOUT, SMALL = 16, 8, 12  # points of a leaf, nodes of a node, points up to which a block is compared without a tree
-TILE = 2048  # members of a block that one task compares; larger blocks are dealt out by pairs of tiles
+LEAF, FANOUT = 16, 8  # points of a leaf, nodes of a node
+TILE = 512  # members of a block that one task compares with as many; larger blocks are dealt out by pairs of tiles
+HOT, HELD = 1 << 16, 1 << 22  # owners from which a shingle is a block of its own, where a range holds more than so many owners
+FEW = 500_000  # rows of a list of large blocks that are broadcast (16 MB); a longer list is joined by a shuffle
 BITMAP_BITS, MOST_BITMAP_BITS = 1 << 22, 1 << 26  # of a list of ids as a filter, by their number; false hits only cost time
 
 
@@ -43,15 +46,25 @@ def prefix_length(n: int, percent: int) -> int:
 # Classes
 
 
-def words_key(words: list[bytes]) -> bytes | None:
-    return hashlib.blake2b(b" ".join(words), digest_size=16).digest() if words else None
+def words_key(h: np.ndarray) -> bytes | None:
+    """What equal word sequences share, from the words' hashes."""
+    return hashlib.blake2b(h.tobytes(), digest_size=16).digest() if len(h) else None
 
 
 @task("words")
 def _classes(batches):
+    """(doc_id, text) -> (doc_id, words_key, n): n shingles for one text of each class in the partition, null for the others."""
+    seen: set = set()
     for batch in batches:
-        for piece, texts in text_pieces(batch):
-            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([words_key(ascii_words(t)) for t in texts], pa.binary())], ["doc_id", "words_key"])
+        keys, sizes = [], []
+        for h in column_words(batch.column(1)):
+            key = words_key(h)
+            keys.append(key)
+            sizes.append(len(distinct_sorted(shingle_stream(h))) if key is not None and key not in seen else None)
+            seen.add(key)
+        if len(seen) > 2_000_000:  # about 200 MB
+            seen.clear()
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64())], ["doc_id", "words_key", "n"])
 
 
 def by_range(doc_ids: np.ndarray, sets: list[np.ndarray], ranges: int, wide: bool):
@@ -86,71 +99,75 @@ def ordered_prefix(s: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], perce
 
 
 def _emitter(ranges, select, wide, flush=600_000):
-    """Text rows (doc_id, text) -> rows of by_range, for one text of each class in the partition.
-
-    select maps the id and set of a text to the tokens that go out. Narrow rows hold keys and set sizes of classes
-    in place of owners.
-    """
-
-    def packed(ids, keys, sizes, sets):
-        out = by_range(np.array(ids, np.int64), sets, ranges, wide)
-        if wide:
-            return out
-        record = np.empty(len(keys), "S16,<i8")
-        record["f0"], record["f1"] = keys, sizes
-        rows = out.num_rows if out is not None else 1
-        bounds = np.linspace(0, len(keys), rows + 1).astype(np.int64)
-        first = [out.column(0), out.column(1)] if out is not None else [pa.array([0], pa.int32()), pa.array([b""], pa.binary())]
-        return pa.RecordBatch.from_arrays([*first, ragged(bounds, record)], ["range_id", "tokens", "owners"])
+    """Text rows (doc_id, text) -> rows of by_range, for one text of each class in the partition; select maps the id and set of a text to the tokens that go out."""
 
     @task("words")
     def run(batches):
-        seen, ids, keys, sizes, sets, held = set(), [], [], [], [], 0
+        seen, ids, sets, held = set(), [], [], 0
         for batch in batches:
-            for piece, texts in text_pieces(batch):
-                for doc_id, text in zip(piece.column(0).to_pylist(), texts):
-                    words = ascii_words(text)
-                    key = words_key(words)
-                    if key is None or key in seen:
-                        continue
-                    seen.add(key)
-                    full = np.unique(shingle_stream(words))
-                    s = select(doc_id, full)
-                    ids.append(doc_id)
-                    keys.append(key)
-                    sizes.append(len(full))
-                    sets.append(s)
-                    held += len(s)
-                    if held >= flush:
-                        yield packed(ids, keys, sizes, sets)
-                        ids, keys, sizes, sets, held = [], [], [], [], 0
-        if ids and (out := packed(ids, keys, sizes, sets)) is not None:
+            for doc_id, h in zip(batch.column(0).to_pylist(), column_words(batch.column(1))):
+                key = words_key(h)
+                if key is None or key in seen:
+                    continue
+                seen.add(key)
+                s = select(doc_id, distinct_sorted(shingle_stream(h)))
+                ids.append(doc_id)
+                sets.append(s)
+                held += len(s)
+                if held >= flush:
+                    if (out := by_range(np.array(ids, np.int64), sets, ranges, wide)) is not None:
+                        yield out
+                    ids, sets, held = [], [], 0
+            if len(seen) > 2_000_000:
+                seen.clear()
+        if ids and (out := by_range(np.array(ids, np.int64), sets, ranges, wide)) is not None:
             yield out
 
     return run
 
 
-def _gather(batches, column, dtype):
-    parts = [np.frombuffer(x, dtype) for b in batches for x in b.column(column).to_pylist()]
-    return np.concatenate(parts) if parts else np.empty(0, dtype)
+def _by_range(batches):
+    """Batches sorted by their first column -> for each of its values the batches' slices one after another, as an iterator."""
+    batches = iter(batches)
+    rest: list[pa.RecordBatch] = []
+
+    def parts():
+        while True:
+            batch = rest.pop() if rest else next(batches, None)
+            if batch is None:
+                return
+            if not batch.num_rows:
+                continue
+            keys = batch.column(0).to_numpy()
+            end = int(np.searchsorted(keys, keys[0], side="right"))
+            if end < len(keys):
+                rest.append(batch.slice(end))
+            yield int(keys[0]), batch.slice(0, end)
+
+    for _, group in groupby(parts(), key=lambda x: x[0]):
+        yield (part for _, part in group)
+
+
+def _values(part, column, dtype):
+    return np.concatenate([np.frombuffer(x, dtype) for x in part.column(column).to_pylist()] or [np.empty(0, dtype)])
 
 
 @task("blocks")
 def _frequencies(batches):
-    """Rows of narrow emitters -> the tokens of many classes, and the class keys with their set sizes."""
-    batches = list(batches)
-    tokens, n = np.unique(_gather(batches, 1, np.uint32), return_counts=True)
-    keep = n >= FREQUENT
-    records = _gather(batches, 2, np.dtype([("k", "V16"), ("n", "<i8")]))
-    tokens, n = tokens[keep].astype(np.int64), n[keep].astype(np.int64)
-    yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(n), pa.nulls(len(n), pa.binary()), pa.nulls(len(n), pa.int64())], ["token", "classes", "words_key", "n"])
-    keys = pa.array([bytes(k) for k in records["k"].tolist()], pa.binary())
-    yield pa.RecordBatch.from_arrays([pa.nulls(len(keys), pa.int64()), pa.nulls(len(keys), pa.int64()), keys, pa.array(records["n"])], ["token", "classes", "words_key", "n"])
+    """Rows of narrow emitters, sorted by range -> the tokens of many classes. A range's counts are held, its rows one batch at a time."""
+    for parts in _by_range(batches):
+        tokens, counts = np.empty(0, np.uint32), np.empty(0, np.int64)
+        for part in parts:
+            new, n = np.unique(_values(part, 1, np.uint32), return_counts=True)
+            both, at = np.unique(np.concatenate([tokens, new]), return_inverse=True)
+            counts = np.bincount(at, np.concatenate([counts, n]), len(both)).astype(np.int64)
+            tokens = both
+        keep = counts >= FREQUENT
+        yield pa.RecordBatch.from_arrays([pa.array(tokens[keep].astype(np.int64)), pa.array(counts[keep])], ["token", "classes"])
 
 
 def frequent_tokens(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The high halves of the shingles of most classes, sorted, and whether they are common; never more than MOST_FREQUENT of them."""
-    counted = counted.where("token is not null")
     levels = counted.groupBy(F.floor(F.log2("classes")).cast("int").alias("level")).count().collect()  # a row for each power of two
     at, total = int(math.log2(FREQUENT)), sum(r["count"] for r in levels)
     for r in sorted(levels, key=lambda r: r["level"]):
@@ -166,14 +183,8 @@ def frequent_tokens(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 # Blocks
 
 
-@task("blocks")
-def _blocks(batches):
-    """All rows of some token ranges -> (block, member): each set of two or more classes that share a token, once."""
-    batches = list(batches)
-    tokens, owners = _gather(batches, 1, np.uint64), _gather(batches, 2, np.int64)
-    del batches
-    if not len(tokens):
-        return
+def _shared_sets(tokens, owners):
+    """(block, member) batches: each set of two or more owners that share a token, once."""
     order = np.argsort(tokens, kind="stable")
     tokens, owners = tokens[order], owners[order]
     first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
@@ -192,6 +203,33 @@ def _blocks(batches):
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(keys[i : i + 20_000], n).astype(np.int64)), pa.array(owners[at])], ["block", "member"])
 
 
+@task("blocks")
+def _blocks(batches):
+    """Rows of wide emitters, sorted by range -> (block, member): each set of two or more classes that share a token, once.
+
+    One range is held at a time. Where that is much, shingles of very many classes go out as they come, each as a
+    block of its own.
+    """
+    for parts in _by_range(batches):
+        tokens, owners, hot, most = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.uint64), HELD
+        for part in parts:
+            tokens = np.concatenate([tokens, _values(part, 1, np.uint64)])
+            owners = np.concatenate([owners, _values(part, 2, np.int64)])
+            if len(tokens) >= most:
+                names, n = np.unique(tokens, return_counts=True)
+                hot = np.union1d(hot, names[n >= HOT])
+                out = np.isin(tokens, hot)
+                if out.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(mix(tokens[out]).astype(np.int64)), pa.array(owners[out])], ["block", "member"])
+                    tokens, owners = tokens[~out], owners[~out]
+                most = max(HELD, 2 * len(tokens))
+        if len(hot) and (out := np.isin(tokens, hot)).any():
+            yield pa.RecordBatch.from_arrays([pa.array(mix(tokens[out]).astype(np.int64)), pa.array(owners[out])], ["block", "member"])
+            tokens, owners = tokens[~out], owners[~out]
+        if len(tokens):
+            yield from _shared_sets(tokens, owners)
+
+
 class Bitmap:
     """A set of ids that may also hold others."""
 
@@ -232,9 +270,10 @@ def _features(bitmap):
     @task("words")
     def run(batches):
         for batch in batches:
-            hit = bitmap.value.has(batch.column(0).to_numpy())
-            for piece, texts in text_pieces(batch.filter(pa.array(hit))):
-                sets = [shingles(t) for t in texts]
+            batch = batch.filter(pa.array(bitmap.value.has(batch.column(0).to_numpy())))
+            for start in range(0, batch.num_rows, 512):
+                piece = batch.slice(start, 512)
+                sets = [distinct_sorted(shingle_stream(h)) for h in column_words(piece.column(1))]
                 counts = [packed_counts(s) for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [piece.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(counts, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["member", "n", "counts", "tokens"]
@@ -251,7 +290,7 @@ class CountTree:
 
     def __init__(self, points: np.ndarray, sizes: np.ndarray, labels: np.ndarray | None = None):
         labels = np.arange(len(sizes)) if labels is None else labels
-        self.order = np.lexsort((*(points[:, k] for k in np.argsort(points.var(axis=0))[-3:]), sizes))
+        self.order = np.lexsort((*(points[:, k] for k in np.argsort(points.var(axis=0))[-3:]), sizes)) if len(sizes) > LEAF else np.arange(len(sizes))
         # Of each node the largest coordinates, the least and largest size, the least and largest label; points come first.
         level = (points[self.order], sizes[self.order], sizes[self.order], labels[self.order], labels[self.order])
         self.levels, self.fans = [level], []
@@ -291,13 +330,8 @@ class CountTree:
 
 def block_pairs(fine, sizes, labels, percent, tile=None, same=True):
     """Index pairs (i < j) of a block that the bounds leave, labels apart; with tiles only pairs between the two."""
-    if len(sizes) <= SMALL:
-        i, j = np.triu_indices(len(sizes), 1)
-        keep = (labels[i] != labels[j]) & (100 * np.minimum(sizes[i], sizes[j]) >= percent * np.maximum(sizes[i], sizes[j]))
-        pairs = np.stack([i[keep], j[keep]], axis=1)
-    else:
-        points = fine.reshape(len(fine), GROUPS, -1).sum(axis=2, dtype=np.int32)
-        pairs = CountTree(points, sizes, labels).pairs(percent)
+    points = fine.reshape(len(fine), GROUPS, -1).sum(axis=2, dtype=np.int32)
+    pairs = CountTree(points, sizes, labels).pairs(percent)
     if not same:
         pairs = pairs[tile[pairs[:, 0]] != tile[pairs[:, 1]]]
     least = need(sizes[pairs[:, 0]], sizes[pairs[:, 1]], percent)
@@ -400,8 +434,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     A-Z lower-cased, split at ASCII spaces; a shorter text is one shingle). Null, empty and blank texts have no
     shingles and link with nothing: their component is their own id. Equal texts always share a component. Rows
     that repeat an id all come back; their texts are joined under that id. Rows with a null id come back with a
-    null component and n_shingles null. Other columns are ignored. No pair that reaches the similarity is lost but
-    by a collision of 64-bit hashes.
+    null component and n_shingles null. Other columns are ignored; an empty table gives no rows. Texts of any length
+    are read whole, in segments of bytes. No pair that reaches the similarity is lost but by a collision of 64-bit
+    hashes, which could also join two texts.
     """
     if not 50 < percent <= 100:
         raise ValueError("percent must be over 50 and at most 100")
@@ -411,59 +446,81 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     parts = shuffle_partitions(spark)
     ranges = max(RANGES, 1 << (4 * parts - 1).bit_length())
 
-    keyed = cut(known.mapInArrow(_classes, "doc_id long, words_key binary"))
+    keyed = cut(known.mapInArrow(_classes, "doc_id long, words_key binary, n long"))
     space = np.uint64(int(COUNTED * 2**64))
     emitted = "range_id int, tokens binary, owners binary"
-    smallest = cut(keyed.where("words_key is not null").groupBy("words_key").agg(F.min("doc_id").alias("rep")))
-    copies = Bitmap(keyed.join(smallest, "words_key").where("doc_id <> rep").select("doc_id"))
+    classes = cut(keyed.where("words_key is not null").groupBy("words_key").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")))
+    copies = Bitmap(keyed.join(classes, "words_key").where("doc_id <> rep").select("doc_id"))
     copies = spark.sparkContext.broadcast(copies)
     nothing = np.empty(0, np.uint64)
-    # Copies don't make a shingle frequent; a text that is taken for one by mistake is only missing in the order.
-    narrow = known.mapInArrow(_emitter(ranges, lambda i, s: nothing if i in copies.value else s[: np.searchsorted(s, space)], False), emitted).repartitionById(parts, F.pmod("range_id", F.lit(parts)))
-    counted = cut(narrow.mapInArrow(_frequencies, "token long, classes long, words_key binary, n long"))
-    sizes = counted.where("words_key is not null").select("words_key", "n").distinct()
-    classes = cut(smallest.join(sizes, "words_key"))
 
+    def dealt_by_range(select, wide):
+        rows = known.mapInArrow(_emitter(ranges, select, wide), emitted)
+        return rows.repartitionById(parts, F.pmod("range_id", F.lit(parts))).sortWithinPartitions("range_id")
+
+    # Copies don't make a shingle frequent; a text that is taken for one by mistake is only missing in the order.
+    narrow = dealt_by_range(lambda i, s: nothing if i in copies.value else s[: np.searchsorted(s, space)], False)
+    counted = cut(narrow.mapInArrow(_frequencies, "token long, classes long"))
     frequent = spark.sparkContext.broadcast(frequent_tokens(counted))
-    wide = known.mapInArrow(_emitter(ranges, lambda _, s: ordered_prefix(s, frequent.value, percent), True), emitted).repartitionById(parts, F.pmod("range_id", F.lit(parts)))
-    raw = wide.mapInArrow(_blocks, "block long, member long").distinct()
+    drop(counted)
+    raw = dealt_by_range(lambda _, s: ordered_prefix(s, frequent.value, percent), True).mapInArrow(_blocks, "block long, member long").distinct()
     # A text that another partition holds too stood there for its class; from here on the smallest doc_id does.
-    members = raw.join(keyed.withColumnRenamed("doc_id", "member"), "member").join(classes, "words_key").select("block", F.col("rep").alias("member")).distinct()
+    members = raw.join(keyed.select(F.col("doc_id").alias("member"), "words_key"), "member").join(classes, "words_key").select("block", F.col("rep").alias("member")).distinct()
     members = cut(members)
-    blocks = members.groupBy("block").agg(F.min("member").alias("low"), F.max("member").alias("high")).where("low < high")
+    blocks = members.groupBy("block").agg(F.min("member").alias("low"), F.max("member").alias("high")).where("low < high").select("block")
 
-    bitmap = spark.sparkContext.broadcast(Bitmap(members.join(blocks, "block", "left_semi").select("member").distinct()))
+    bitmap = spark.sparkContext.broadcast(Bitmap(with_ids(members, blocks, "block").select("member").distinct()))
     features = cut(known.mapInArrow(_features(bitmap), "member long, n long, counts binary, tokens binary"))
-
     points = features.select("member", "n", "counts")
 
-    def candidates(labelled: DataFrame, cover: bool) -> DataFrame:
-        """labelled (block, member, label) -> the pairs of members with different labels that the bounds leave, or stars of them."""
-        mixed = labelled.groupBy("block").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")).where("low < high").select("block", "size")
-        tiles = F.ceil(F.col("size") / TILE).cast("int")
-        dealt = (
-            labelled.join(mixed, "block")
-            .withColumn("own", F.pmod(F.xxhash64("member"), tiles).cast("int"))
-            .withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
-            .select("block", F.least("own", "other").alias("tile_a"), F.greatest("own", "other").alias("tile_b"), "own", "member", "label")
-            .join(points, "member")
-            .repartition(parts, "block", "tile_a", "tile_b")
-            .sortWithinPartitions("block", "tile_a", "tile_b")
-        )
-        return dealt.mapInArrow(_join_blocks(percent, cover), "a long, b long").distinct()
-
-    # First a few pairs of each block, enough to connect most of a group of near copies; then all pairs of what is still apart.
-    stars = cut(checked_links(cut(candidates(members.withColumn("label", F.col("member")), True)), features, percent))
+    def few(df):
+        return F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else df
+
+    large = cut(members.groupBy("block").agg(F.count("*").alias("size")).where(F.col("size") > TILE))
+    large_too = few(large)
+
+    def pairs_of(dealt: DataFrame, cover: bool) -> DataFrame:
+        """dealt (block, own, other, member, label) -> the pairs of members with different labels that the bounds leave, or stars of them."""
+        rows = dealt.select("block", F.least("own", "other").alias("tile_a"), F.greatest("own", "other").alias("tile_b"), "own", "member", "label").join(points, "member")
+        return rows.repartition(parts, "block", "tile_a", "tile_b").sortWithinPartitions("block", "tile_a", "tile_b").mapInArrow(_join_blocks(percent, cover), "a long, b long").distinct()
+
+    # First a few pairs of each block, enough to connect most of a group of near copies: each tile with itself and with
+    # the block's first tile, so that the work grows with the block. Then all pairs of what is still apart.
+    tiles = F.coalesce(F.ceil(F.col("size") / TILE).cast("int"), F.lit(1))
+    placed = with_ids(members, blocks, "block").join(large_too, "block", "left").withColumn("tiles", tiles).withColumn("own", F.pmod(F.xxhash64("member"), "tiles").cast("int"))
+    others = F.when(F.col("own") == 0, F.sequence(F.lit(0), F.col("tiles") - 1)).otherwise(F.array(F.lit(0), F.col("own")))
+    first = placed.withColumn("other", F.explode(others)).withColumn("label", F.col("member"))
+    stars = cut(checked_links(cut(pairs_of(first, True)), features, percent))
     joined = cut(components(stars).withColumnsRenamed({"node": "member", "component": "label"}))
     labelled = cut(members.join(joined, "member", "left").select("block", "member", F.coalesce("label", "member").alias("label")))
-    links = checked_links(cut(candidates(labelled, False)), features, percent)
+
+    # In a large block each label of many members has tiles of its own, which needn't meet each other; the rest is pooled.
+    in_large = labelled.join(large_too, "block")
+    big = in_large.groupBy("block", "label").agg(F.count("*").alias("members")).where(F.col("members") * 2 >= TILE)
+    big = big.withColumn("t", F.ceil(F.col("members") / TILE).cast("int"))
+    before = Window.partitionBy("block").orderBy("label").rowsBetween(Window.unboundedPreceding, -1)  # at most 2 size / TILE rows a block
+    big = cut(big.withColumn("before", F.coalesce(F.sum("t").over(before), F.lit(0)).cast("int")))
+    layout = large.join(big.groupBy("block").agg(F.sum("members").alias("owned"), F.sum("t").alias("own_tiles")), "block", "left")
+    layout = layout.select("block", F.ceil((F.col("size") - F.coalesce("owned", F.lit(0))) / TILE).cast("int").alias("pooled"), F.coalesce("own_tiles", F.lit(0)).cast("int").alias("own_tiles"))
+    layout = cut(layout)
+    mixed = labelled.groupBy("block").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("block")
+    apart = with_ids(labelled, mixed, "block").join(few(layout), "block", "left").join(few(big.select("block", "label", "t", "before")), ["block", "label"], "left")
+    start = F.col("pooled") + F.col("before")
+    slot = F.xxhash64("member")
+    own = F.when(F.col("t").isNotNull(), start + F.pmod(slot, "t")).when(F.col("pooled") > 0, F.pmod(slot, F.col("pooled"))).otherwise(0).cast("int")
+    every = F.when(F.col("pooled").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("pooled") + F.col("own_tiles") - 1))
+    others = F.when(F.col("t").isNotNull(), F.filter(every, lambda x: (x < start) | (x >= start + F.col("t")))).otherwise(every)
+    second = apart.withColumn("own", own).withColumn("other", F.explode(others)).select("block", "own", "other", "member", "label")
+    links = checked_links(cut(pairs_of(second, False)), features, percent)
     named = lambda c: joined.select(F.col("member").alias(c), F.col("label").alias(f"{c}_label"))
     links = links.join(named("a"), "a", "left").join(named("b"), "b", "left").select(F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b"))
     groups = components(links)
+    for done in (members, stars, labelled, big, layout, large, features):
+        drop(done)
 
     found = classes.join(joined, F.col("rep") == F.col("member"), "left").select("words_key", "n", F.coalesce("label", "rep").alias("label"))
     by_class = found.join(groups, F.col("label") == F.col("node"), "left").select("words_key", "n", F.coalesce("component", "label").alias("component"))
-    out = keyed.join(by_class, "words_key", "left").select(
+    out = keyed.drop("n").join(by_class, "words_key", "left").select(
         "doc_id", F.when(F.col("words_key").isNull(), F.lit(0).cast("long")).otherwise(F.col("n")).alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")
     )
     lost = docs.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
