@@ -1,6 +1,8 @@
 """Document fingerprints: bottom-k sketches of shingle hashes.
 
 A sketch is the k smallest distinct hashes of a text's five-word shingles, and is whole if the text has no more.
+Runs of over 32 characters without a space count as one word a character. Texts of few words have few shingles: of
+six words a changed one spoils both, as in any five-word measure.
 Sketches of parts merge into the sketch of the whole; two sketches estimate resemblance, containment and the
 number of distinct shingles.
 """
@@ -9,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +24,18 @@ K = 128  # hashes of a sketch; the standard error of a likeness of one half is a
 SPACE = float(2**64)
 
 
+#: Code points without a space from which a run counts as its single characters, so that scripts without spaces have shingles too.
+LONG_RUN = re.compile(r"[^\x20\x09-\x0D]{33,}")
+
+
+def spaced(text: str | None) -> str:
+    """The text with a space after each character of its long runs."""
+    return LONG_RUN.sub(lambda m: " ".join(m[0]), text) if text else ""
+
+
 def sketch(text: str | None, k: int = K) -> np.ndarray:
-    return shingles(text)[:k]
+    """The k smallest shingle hashes of a text; a text of fewer than five words is one shingle."""
+    return shingles(spaced(text))[:k]
 
 
 def merge(a: np.ndarray, b: np.ndarray, k: int = K) -> np.ndarray:
@@ -63,7 +76,11 @@ def from_text(s: str) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, k: int = K, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fingerprint, n_distinct (estimated) of every row; null and empty texts have the empty fingerprint."""
+    """doc_id, fingerprint, n_distinct (estimated) of every row; null and empty texts have the empty fingerprint.
+
+    Repeated and null ids come back as they are, one row each; equal texts have equal fingerprints; texts are read
+    whole, whatever their length; other columns are ignored.
+    """
 
     @task("words")
     def run(batches):
@@ -75,22 +92,51 @@ def fingerprints(docs: DataFrame, k: int = K, id_col: str = "doc_id", text_col:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fingerprint string, n_distinct double")
 
 
+KEYS_HELD = 50_000  # keys that a task merges before it passes on what it has
+
+
 def merged(parts: DataFrame, key: str, k: int = K, fingerprint: str = "fingerprint") -> DataFrame:
-    """(key, fingerprint) of each group of sketches. Each task first merges what it has of a key, so that a hot key moves a row a task."""
+    """(key, fingerprint) of each group of sketches; a null key is a group, a null sketch is empty, no rows give none.
+
+    Each task first merges what it has of a key, so that a hot key moves few rows; then the rows of a key come sorted
+    and are merged one by one, so that no task holds more than one key's sketch.
+    """
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    batch_type = to_arrow_type(parts.schema[key].dataType)
+    kind = f"`{key}` {parts.schema[key].dataType.simpleString()}, fingerprint string"
+
+    def rows(names, sketches):
+        return pa.RecordBatch.from_arrays([pa.array(names, batch_type), pa.array(map(to_text, sketches), pa.string())], [key, "fingerprint"])
 
-    def combine(batches):
+    def some(batches):
         held: dict = {}
         for batch in batches:
             for name, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 held[name] = merge(held[name], from_text(s or ""), k) if name in held else from_text(s or "")
-        yield pa.RecordBatch.from_arrays([pa.array(list(held), batch_type), pa.array([to_text(x) for x in held.values()], pa.string())], [key, "fingerprint"])
+            if len(held) > KEYS_HELD:
+                yield rows(list(held), held.values())
+                held = {}
+        yield rows(list(held), held.values())
 
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    batch_type = to_arrow_type(parts.schema[key].dataType)
-    kind = f"`{key}` {parts.schema[key].dataType.simpleString()}, fingerprint string"
-    partial = parts.select(key, fingerprint).mapInArrow(combine, kind)
-    return partial.repartition(shuffle_partitions(parts.sparkSession), key).mapInArrow(combine, kind)
+    def sorted_keys(batches):
+        name, now, names, done = None, None, [], []
+        for batch in batches:
+            for other, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if now is not None and other == name:
+                    now = merge(now, from_text(s or ""), k)
+                    continue
+                if now is not None:
+                    names.append(name)
+                    done.append(now)
+                name, now = other, from_text(s or "")
+            yield rows(names, done)
+            names, done = [], []
+        if now is not None:
+            yield rows([name], [now])
+
+    partial = parts.select(key, fingerprint).mapInArrow(some, kind)
+    return partial.repartition(shuffle_partitions(parts.sparkSession), key).sortWithinPartitions(key).mapInArrow(sorted_keys, kind)
 
 
 # Each text against the next, and against itself with an end from the next

@@ -86,6 +86,7 @@ def test_edits_against_a_plain_version(spark):
     df = spark.createDataFrame([(i, t, "n") for i, t in rows], "doc_id long, text string, slice string").repartition(5)
     got = {x.doc_id: x for x in fingerprint.fingerprints_with_edits(df).collect()}
     rows.sort()
+    of = lambda t: shingles(fingerprint.spaced(t))
     assert len(got) == len(rows) and texts_end
     for k, (i, t) in enumerate(rows):
         a, b = t or "", rows[(k + 1) % len(rows)][1] or ""
@@ -93,9 +94,9 @@ def test_edits_against_a_plain_version(spark):
         e = a[: len(a) - c] + b[:c]
         x = got[i]
         assert (x.n_chars, x.edited_sha256) == (len(a), hashlib.sha256(e.encode()).hexdigest())
-        assert x.fingerprint == fingerprint.to_text(np.sort(shingles(a))[: fingerprint.K]) and x.edited_fingerprint == fingerprint.to_text(shingles(e)[: fingerprint.K])
+        assert x.fingerprint == fingerprint.to_text(of(a)[: fingerprint.K]) and x.edited_fingerprint == fingerprint.to_text(of(e)[: fingerprint.K])
         for other, near in ((e, x.near_edited), (b, x.near_next)):
-            s, t2 = set(shingles(a).tolist()), set(shingles(other).tolist())
+            s, t2 = set(of(a).tolist()), set(of(other).tolist())
             true = len(s & t2) / len(s | t2) if s | t2 else 1.0
             assert abs(true - near) <= (0 if len(s | t2) <= fingerprint.K else 0.2)
 
@@ -122,6 +123,26 @@ def test_sketches_merge_and_estimate(spark):
     assert fingerprint.resemblance(sa, sa) == 1.0 and fingerprint.containment(np.empty(0, np.uint64), sb) == 1.0
 
 
+def test_texts_without_spaces_have_shingles_of_characters(spark):
+    r = random.Random(1)
+    chinese = "".join(chr(r.randrange(0x4E00, 0x5E00)) for _ in range(560))
+    other = "".join(chr(r.randrange(0x5E00, 0x6E00)) for _ in range(560))
+    got = {x.doc_id: x for x in fingerprint.fingerprints_with_edits(spark.createDataFrame([(1, chinese), (2, other), (3, chinese)], "doc_id long, text string")).collect()}
+    assert 0.4 < got[1].near_edited < 0.8 and got[1].near_next < 0.1 and got[1].fingerprint == got[3].fingerprint
+    assert fingerprint.spaced("short words stay " + "x" * 32) == "short words stay " + "x" * 32
+
+
+def test_fingerprints_of_rows_with_null_keys_and_repeats(spark):
+    df = spark.createDataFrame([(1, "a b c d e f", "k"), (1, "a b c d e f", "k"), (None, "a b c d e f", None), (2, None, None), (3, "", "k"), (4, "w " * 300_000, "k")], "doc_id long, text string, fingerprint string")
+    rows = fingerprint.fingerprints(df).collect()
+    assert sorted((r.doc_id or 0, r.n_distinct) for r in rows) == [(0, 2.0), (1, 2.0), (1, 2.0), (2, 0.0), (3, 0.0), (4, 1.0)]
+    assert len({r.fingerprint for r in rows if r.doc_id in (1, None)}) == 1
+    parts = fingerprint.fingerprints(df).union(spark.createDataFrame([(None, None, 0.0)], "doc_id long, fingerprint string, n_distinct double"))
+    whole = {r.doc_id: fingerprint.from_text(r.fingerprint) for r in fingerprint.merged(parts, "doc_id").collect()}
+    assert {k: len(v) for k, v in whole.items()} == {1: 2, None: 2, 2: 0, 3: 0, 4: 1}
+    assert fingerprint.merged(parts.limit(0), "doc_id").count() == 0 and fingerprint.fingerprints(df.limit(0)).count() == 0
+
+
 # Licences
 
 

@@ -218,6 +218,14 @@ def test_very_long_runs(spark, library):
     assert {r.doc_id: r.ids_sha256 for r in bpe.round_trips(df).collect()} == {k: digest(x) for k, x in enumerate(want)}
 
 
+def test_ids_of_null_keys_and_of_no_token(spark):
+    df = spark.createDataFrame([(None, "a b"), (None, None), (1, ""), (1, "a b")], "doc_id long, text string")
+    rows = bpe.encode_texts(df).collect()
+    assert sorted((r.id or 0, len(r.ids)) for r in rows) == [(0, 0), (0, 2), (1, 0), (1, 2)]
+    ids = spark.createDataFrame([(None, [64, 10_000_000, -1]), (1, None), (2, []), (2, [64, None, 64])], "id long, ids array<int>")
+    assert sorted((r.id or 0, str(r.text)) for r in bpe.decode_ids(ids).collect()) == [(0, "a"), (1, "None"), (2, ""), (2, "aa")]
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string, rank long")
     for out in (token_counts.token_counts(none), bpe.round_trips(none), packing.pack(none), bpe.encode_texts(none)):
