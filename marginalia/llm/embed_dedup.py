@@ -3,11 +3,15 @@
 Unit vectors are turned into the directions of most energy first. Space is split into tiles along the leading
 directions; tiles too far apart are never compared. Between two tiles products accumulate from the leading
 dimensions on, and what the other dimensions can still add is bounded by the product of the suffix norms: a pair
-drops out as soon as its cosine can't reach the threshold.
+drops out as soon as its cosine can't reach the threshold. Tiles are dealt by pairs of groups, so that each travels
+once for a group it meets and not once for a tile; a task holds one group and meets the other's tiles as they come.
 """
 
 from __future__ import annotations
 
+import logging
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -16,11 +20,15 @@ from pyspark.sql import functions as F
 from .common import cut, shuffle_partitions
 from .components import components, forest
 
+log = logging.getLogger(__name__)
+
 TILE = 2048  # vectors of a tile, about
 LEAD = 8  # dimensions that tiles are split along, and of the first block of products
 SAMPLE = 50_000  # vectors, about, that the splits are fitted to; every vector is placed and compared
 SLACK = 1e-9  # by which bounds are wider than rounding can take them
 STRIP = 512  # rows of a tile that are compared at once
+PART = 2048  # rows of a tile that travel as one
+HELD_BYTES = 24 << 20  # of vectors that a task holds to compare others with; they are held twice, as they are and turned
 
 
 def _vectors(batches):
@@ -113,43 +121,71 @@ def _located(shared, d):
         turn, splits = shared.value
         lead = min(LEAD, d)
         for batch in batches:
-            x = unit(batch.column("vector").to_pylist(), d) @ turn[:, :lead]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(splits.leaf(x).astype(np.int32)), *(pa.array(x[:, k]) for k in range(lead))], ["rep", "copies", "vector", "leaf", *(f"x{k}" for k in range(lead))])
+            unit_rows = unit(batch.column("vector").to_pylist(), d)
+            x = unit_rows @ turn[:, :lead]
+            tail = np.sqrt(np.maximum(0, 1 - (x * x).sum(axis=1)))
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(splits.leaf(x).astype(np.int32)), *(pa.array(x[:, k]) for k in range(lead)), pa.array(tail)], ["rep", "copies", "vector", "leaf", *(f"x{k}" for k in range(lead + 1))]
+            )
 
     return run
 
 
-def near_leaves(low: np.ndarray, high: np.ndarray, reach: float) -> np.ndarray:
-    """Index pairs (i <= j) of boxes no farther apart than `reach`; a sweep along the first dimension."""
-    order = np.argsort(low[:, 0])
-    low, high = low[order], high[order]
-    out = []
-    for i in range(len(low)):
-        end = np.searchsorted(low[:, 0], high[i, 0] + reach, side="right")
-        j = np.arange(i, end)
-        gap = np.maximum(0, np.maximum(low[j] - high[i], low[i] - high[j]))
-        j = j[(gap * gap).sum(axis=1) <= reach * reach]
-        out.append(np.stack([np.minimum(order[i], order[j]), np.maximum(order[i], order[j])], axis=1))
-    return np.concatenate(out) if out else np.empty((0, 2), np.int64)
-
-
-def _blobs(batches):
-    """Rows sorted by tile -> a row a tile."""
-    key, rows = None, ([], [], [])
+class Boxes:
+    """The leaves' boxes over the leading directions and the length of the rest, and where the leaves' tiles are."""
+
+    def __init__(self, leaves: np.ndarray, sizes: np.ndarray, low: np.ndarray, high: np.ndarray, reach: float, row_bytes: int):
+        order = np.argsort(leaves)
+        self.leaves, self.low, self.high, self.reach = leaves[order], low[order], high[order], reach
+        self.chunks = -(-sizes[order] // (2 * TILE))
+        self.first = np.concatenate([[0], np.cumsum(self.chunks)])  # the number of each leaf's first tile
+        tiles = int(self.first[-1])
+        # As many tiles to a group as there are groups, but no more than a task may hold.
+        self.group = max(1, min(math.isqrt(max(0, tiles - 1)) + 1, HELD_BYTES // max(1, 2 * TILE * row_bytes)))
+        self.groups = -(-tiles // self.group)
+
+    def near(self, at: int) -> np.ndarray:
+        """The indexes of the leaves that a vector of this one can link to: boxes no farther apart than `reach`."""
+        gap = np.maximum(0, np.maximum(self.low - self.high[at], self.low[at] - self.high))
+        return np.flatnonzero((gap * gap).sum(axis=1) <= self.reach * self.reach)
+
+    def near_groups(self, at: int) -> np.ndarray:
+        """The groups of tiles that hold any tile of those leaves."""
+        near = self.near(at)
+        return np.unique(np.concatenate([np.arange(self.first[k] // self.group, (self.first[k + 1] - 1) // self.group + 1) for k in near]))
+
+
+def _blobs(boxes):
+    """Rows sorted by (leaf, chunk) -> the rows of a tile in parts of at most PART, once for each group of tiles that it meets."""
+
+    def out(key, rows):
+        b = boxes.value
+        at = int(np.searchsorted(b.leaves, key[0]))
+        tile = int(b.first[at]) + key[1]
+        own, met = tile // b.group, b.near_groups(at)
+        data = [b"".join(r) for r in rows]
+        low, high = np.minimum(own, met), np.maximum(own, met)
+        n = len(met)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(low.astype(np.int64) * b.groups + high), pa.array((low != own).astype(np.int8)), pa.array([tile] * n, pa.int64()), pa.array([at] * n, pa.int32()), *(pa.array([x] * n, pa.binary()) for x in data)],
+            ["cell", "side", "tile", "leaf", "reps", "copies", "vectors"],
+        )
 
-    def out():
-        return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), *(pa.array([b"".join(r)], pa.binary()) for r in rows)], ["leaf", "chunk", "reps", "copies", "vectors"])
+    def run(batches):
+        key, rows, held = None, ([], [], []), 0
+        for batch in batches:
+            for leaf, chunk, rep, n, v in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                if (leaf, chunk) != key or held == PART:
+                    if key is not None:
+                        yield out(key, rows)
+                    key, rows, held = (leaf, chunk), ([], [], []), 0
+                held += 1
+                for kept, x in zip(rows, (rep.to_bytes(8, "little", signed=True), n.to_bytes(8, "little"), v)):
+                    kept.append(x)
+        if key is not None:
+            yield out(key, rows)
 
-    for batch in batches:
-        for leaf, chunk, rep, n, v in zip(*(batch.column(i).to_pylist() for i in range(5))):
-            if (leaf, chunk) != key:
-                if key is not None:
-                    yield out()
-                key, rows = (leaf, chunk), ([], [], [])
-            for held, x in zip(rows, (rep.to_bytes(8, "little", signed=True), n.to_bytes(8, "little"), v)):
-                held.append(x)
-    if key is not None:
-        yield out()
+    return run
 
 
 def close_pairs(x: np.ndarray, y: np.ndarray, least: float, blocks: tuple[int, ...] = (LEAD, 24)) -> tuple[np.ndarray, np.ndarray]:
@@ -172,35 +208,71 @@ def close_pairs(x: np.ndarray, y: np.ndarray, least: float, blocks: tuple[int, .
     return i, j
 
 
-def _compared(shared, d, least):
-    def links(x, y, turned_x, turned_y):
-        i, j = close_pairs(turned_x, turned_y, least)
-        return i, j, np.einsum("ij,ij->i", x[i], y[j]) >= least  # the decision is on the vectors as they are
+class _Part:
+    """Some rows of a tile: ids, copies, unit vectors as they are and turned."""
+
+    def __init__(self, row, turn, d):
+        self.tile, self.leaf = row["tile"], row["leaf"]
+        self.ids, self.n, self.x = np.frombuffer(row["reps"], np.int64), np.frombuffer(row["copies"], np.int64), unit([row["vectors"]], d)
+        self.turned = self.x @ turn
+        self.count = np.zeros(len(self.ids), np.int64)
+
+
+def _meet(a: _Part, b: _Part, least: float):
+    """Counts the links of a and b (of a alone if they are one) and gives edges that connect what they connect."""
+    edges = np.empty((0, 2), np.int64)
+    for s in range(0, len(a.ids), STRIP):
+        i, j = close_pairs(a.turned[s : s + STRIP], b.turned, least)
+        i = i + s
+        if a is b:
+            i, j = i[i < j], j[i < j]
+        ok = np.einsum("ij,ij->i", a.x[i], b.x[j]) >= least  # the decision is on the vectors as they are
+        i, j = i[ok], j[ok]
+        np.add.at(a.count, i, b.n[j])
+        np.add.at(b.count, j, a.n[i])
+        edges = forest(np.concatenate([edges, np.stack([a.ids[i], b.ids[j]], axis=1)]))
+    return edges
+
+
+def _compared(shared, boxes, d, least):
+    """Rows sorted by (cell, side, tile): a cell is a pair of groups of tiles. Those of its first group are held, those of the second met as they come."""
 
     def run(batches):
-        turn = shared.value[0]
+        turn, b = shared.value[0], boxes.value
+        near: dict[int, set[int]] = {}
+
+        def links(who):
+            hit = who.count > 0
+            if hit.any():
+                yield pa.RecordBatch.from_arrays([pa.array(who.ids[hit]), pa.nulls(hit.sum(), pa.int64()), pa.array(who.count[hit])], ["a", "b", "n"])
+
+        def pairs(edges):
+            if len(edges):
+                yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1]), pa.nulls(len(edges), pa.int64())], ["a", "b", "n"])
+
+        cell, held = None, []
         for batch in batches:
-            for row in batch.to_pylist():
-                same = row["same"]
-                ids, n, x = np.frombuffer(row["reps_a"], np.int64), np.frombuffer(row["copies_a"], np.int64), unit([row["vectors_a"]], d)
-                ids_b, n_b, y = (ids, n, x) if same else (np.frombuffer(row["reps_b"], np.int64), np.frombuffer(row["copies_b"], np.int64), unit([row["vectors_b"]], d))
-                tx = x @ turn
-                ty = tx if same else y @ turn
-                count, count_b, edges = np.zeros(len(ids), np.int64), np.zeros(len(ids_b), np.int64), np.empty((0, 2), np.int64)
-                for s in range(0, len(ids), STRIP):
-                    i, j, ok = links(x[s : s + STRIP], y, tx[s : s + STRIP], ty)
-                    i, j = i[ok] + s, j[ok]
-                    if same:
-                        i, j = i[i < j], j[i < j]
-                    np.add.at(count, i, n_b[j])
-                    np.add.at(count_b, j, n[i])
-                    edges = forest(np.concatenate([edges, np.stack([ids[i], ids_b[j]], axis=1)]))
-                for who, c in ((ids, count), (ids_b, count_b)):
-                    hit = c > 0
-                    if hit.any():
-                        yield pa.RecordBatch.from_arrays([pa.array(who[hit]), pa.nulls(hit.sum(), pa.int64()), pa.array(c[hit])], ["a", "b", "n"])
-                if len(edges):
-                    yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1]), pa.nulls(len(edges), pa.int64())], ["a", "b", "n"])
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
+                if row["cell"] != cell:
+                    for who in held:
+                        yield from links(who)
+                    cell, held, near = row["cell"], [], {}
+                now = _Part(row, turn, d)
+                if now.leaf not in near:
+                    near[now.leaf] = set(b.near(now.leaf).tolist())
+                alone = cell // b.groups == cell % b.groups
+                for other in held if alone or row["side"] else ():
+                    if other.leaf in near[now.leaf]:
+                        yield from pairs(_meet(other, now, least))
+                if alone:
+                    yield from pairs(_meet(now, now, least))
+                if row["side"] == 0:
+                    held.append(now)
+                else:
+                    yield from links(now)
+        for who in held:
+            yield from links(who)
 
     return run
 
@@ -216,27 +288,21 @@ def _links(vectors: DataFrame, d: int, least: float) -> DataFrame:
     points = unit(sample, d) @ turn[:, :lead] if sample else np.empty((0, lead))
     splits = Splits(points, max(1, int(TILE * max(1, len(sample)) / max(1, count))))
     shared = spark.sparkContext.broadcast((turn, splits))
-    located = cut(vectors.select("rep", "copies", "vector").mapInArrow(_located(shared, d), "rep long, copies long, vector binary, leaf int, " + ", ".join(f"x{k} double" for k in range(lead))))
-    boxes = located.groupBy("leaf").agg(F.count("*").alias("size"), *(f(f"x{k}").alias(f"{f.__name__}{k}") for f in (F.min, F.max) for k in range(lead))).collect()  # a row for each leaf, TILE vectors or so
-    low, high = (np.array([[r[f"{f}{k}"] for k in range(lead)] for r in boxes]) for f in ("min", "max"))
-    chunks = {r["leaf"]: -(-r["size"] // (2 * TILE)) for r in boxes}
-    pairs = []
-    for i, j in near_leaves(low, high, float(np.sqrt(max(0.0, 2 - 2 * least)) + SLACK)).tolist():
-        p, q = boxes[i]["leaf"], boxes[j]["leaf"]
-        pairs += [(p, a, q, b, p == q and a == b) for a in range(chunks[p]) for b in range(chunks[q]) if p != q or a <= b]
-    many = F.create_map(*[F.lit(x) for kv in chunks.items() for x in kv])[F.col("leaf")] if len(chunks) <= 4096 else None
-    if many is None:
-        table = spark.createDataFrame(list(chunks.items()), "leaf int, chunks int")
-        located = located.join(F.broadcast(table), "leaf")
-        many = F.col("chunks")
-    chunked = located.withColumn("chunk", F.pmod(F.xxhash64("rep"), many).cast("int")).select("leaf", "chunk", "rep", "copies", "vector")
-    blobs = cut(chunked.repartition(parts, "leaf", "chunk").sortWithinPartitions("leaf", "chunk").mapInArrow(_blobs, "leaf int, chunk int, reps binary, copies binary, vectors binary"))
-    wanted = spark.createDataFrame(pairs, "leaf_a int, chunk_a int, leaf_b int, chunk_b int, same boolean")
-    of = lambda x: blobs.select(*(F.col(c).alias(f"{c}_{x}") for c in blobs.columns))
-    alone = wanted.where("same").join(of("a"), ["leaf_a", "chunk_a"]).select("same", "reps_a", "copies_a", "vectors_a", *(F.lit(None).cast("binary").alias(f"{c}_b") for c in ("reps", "copies", "vectors")))
-    two = wanted.where("not same").join(of("a"), ["leaf_a", "chunk_a"]).join(of("b"), ["leaf_b", "chunk_b"]).select(alone.columns)
-    dealt = alone.union(two).repartition(max(parts, min(len(pairs), 4 * parts)))
-    return dealt.mapInArrow(_compared(shared, d, least), "a long, b long, n long")
+    located = cut(vectors.select("rep", "copies", "vector").mapInArrow(_located(shared, d), "rep long, copies long, vector binary, leaf int, " + ", ".join(f"x{k} double" for k in range(lead + 1))))
+    rows = located.groupBy("leaf").agg(F.count("*").alias("size"), *(f(f"x{k}").alias(f"{f.__name__}{k}") for f in (F.min, F.max) for k in range(lead + 1))).collect()  # at most a row for each vector of the sample
+    low, high = (np.array([[r[f"{f}{k}"] for k in range(lead + 1)] for r in rows]).reshape(-1, lead + 1) for f in ("min", "max"))
+    leaves, sizes = (np.array([r[c] for r in rows], np.int64) for c in ("leaf", "size"))
+    boxes = Boxes(leaves, sizes, low, high, float(np.sqrt(max(0.0, 2 - 2 * least)) + SLACK), 8 * d)
+    log.info("%d vectors of length %d, %d leaves, %d tiles in %d groups, %.3f of the pairs of leaves near", count, d, len(rows), boxes.first[-1], boxes.groups, sum(len(boxes.near(k)) for k in range(0, len(rows), max(1, len(rows) // 200))) / max(1, len(range(0, len(rows), max(1, len(rows) // 200)))) / max(1, len(rows)))
+    placed = spark.sparkContext.broadcast(boxes)
+    many = spark.createDataFrame([(int(k), int(n)) for k, n in zip(boxes.leaves, boxes.chunks) if n > 1], "leaf int, chunks int")
+    chunk = F.pmod(F.xxhash64("rep"), F.coalesce("chunks", F.lit(1))).cast("int")
+    chunked = located.join(F.broadcast(many), "leaf", "left").select("leaf", chunk.alias("chunk"), "rep", "copies", "vector")  # many: no more rows than leaves
+    kinds = "cell long, side byte, tile long, leaf int, reps binary, copies binary, vectors binary"
+    blobs = chunked.repartition(parts, "leaf", "chunk").sortWithinPartitions("leaf", "chunk").mapInArrow(_blobs(placed), kinds)
+    cells = boxes.groups * (boxes.groups + 1) // 2
+    dealt = blobs.repartition(max(parts, min(cells, 4 * parts)), "cell").sortWithinPartitions("cell", "side", "tile")
+    return dealt.mapInArrow(_compared(shared, placed, d, least), "a long, b long, n long")
 
 
 def near_vectors(embeddings: DataFrame, least: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
