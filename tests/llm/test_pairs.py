@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -166,6 +167,74 @@ def test_alignment_rises_and_is_no_longer_than_the_longest_common_subsequence():
     assert len(license_scan.rising([(0, 3), (1, 1), (2, 2), (3, 9), (4, 4)])) == 3
 
 
+def test_alignment_of_distinct_words_is_the_longest_there_is():
+    r = random.Random(6)
+    for _ in range(200):
+        a, b = (r.sample(range(40), r.randrange(30)) for _ in range(2))
+        assert len(license_scan.align(a, b)) == lcs(a, b)
+
+
+def plain_align(a, b):
+    """Patience alignment as it is defined, by recursion and a search over all rising subsets of few anchors."""
+    head = 0
+    while head < min(len(a), len(b)) and a[head] == b[head]:
+        head += 1
+    tail = 0
+    while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
+        tail += 1
+    a2, b2 = a[head : len(a) - tail], b[head : len(b) - tail]
+    anchors = [(i, b2.index(w)) for i, w in enumerate(a2) if a2.count(w) == 1 and b2.count(w) == 1]
+    best = [[]]
+    for p in anchors:
+        best += [x + [p] for x in best if not x or x[-1][1] < p[1]]
+    most = max(map(len, best))
+    if not most:
+        return {head + tail}
+    sizes = set()
+    for chain in (x for x in best if len(x) == most):
+        totals = {head + tail + most}
+        i = k = 0
+        for x, y in [*chain, (len(a2), len(b2))]:
+            inner = plain_align(a2[i:x], b2[k:y])
+            totals = {t + n for t in totals for n in inner}
+            i, k = x + 1, y + 1
+        sizes |= totals
+    return sizes
+
+
+def test_alignment_against_its_definition():
+    r = random.Random(9)
+    for _ in range(300):
+        a, b = ([r.choice("abcdefghijkl") for _ in range(r.randrange(11))] for _ in range(2))
+        assert len(license_scan.align(a, b)) in plain_align(a, b)
+
+
+def test_every_template_is_found_with_changes_and_repeats():
+    templates = license_scan._templates(tuple(sorted(license_scan.TEMPLATES.items())), 75)
+    r = random.Random(4)
+    for t in templates:
+        w = list(t.words)
+        for at in r.sample(range(len(w)), (len(w) - t.need) // 2):
+            w[at] = f"new{at}"
+        noise = [f"n{k}" for k in range(500)]
+        for text, least in ((w, len(w) - (len(w) - t.need) // 2), (noise + w + noise, 0), (w + w + w, 0), ((noise + w) * 3, 0)):
+            places = {}
+            for k, x in enumerate(text):
+                places.setdefault(x, []).append(k)
+            found = t.best(text, places)
+            assert found and found[0] >= max(t.need, least), (t.name, found, t.need)
+            assert 0 <= found[1] < found[2] <= len(text)
+
+
+def test_a_long_text_of_marks_takes_little_time():
+    templates = license_scan._templates(tuple(sorted(license_scan.TEMPLATES.items())), 75)
+    r = random.Random(4)
+    marks = sorted(set().union(*(t.marks for t in templates)))
+    begun = time.process_time()
+    assert license_scan.scan_text(" ".join(r.choice(marks) for _ in range(200_000)), templates) is not None
+    assert time.process_time() - begun < 30
+
+
 def test_planted_licences_are_found(spark):
     r = random.Random(5)
     noise = [f"w{k}" for k in range(300)]
