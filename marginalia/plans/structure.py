@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import prose as N
 from ..functions import text as T
 from ..operators import concepts as C
 from ..operators import structure as S
 from ..operators.joins import as_of_join, top_per_group
 from ..sources import tables
-from .text import CHUNKS, LINES, _ngrams, _structural
+from .prose import LINE_RULES as PROSE_RULES
+from .prose import MARKED
+from .text import CHUNKS, LINES, _ngrams
 
 
 def build_outline(spark, d):
@@ -69,19 +72,6 @@ def subchunk_text(spark, d):
     return packs.select("id", "pos", "n_words", F.md5("text").alias("digest"))
 
 
-def check_filters(spark, d):
-    """The first reason to leave a chunk out, null if it stays."""
-    s = F.col("text")
-    reason = F.when(F.lower(s).contains("table of contents"), "toc_phrase").when(T.looks_like_contents(s), "toc_structure").when(T.structural_chunk(s), "structural").when(T.word_count(s) < 20, "short")
-    return tables.chunks(spark, d).select("chunk_id", reason.alias("reason"))
-
-
-def build_corpus(spark, d):
-    """What the filters leave, by book."""
-    c = tables.chunks(spark, d).select("book", "text", T.word_count(F.col("text")).alias("n")).withColumn("out", T.structural_chunk(F.col("text")) | (F.col("n") < 20))
-    return c.groupBy("book").agg(F.count("*").alias("input"), F.count_if("out").alias("filtered"), F.count_if(~F.col("out")).alias("kept"), F.round(F.avg(F.when(~F.col("out"), F.col("n"))), 1).alias("avg_words"))
-
-
 def get_catalog(spark, d):
     c = tables.chunks(spark, d)
     return c.rollup("book").agg(F.count("*").alias("chunks"), F.grouping("book").cast("int").alias("total"))
@@ -98,12 +88,9 @@ def exact_dedupe(spark, d):
 
 
 def extract_headings(spark, d):
-    """Lines like headings: two to ten words, at least half of them capitalised, no full stop; where each comes first."""
+    """Lines like headings, where each comes first; those that differ in case and spaces are one."""
     s = F.col("s")
-    words = T.words(s)
-    capital = F.size(F.filter(words, lambda w: w.rlike("^[A-Z]")))
-    heading = F.size(words).between(2, 10) & (capital / F.size(words) >= 0.5) & ~s.rlike("[.!?]$")
-    found = tables.lines(spark, d).where(heading).select("doc_id", "pos", F.lower(F.trim(s)).alias("heading"))
+    found = tables.probe_lines(spark, d).where(N.heading_like(s)).select("doc_id", "pos", F.lower(T.squeeze(s)).alias("heading"))
     return found.groupBy("heading").agg(F.min(F.struct("doc_id", "pos")).alias("at"), F.count("*").alias("n")).select("heading", "at.doc_id", "at.pos", "n")
 
 
@@ -184,7 +171,7 @@ _words = r"list_filter(regexp_split_to_array(s, '\s+'), lambda w: w <> '')"
 
 QUERIES = {f.__name__: f for f in (
     build_outline, compute_outline_id, fallback_outline, filter_chunks_by_page_ranges, build_page_to_sections, lookup_section, get_chapter_info, scan_sections, chunk_long_sections, subchunk_text,
-    check_filters, build_corpus, get_catalog, stats, exact_dedupe, extract_headings, build_term_stats, build_cooccurrence_graph, bundle_terms, get_ranked_gaps, get_prereqs,
+    get_catalog, stats, exact_dedupe, extract_headings, build_term_stats, build_cooccurrence_graph, bundle_terms, get_ranked_gaps, get_prereqs,
     get_active_version_per_family, get_books_union, compare_results,
 )}
 ORACLE_SQL = {
@@ -197,12 +184,10 @@ ORACLE_SQL = {
     "get_chapter_info": f"{CHUNKS}, p AS (SELECT DISTINCT book, page_end AS page FROM l), c AS (SELECT book, page_start, max(chapter) AS chapter FROM l GROUP BY ALL) SELECT p.book, page, chapter FROM p ASOF LEFT JOIN c ON p.book = c.book AND page >= page_start",
     "scan_sections": f"{CHUNKS}, s AS (SELECT book, page_start, min(doc_id) AS section_number FROM l GROUP BY ALL), z AS (SELECT book, max(page_end) AS last_page FROM l GROUP BY book) SELECT book, page_start, section_number, coalesce(greatest(lead(page_start) OVER (PARTITION BY book ORDER BY page_start, section_number) - 1, page_start), last_page) AS page_end FROM s JOIN z USING (book)",
     "chunk_long_sections": f"{CHUNKS}, w AS (SELECT doc_id AS id, {_words} AS w FROM l), t AS (SELECT *, (greatest(ceil((len(w) - 1000) / 900), 0) + 1)::INT AS total_chunks FROM w), x AS (SELECT id, w, total_chunks, unnest(range(total_chunks)) AS chunk_index FROM t), y AS (SELECT id, chunk_index, total_chunks, w[chunk_index * 900 + 1:chunk_index * 900 + 1000] AS words FROM x) SELECT id, chunk_index, total_chunks, len(words) AS word_count, md5(array_to_string(words, ' ')) AS digest FROM y",
-    "check_filters": None,
-    "build_corpus": f"{CHUNKS}, x AS (SELECT book, len({_words}) AS n, {_structural} AS st FROM l), y AS (SELECT *, st OR n < 20 AS out FROM x) SELECT book, count(*) AS input, count(*) FILTER (out) AS filtered, count(*) FILTER (NOT out) AS kept, round(avg(n) FILTER (NOT out), 1) AS avg_words FROM y GROUP BY book",
     "get_catalog": f"{CHUNKS} SELECT book, count(*) AS chunks, grouping(book) AS total FROM l GROUP BY ROLLUP (book)",
     "stats": f"{CHUNKS}, x AS (SELECT book, len({_words}) AS n FROM l) SELECT count(DISTINCT book) AS books, count(*) AS chunks, sum(n) AS words, floor(avg(n))::BIGINT AS mean_words, avg(n) > 600 AS long FROM x",
     "exact_dedupe": "SELECT sha256(text) AS digest, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1",
-    "extract_headings": f"{LINES}, h AS (SELECT doc_id, pos, lower(trim(s)) AS heading FROM l WHERE len({_words}) BETWEEN 2 AND 10 AND len(list_filter({_words}, lambda w: regexp_matches(w, '^[A-Z]'))) / len({_words}) >= 0.5 AND NOT regexp_matches(s, '[.!?]$')) SELECT heading, doc_id, pos, n FROM (SELECT *, count(*) OVER (PARTITION BY heading) AS n, row_number() OVER (PARTITION BY heading ORDER BY doc_id, pos) AS k FROM h) WHERE k = 1",
+    "extract_headings": f"{MARKED}, h AS (SELECT doc_id, pos, lower(q) AS heading FROM m WHERE {PROSE_RULES['is_heading_like'][1]}) SELECT heading, doc_id, pos, n FROM (SELECT *, count(*) OVER (PARTITION BY heading) AS n, row_number() OVER (PARTITION BY heading ORDER BY doc_id, pos) AS k FROM h) WHERE k = 1",
     "build_term_stats": f"{TERMS} SELECT * FROM ts",
     "build_cooccurrence_graph": f"{GRAPH} SELECT * FROM e",
     "bundle_terms": f"{GRAPH}, b2 AS (SELECT * FROM e UNION ALL SELECT b, a, n FROM e) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY n DESC, b) AS rank FROM b2) WHERE rank <= 5",
@@ -216,8 +201,3 @@ ORACLE_SQL = {
         u AS (SELECT k, p_brand, 'size' AS metric, size AS v FROM g UNION ALL SELECT k, p_brand, 'price', price FROM g)
         SELECT a.p_brand, a.metric, a.v AS base, b.v AS now, CASE WHEN b.v - a.v < -0.01 THEN 'regression' WHEN b.v - a.v > 0.01 THEN 'improvement' ELSE 'same' END AS status FROM u a JOIN u b ON a.p_brand = b.p_brand AND a.metric = b.metric AND a.k = 0 AND b.k = 1""",
 }
-from .text import ORACLE_SQL as _T  # noqa: E402
-
-_toc = _T["looks_like_toc"].split(" SELECT doc_id, ")[1].removesuffix(" AS value FROM l")
-ORACLE_SQL["check_filters"] = f"{CHUNKS} SELECT doc_id AS chunk_id, CASE WHEN contains(lower(s), 'table of contents') THEN 'toc_phrase' WHEN {_toc} THEN 'toc_structure' WHEN {_structural} THEN 'structural' WHEN len({_words}) < 20 THEN 'short' END AS reason FROM l"
-ORACLE_SQL = {k: v for k, v in ORACLE_SQL.items() if v}

@@ -14,6 +14,51 @@ AUGMENTED = """CASE
  ELSE text END"""
 
 
+#: Lines and pages that take every branch of the rules over text; invented prose takes few. They follow the documents, under ids below 0.
+PROBES = [
+    "Figure 3 shows the growth of the error.", "See fig. 2 for the loss curve of the model", "The value of x = y + (a * b) is $x^2$ here", "\\alpha is the step size of the method used",
+    "Why does the gradient vanish when the network is deep?", "Show that the sum of two even numbers is even", "Exercise 3: compute the mean of the sample", "1 2 3 4 5 6 7 of 8",
+    "red, green, blue, black, white and so on", "Kernel based methods 12 . . . 232", "Gradient Descent Methods", "The Stack And The Queue", "Binary Search Trees Are Fast", "A Short History Of Everything That Ever Was Written Down Here",
+    "Gradient descent is defined as a rule that moves toward a minimum of the loss (Smith, 2020).", "Overfitting refers to a model that has learned the noise of its training data (see Chapter 3) (1999)",
+    "Entropy means the mean surprise that is carried by a source", "These steps are called the forward pass and they can be repeated", "A binary heap consists of nodes that are kept in an array by levels",
+    "The learning rate is the size of a step that was taken [12] (1998)", "gradient descent", "The learning rate", "moving average", "learning", "chapter overview", "neural networks used", "s curve", "what it is",
+    "What is gradient descent?", "Name two kinds of trees", "Why is gradient descent slow?", "Why does the learning rate matter?", "Why do networks with 1024 units overfit?", "Why are deep networks hard to train?",
+    "In practice, the method converges because steps are small", "in this section we show that the bound holds for all inputs", "it moves toward the minimum of the loss function", "deep networks overfit since they have many weights, so that data is needed",
+    "therefore, the method is slow", "However, the value must not increase when the step is lower than the minimum.", "The value must increase when the step is higher.", "The value doesn't decrease; more steps never help - fewer do.",
+    "and but the bullet goes on, " + "with many words that add little to it, " * 6 + "until it ends.", "x" * 250, "An af- terposition and a Title- Case pair and a verylongleftpart- verylongrightpartofaword", "ligatures: \ufb01ne \ufb02ow, di\u21b5erent \u2192 arrows \ufffd and ½ ²",
+    "Some text ...... with leaders ,, and ;; signs  and  spaces", "    indented = code;", "{}(); x", "if (a == b) { return c; }", "std::vector and map<int> use Binary Search and hash_table or open-addressing",
+    "Chapter 4", "Chapter 4: Sorting and Searching", "CHAPTER Seven - Graphs", "Ch. 2: Trees", "3.1 Heaps", "3.1.4 Heap order", "Section 2.3: Queues", "§ 4.5 Stacks", "4.2", "Chapter 2: Lists ...... 45", "3. Trees ..... 61", "5 Graphs 77",
+    "Chapter 1 Solutions", "Answers", "Solutions to Exercises", "Answer Key", "Chapter 3 Summary", "Review Questions", "Practice Problems", "1. The correct answer is (B).", "Compare a stack and a queue", "What is the difference between lists and arrays?",
+    "A stack is not a queue and it never was; the order of a queue is first in first out.", "term 12, 45, 89 and other 3-5, 7", "(1.2) x = 3", "α and β are rates", "[3] (2001) two marks", "  \t ", "ends with a number 42",
+    "Table of Contents\n1.1 Basic ideas ........ 4\n1.2 More . . . . . 9\nkept line\n\n\n\nlast line.  \r\nmore",
+    "Chapter 9\nTrees\nA tree is a graph without cycles. It has nodes and edges that join them in one piece. Every tree of n nodes has n - 1 edges.\n" * 3,
+    "9.1\nBalanced trees\n" + "A balanced tree keeps its height small. This makes every search fast and cheap for users of the tree. " * 5,
+    "Preface\nAll rights reserved. Published by nobody at all.\n" + "This book is about trees and graphs and nothing else at all here. " * 8, "Subject Index\n" + "\n".join(f"term{k} {k}, {k + 2}, {k + 9}" for k in range(40)),
+    "Practice Problems\n" + "\n".join(f"{k}. What is the value of item {k} in the list of all items?\n(A) one\nB) two" for k in range(1, 9)), "A blank page\n",
+    "Table of Contents\n" + "\n".join(f"{k}.1 Title of part {k} ........ {k * 7}" for k in range(1, 14)) + "\n2.1\n2.2\n2.3\n2.4\n2.5\n2.6",
+    "The first clause is long enough to count as a sentence here; the second clause is also long enough; " * 4 + "A short one. Yes — it is: This part stands after a colon and is a sentence of its own • so is this bullet of many words",
+    "word " * 90 + "end of it, then a tail of some more words that stays", "Example 10: the heap holds the least key at its root always. hyphen-\nated words are joined again by the cleaner now.",
+]
+
+
+def with_probes(df: DataFrame, *more: str) -> DataFrame:
+    """df (doc_id, ..., s) and the probes as further rows; more: SQL of the columns between."""
+    rows = df.sparkSession.createDataFrame([(-1 - k, s) for k, s in enumerate(PROBES)], "doc_id long, s string")
+    return df.unionByName(rows.selectExpr("doc_id", *more, "s"))
+
+
+def probe_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, pos, s): the lines of the augmented documents and of the probes."""
+    lined = F.posexplode(F.split("s", "\n")).alias("pos", "s")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.expr(AUGMENTED).alias("s"))
+    return with_probes(docs).select("doc_id", lined)
+
+
+def probe_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, s): the augmented documents and the probes as pages."""
+    return with_probes(table(spark, sf_dir, "documents").select("doc_id", F.expr(AUGMENTED).alias("s")))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
