@@ -38,6 +38,10 @@ PROBES = [
     "Table of Contents\n" + "\n".join(f"{k}.1 Title of part {k} ........ {k * 7}" for k in range(1, 14)) + "\n2.1\n2.2\n2.3\n2.4\n2.5\n2.6",
     "The first clause is long enough to count as a sentence here; the second clause is also long enough; " * 4 + "A short one. Yes — it is: This part stands after a colon and is a sentence of its own • so is this bullet of many words",
     "word " * 90 + "end of it, then a tail of some more words that stays", "Example 10: the heap holds the least key at its root always. hyphen-\nated words are joined again by the cleaner now.",
+    "Gradient descent is defined as an iterative optimization procedure following negative slopes until convergence. Gradient descent refers to repeated small steps that lower training loss along measured slopes. "
+    "Binary trees are called ordered structures whenever every left child holds smaller keys than right children. Stochastic sampling means drawing random training examples during every optimization step taken.",
+    "Deep networks overfit small datasets because their weights memorize random noise patterns quickly. Sparse linear models can generalize well since fewer active weights limit memorized noise patterns. "
+    "Very large batches use much more memory, therefore training uses several machines with shared gradients. In practice, smooth convex losses are much easier targets because every local minimum is also global.",
 ]
 
 
