@@ -28,7 +28,7 @@ BE_FORMS = "is are was were be been being".split()
 BAD_STEM = r"(?i)\.\.+|[;:]|  +|chapter\s+\d+|figure\s+\d+|table\s+\d+|page\s+\d+|\d+\s*$|pp\.\s*\d+"
 SUBJECT_REJECT = "a an the this that these those it they we he she i any then thus however therefore because if but so also".split()
 CLAUSE_REJECT = "this that these those it they we he she i any then thus however therefore because if but so also".split()
-HEADING_VERBS = r"(?i)\b(is|are|was|were|have|has|had|do|does|did|will|would|can|could|may|might|must|shall|should|be|been|being)\b"
+HEADING_VERBS = "is are was were have has had do does did will would can could may might must shall should be been being".split()
 MATH_SIGNS = r"[=<>±×÷∑∫√^_{}\[\]()]"
 GREEK = "αβγδλμσπθωΔΣΠΛΓ"
 LATEX = r"\\alpha|\\beta|\\lambda|\\theta|\\sum|\\frac|\$[^$]+\$|_[\[{]|\^[\[{]"
@@ -128,7 +128,7 @@ def heading_like(s: Column) -> Column:
     t = trimmed(s)
     w = pieces(t)
     capital = F.size(F.filter(w, lambda x: x.rlike(r"^\p{Lu}")))
-    return (F.length(t) >= 4) & F.size(w).between(2, 10) & ~t.rlike(HEADING_VERBS) & (capital / F.size(w) >= 0.5)
+    return (F.length(t) >= 4) & F.size(w).between(2, 10) & ~F.exists(F.regexp_extract_all(F.lower(t), F.lit(r"[\p{L}\p{M}\p{N}_]+"), 0), lambda x: x.isin(HEADING_VERBS)) & (capital / F.size(w) >= 0.5)
 
 
 def code_line(s: Column) -> Column:

@@ -100,8 +100,9 @@ def too_short(s: Column, least: int = 8) -> Column:
 
 
 def passes_quality(s: Column) -> Column:
-    s = squeeze(s)
-    return (F.length(s) >= 20) & ~structural_noise(s) & ~exercise_prompt(s) & ~reference_line(s) & ~numeric_overload(s) & (content_ratio(s) > 0.6) & ~too_short(s)
+    """All quality filters at once; the text is squeezed a single time, and the cheap tests come first."""
+    tests = lambda x: (F.length(x) >= 20) & ~numeric_overload(x) & ~structural_noise(x) & ~exercise_prompt(x) & ~too_short(x) & ~reference_line(x) & (content_ratio(x) > 0.6)
+    return once(squeeze(s), tests)
 
 
 def summary_question(s: Column) -> Column:
@@ -127,16 +128,15 @@ def index_tokens(s: Column) -> Column:
 
 
 def term_ngrams(s: Column) -> Column:
-    """Runs of one to three alphabetic tokens without stop words, of three characters or more."""
+    """Runs of one to three alphabetic tokens without stop words, of three characters or more: all single ones, then all pairs, then all triples."""
 
-    def runs(tokens, n):
-        starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - n + 1)).otherwise(F.array().cast("array<int>"))
-        grams = F.transform(starts, lambda i: F.slice(tokens, i, n))
-        clean = F.filter(grams, lambda g: ~F.arrays_overlap(g, F.array(*map(F.lit, TERM_STOPWORDS))))
-        return F.filter(F.transform(clean, lambda g: F.array_join(g, " ")), lambda g: F.length(g) >= 3)
+    def runs(kept):  # tokens, null for stop words: what a null is part of is null
+        pairs = F.transform(kept, lambda x, i: F.concat(x, F.lit(" "), F.get(kept, i + 1)))
+        triples = F.transform(kept, lambda x, i: F.concat(x, F.lit(" "), F.get(kept, i + 1), F.lit(" "), F.get(kept, i + 2)))
+        return F.filter(F.concat(kept, pairs, triples), lambda g: F.length(g) >= 3)
 
-    # The tokens are bound to a lambda's variable, else each run would take them from the text again.
-    return once(F.regexp_extract_all(F.lower(text_or_empty(s)), F.lit("[a-z]+"), 0), lambda t: F.concat(runs(t, 1), runs(t, 2), runs(t, 3)))
+    tokens = F.regexp_extract_all(F.lower(text_or_empty(s)), F.lit("[a-z]+"), 0)
+    return once(F.transform(tokens, lambda x: F.when(~x.isin(TERM_STOPWORDS), x)), runs)
 
 
 def clean_title(s: Column) -> Column:

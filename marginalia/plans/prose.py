@@ -115,7 +115,7 @@ LINE_RULES = {
     "is_noisy_sentence": (P.noisy_sentence, _noisy(False)),
     "is_noisy_for_summary": (lambda s: P.noisy_sentence(s, True), f"coalesce({_noisy(True)}, true)"),
     "is_bullet_eligible": (P.bullet_eligible, rf"(t NOT LIKE '%?' AND nums <= 2 AND NOT {has('low', r'chapter|section|example|exercise|problem|figure|table|contents|\bp\.\s*[0-9]|\bpp\.\s*[0-9]')} AND len(w) BETWEEN 10 AND 34)"),
-    "is_heading_like": (P.heading_like, rf"coalesce(length(t) >= 4 AND len(w) BETWEEN 2 AND 10 AND NOT {has('t', P.HEADING_VERBS)} AND len(list_filter(w, lambda x: regexp_matches(x, '^\p{{Lu}}'))) * 2 >= len(w), false)"),
+    "is_heading_like": (P.heading_like, rf"coalesce(length(t) >= 4 AND len(w) BETWEEN 2 AND 10 AND NOT list_has_any(regexp_extract_all(low, '[\p{{L}}\p{{M}}\p{{N}}_]+'), string_split('is are was were have has had do does did will would can could may might must shall should be been being', ' ')) AND len(list_filter(w, lambda x: regexp_matches(x, '^\p{{Lu}}'))) * 2 >= len(w), false)"),
     "is_code_line": (P.code_line, has("s", r"^(?:\s{4,}|\t|[{}();=<>]{2,})")),
     "validate_definition_term": (P.valid_term, rf"(length(t) >= 4 AND len(a) BETWEEN 2 AND 6 AND len(list_filter(a, lambda x: length(x) >= 3)) > 0 AND NOT {_in(_first, 'a an the any this that these those some each then thus however therefore because if but so also it they we you he she i them us his her their its ' + _STOP)} AND NOT {_in(_last, _STOP)} AND length({_first}) > 1 AND NOT {BAD} AND NOT list_has_any(a, string_split('chapter section figure table appendix references bibliography is are was were be been being', ' ')) AND NOT {_pages('low')} AND NOT ({has('t', '(ed|ing)$')} AND length(t) < 12))"),
     "validate_question_stem": (P.valid_stem, f"(len(a) >= 4 AND NOT {_in(_first, _STOP)} AND NOT {_in(_last, _STOP)} AND NOT {BAD} AND NOT {_pages('low')})"),

@@ -94,17 +94,22 @@ def extract_headings(spark, d):
     return found.groupBy("heading").agg(F.min(F.struct("doc_id", "pos")).alias("at"), F.count("*").alias("n")).select("heading", "at.doc_id", "at.pos", "n")
 
 
+def _term_lists(spark, d):
+    """(sid, terms): the n-grams of each line."""
+    return tables.lines(spark, d).select(F.struct("doc_id", "pos").alias("sid"), T.term_ngrams(F.col("s")).alias("terms"))
+
+
 def _terms(spark, d):
-    return tables.lines(spark, d).select((F.col("doc_id") * 100000 + F.col("pos")).alias("sid"), F.explode(T.term_ngrams(F.col("s"))).alias("term"))
+    return _term_lists(spark, d).select("sid", F.explode("terms").alias("term"))
 
 
 def build_term_stats(spark, d):
-    return C.term_stats(_terms(spark, d))
+    return C.term_stats(_term_lists(spark, d))
 
 
 def _chosen(spark, d):
     """The forty best terms: what a bundle is built from."""
-    return C.term_stats(_terms(spark, d)).orderBy(F.desc("score"), "term").limit(40)
+    return C.term_stats(_term_lists(spark, d)).orderBy(F.desc("score"), "term").limit(40)
 
 
 def build_cooccurrence_graph(spark, d):
@@ -160,7 +165,7 @@ _IN = lambda xs: ", ".join(f"'{x}'" for x in xs)
 OUTLINE = f"""{CHUNKS}, s AS (SELECT book, chapter, section, min(page_start) AS lo, max(page_end) AS hi FROM l WHERE page_start <> 0 OR page_end <> 0 GROUP BY ALL),
 o AS (SELECT book, 'ch_' || chapter AS id, 'Chapter ' || chapter AS title, 1 AS level, min(lo) AS lo, max(hi) AS hi, NULL AS parent_id FROM s GROUP BY book, chapter
   UNION ALL SELECT book, 'ch_' || chapter || '_sec_' || replace(section, '.', '_'), 'Section ' || chapter || '.' || section, 2, lo, hi, 'ch_' || chapter FROM s WHERE section <> '')"""
-TERMS = f"""{LINES}, t AS (SELECT doc_id * 100000 + pos AS sid, unnest({_ngrams()}) AS term FROM l),
+TERMS = f"""{LINES}, t AS (SELECT (doc_id, pos) AS sid, unnest({_ngrams()}) AS term FROM l),
 p AS (SELECT term, count(*) AS df, sum(n) AS tf FROM (SELECT sid, term, count(*) AS n FROM t GROUP BY ALL) GROUP BY term),
 w AS (SELECT *, len(string_split(term, ' ')) AS k FROM p),
 r AS (SELECT term, df, tf, df * CASE WHEN k >= 2 THEN 1.0::DOUBLE + 0.3::DOUBLE * (k - 1) ELSE 1.0 END * CASE WHEN df < 2 AND k = 1 THEN 0.5::DOUBLE ELSE 1.0 END AS raw FROM w),
