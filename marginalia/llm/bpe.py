@@ -75,6 +75,7 @@ def vocabulary(path: str) -> Vocabulary:
 
 
 _ONE = (1,)
+SHORT = 24  # bytes of a word up to which every end of a label is tried
 
 
 class Automaton:
@@ -137,10 +138,44 @@ class Automaton:
 
     def encode(self, word: bytes) -> list[int]:
         """The only token sequence of these bytes that the automaton accepts: the longest arc first, and back where none leads on."""
+        return self._short(word) if len(word) <= SHORT else self._long(word)
+
+    def _short(self, word: bytes) -> list[int]:
+        """By all ends of a label, from the end of the word down: few, where the word is short."""
+        arcs, known, reads, to, n = self.arcs.get, self.known.get, self.reads, self.to, len(word)
+        path: list[int] = []
+        begins: list[int] = []
+        dead = None  # tokens that no path goes on from, by where they end
+        at = state = 0
+        end = n
+        while at < n:
+            while end > at:
+                token = arcs(word[at:end])
+                if token is not None and (dead is None or (end, token) not in dead):
+                    allowed = known(state << 20 | token)
+                    if allowed or allowed is None and reads(state, token):
+                        break
+                end -= 1
+            if end > at:
+                path.append(token)
+                begins.append(at)
+                at, state, end = end, to[token], n
+            else:
+                if dead is None:
+                    dead = set()
+                token = path.pop()
+                dead.add((at, token))
+                end = at - 1
+                at = begins.pop()
+                state = to[path[-1]] if path else 0
+        return path
+
+    def _long(self, word: bytes) -> list[int]:
+        """The same by the lengths of the labels that begin with the next two bytes: a run of a million spaces has a few of them at each place."""
         arcs, known, reads, to, n, lengths = self.arcs.get, self.known.get, self.reads, self.to, len(word), self.lengths.get
         path: list[int] = []
         tried: list[tuple[int, tuple[int, ...], int]] = []  # where each token of the path begins, the lengths there and which it has
-        dead = None  # tokens that no path goes on from, by where they end
+        dead = None
         at = state = k = 0
         some = lengths(word[:2], _ONE)
         while at < n:
@@ -171,35 +206,40 @@ def automaton(path: str) -> Automaton:
     return Automaton(vocabulary(path))
 
 
+class _Words(dict):
+    """word -> its ids as little-endian 32-bit words, made when first met."""
+
+    def __init__(self, v: Vocabulary, a: Automaton):
+        super().__init__()
+        self.special, self.make = v.special.get, a.encode
+
+    def __missing__(self, w: str) -> bytes:
+        if len(self) > CACHE_WORDS:
+            self.clear()
+        special = self.special(w)
+        ids = self.make(w.encode("utf-8", "surrogatepass")) if special is None else [special]
+        out = self[w] = array("I", ids).tobytes()
+        return out
+
+
 class Encoder:
-    """Texts to ids through the automaton; the ids of recent pre-tokens are kept, as little-endian 32-bit words."""
+    """Texts to ids through the automaton; the ids of recent pre-tokens are kept."""
 
     def __init__(self, path: str):
         self.v, self.a = vocabulary(path), automaton(path)
-        self.words: dict[str, bytes] = keeps("bpe", {})
+        self.words: dict[str, bytes] = keeps("bpe", _Words(self.v, self.a))
 
     def encode(self, text: str) -> np.ndarray:
-        words = self.v.split(text)
-        try:
-            return np.frombuffer(b"".join(map(self.words.__getitem__, words)), "<u4")
-        except KeyError:
-            pass
-        known = self.words
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        for w in words:
-            if w not in known:
-                known[w] = self._word(w)
-        return np.frombuffer(b"".join(map(known.__getitem__, words)), "<u4")
-
-    def _word(self, w: str) -> bytes:
-        special = self.v.special.get(w)
-        return array("I", [special] if special is not None else self.a.encode(w.encode("utf-8", "surrogatepass"))).tobytes()
+        return np.frombuffer(b"".join(map(self.words.__getitem__, self.v.split(text))), "<u4")
 
     def decode(self, ids) -> str:
-        """The labels of the ids' arcs, one after another; bytes that aren't UTF-8 come out as U+FFFD, null ids and those of no token as nothing."""
-        labels = self.v.labels
-        return b"".join([labels[i] for i in ids if i is not None and 0 <= i < len(labels)]).decode("utf-8", "replace")
+        """The labels of the ids' arcs, one after another; bytes that aren't UTF-8 come out as U+FFFD."""
+        return b"".join(map(self.v.labels.__getitem__, ids)).decode("utf-8", "replace")
+
+    def known_ids(self, ids) -> list[int]:
+        """Without null ids and those of no token."""
+        n = len(self.v.labels)
+        return [i for i in ids if i is not None and 0 <= i < n]
 
 
 @lru_cache(4)
@@ -221,13 +261,13 @@ def encode_texts(df: DataFrame, path: str | None = None, id_col: str = "doc_id",
 
 
 def decode_ids(df: DataFrame, path: str | None = None, id_col: str = "id", ids_col: str = "ids") -> DataFrame:
-    """(id, text) of every row of ids; null ids give a null text."""
+    """(id, text) of every row of ids; null ids give a null text, null elements and ids of no token nothing. Repeated and null keys come back as they are."""
     path = path or default_vocabulary()
 
     def run(batches):
         e = encoder(path)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([None if x is None else e.decode(x) for x in batch.column(1).to_pylist()], pa.string())], ["id", "text"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([None if x is None else e.decode(e.known_ids(x)) for x in batch.column(1).to_pylist()], pa.string())], ["id", "text"])
 
     return df.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids")).mapInArrow(run, f"id {df.schema[id_col].dataType.simpleString()}, text string")
 
