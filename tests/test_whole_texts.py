@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from test_queries import SF
 
 from marginalia import catalog
-from marginalia.llm.quality import shape
 from marginalia.operators.structure import subchunks, word_windows
 from marginalia.sources import tables
 
@@ -81,7 +80,3 @@ def test_subchunks_are_those_of_a_plain_loop(spark):
     assert all(r.n_words == len(r.text.split()) for r in found)
     got = {(r.id, r.pos): r.digest for r in catalog.QUERIES["subchunk_text"](spark, SF).collect()}
     assert got == {(k - 1000, i): hashlib.md5(t.encode()).hexdigest() for k, v in want.items() if k >= 1000 for i, t in enumerate(v)}
-
-
-def test_shapes_are_of_whole_words():
-    assert shape("a" * 64 + "!B9") == "x!X9" and shape("9-" * 40) == "9-" * 40
