@@ -77,3 +77,24 @@ def test_shapes():
     assert [quality.shape(w) for w in ("Haus", "THE!!", "re$$$", "x9", "Été,")] == ["Xx", "X!!", "x$$$", "x9", "Xx,"]
     same, other = (set(quality.features(t).tolist()) for t in ("on on on", "on off on"))
     assert same != other and random
+
+
+def test_shapes_are_of_whole_words():
+    assert quality.shape("a" * 64 + "!B9") == "x!X9" and quality.shape("9-" * 40) == "9-" * 40
+
+
+def test_models_take_very_long_texts_and_clashing_columns(spark):
+    rows = [(1, "ab " * 400_000, "en", 1, 0.5), (2, " " * 1_000_000, "en", 0, 0.5), (3, "x" * 500_000, "de", 1, 0.5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, label int, score double")
+    assert quality.score(docs, quality.learn(docs, docs.select("doc_id", "label"))).count() == 3
+    assert {r.doc_id: r.lang_pred for r in langid.predict(docs, langid.learn(docs)).collect()} == {1: "en", 2: "und", 3: "de"}
+
+
+def test_scrambled_texts_keep_their_letters():
+    t = "Ab, cd! efg 12"
+    assert sorted(langid.scrambled(t)) == sorted(t) and [c.isalpha() for c in langid.scrambled(t)] == [c.isalpha() for c in t] and langid.scrambled(t) == langid.scrambled(t)
+
+
+def test_limits_without_samples(spark):
+    none = spark.createDataFrame([], "doc_id long, text string, lang string")
+    assert not langid.limits(none, {}).any() and langid.accepted(["abc", None, "12"], langid.matrix({}), langid.limits(none, {})) == [False, False, False]
