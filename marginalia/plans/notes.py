@@ -16,36 +16,39 @@ from .text import _defines, _exercise, _ngrams, _noise, _overload, _passes, _ref
 BY = ["doc_id"]
 
 
+def good(spark, d):
+    """(doc_id, pos, s): the sentences of each page that pass the quality filters."""
+    return prose_sentences(spark, d).withColumn("s", T.squeeze(F.col("s"))).where(T.passes_quality(F.col("s")))
+
+
 def pool(spark, d):
-    """(doc_id, pos, s): the sentences of each page that pass the quality filters, those of equal text once."""
-    good = prose_sentences(spark, d).withColumn("s", T.squeeze(F.col("s"))).where(T.passes_quality(F.col("s")))
-    return good.groupBy("doc_id", "s").agg(F.min("pos").alias("pos")).select("doc_id", "pos", "s")
+    """(doc_id, pos, s): the good sentences of each page, those of equal text once."""
+    return good(spark, d).groupBy("doc_id", "s").agg(F.min("pos").alias("pos")).select("doc_id", "pos", "s")
 
 
 def term_stats_by_scope(spark, d):
-    return N.term_scores(pool(spark, d), BY).select("doc_id", "term", "df", "tf", "score").distinct()
+    return N.term_stats(good(spark, d), BY, pooled=True)
 
 
 def sentence_centrality(spark, d):
-    return N.centralities(pool(spark, d), BY).select("doc_id", "pos", "centrality")
+    return N.centralities(good(spark, d), BY, pooled=True).select("doc_id", "pos", "centrality")
 
 
 def count_matched_terms(spark, d):
-    return N.centralities(pool(spark, d), BY).select("doc_id", "pos", "matched")
+    return N.centralities(good(spark, d), BY, pooled=True).select("doc_id", "pos", "matched")
 
 
 def get_top_term(spark, d):
-    return N.centralities(pool(spark, d), BY).select("doc_id", "pos", "top_term")
+    return N.centralities(good(spark, d), BY, pooled=True).select("doc_id", "pos", "top_term")
 
 
 def build_bundles(spark, d):
-    b = N.bundles(pool(spark, d), BY)
+    b = N.bundles(good(spark, d), BY, pooled=True)
     return b.select("doc_id", "label", "place", F.array_join("supporting", ",").alias("supporting"), F.size("sentences").alias("n_sentences"), F.md5(F.array_join("sentences", "\n")).alias("digest"))
 
 
 def select_sentences_across_bundles(spark, d):
-    rows = N.bundles(pool(spark, d), BY).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "sentences"))), lambda x: x["sentences"]).alias("b"))  # at most 15 bundles a document
-    return rows.select("doc_id", F.posexplode(N.across(F.col("b"))).alias("place", "s")).select("doc_id", "place", F.md5("s").alias("digest"))
+    return N.selected(good(spark, d), BY, pooled=True).select("doc_id", "place", F.md5("s").alias("digest"))
 
 
 def dedupe_sentences(spark, d):
@@ -54,10 +57,14 @@ def dedupe_sentences(spark, d):
 
 def build_candidate_pool(spark, d):
     """Sentences of each page by centrality, then hint, then text: what is asked from."""
-    kept = N.deduped(pool(spark, d))
-    c = N.centralities(kept, BY).withColumn("hint", P.score_hint(F.col("s")))
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("centrality"), F.desc("hint"), "s"))
-    return c.withColumn("place", place).where("place <= 4000").select("doc_id", "place", "centrality", "hint", F.md5("s").alias("digest"))
+    c = N.centralities(N.deduped(good(spark, d), pooled=True), BY, pooled=True, together=True)
+
+    def fold(_, columns):
+        ranked = sorted((-c, -hint, s) for c, hint, s in zip(*columns))
+        return [(k + 1, -c, -hint, s) for k, (c, hint, s) in enumerate(ranked[:4000])]
+
+    ranked = N.folded(c.select("doc_id", "centrality", P.score_hint(F.col("s")).alias("hint"), "s"), BY, fold, "place int, centrality double, hint int, s string")
+    return ranked.select("doc_id", "place", "centrality", "hint", F.md5("s").alias("digest"))
 
 
 def score_sentence(spark, d):
@@ -85,30 +92,32 @@ def cluster_sentences(spark, d):
 
 
 def compose_bulleted_summary(spark, d):
-    return N.summaries(N.centralities(N.deduped(prose_sentences(spark, d)), BY))
+    return N.summaries(N.centralities(N.deduped(prose_sentences(spark, d)), BY, together=True), together=True)
 
 
 def definitions(spark, d):
-    """(doc_id, pos, s, term, definition, centrality): sentences of the pool that define a fit term."""
-    c = N.centralities(pool(spark, d), BY).where(P.score_hint(F.col("s")) >= 2).withColumn("p", P.definition_pair(F.col("s"))).where("p is not null")
-    rows = c.select("doc_id", "pos", "s", "p.term", "p.definition", "centrality")
-    x = F.col("definition")
-    return rows.where(~T.structural_noise(x) & ~T.exercise_prompt(x) & ~T.reference_line(x) & P.valid_term(F.col("term")))
+    """(doc_id, pos, s, key, term, definition, centrality, score): sentences of the pool that define a fit term, with that term's own score."""
+    s, x = F.col("s"), F.col("p")["definition"]
+    fit = ~T.structural_noise(x) & ~T.exercise_prompt(x) & ~T.reference_line(x) & P.valid_term(F.col("p")["term"])
+    pair = F.when(P.score_hint(s) >= 2, P.definition_pair(s))
+    key = F.lower(F.regexp_replace(F.col("p")["term"], r"^\p{Zs}+|\p{Zs}+\z", ""))
+    return N.scored_keys(good(spark, d), BY, pair, fit, key)
 
 
-def extract_definitions(spark, d):
+def _registry(spark, d):
     """Of each term of a scope the best definition: the most central, then the shortest of six to 28 words, then the least noisy, then the first."""
     n = T.word_count(F.col("definition"))
-    rows = definitions(spark, d).withColumn("key", F.lower(F.trim("term"))).withColumn("fit", n.between(6, 28))
     order = [F.desc("fit"), F.desc("centrality"), n, P.citation_noise(F.col("definition")), F.col("pos")]
-    return top_per_group(rows, ["doc_id", "key"], order, 1).select("doc_id", "key", "term", "definition", "centrality", "pos")
+    return top_per_group(definitions(spark, d).withColumn("fit", n.between(6, 28)), ["doc_id", "key"], order, 1)
+
+
+def extract_definitions(spark, d):
+    return _registry(spark, d).select("doc_id", "key", "term", "definition", "centrality", "pos")
 
 
 def _ordered(spark, d):
     """The registry's terms by their own score, then their definition's centrality, then name, all falling."""
-    scores = term_stats_by_scope(spark, d).select("doc_id", F.col("term").alias("key"), "score")
-    rows = extract_definitions(spark, d).join(scores, ["doc_id", "key"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), F.desc("centrality"), F.desc("key"))))
+    return _registry(spark, d).withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), F.desc("centrality"), F.desc("key"))))
 
 
 def registry_terms_ordered_by_centrality(spark, d):
@@ -147,13 +156,13 @@ def phrase_frequency(spark, d):
 def generate_tf(spark, d):
     """Statements to judge: central sentences of 40 to 200 characters with a verb and few citations. The sentence itself is validated, not its label."""
     verb = F.exists(F.regexp_extract_all(F.lower("s"), F.lit(r"[\p{L}\p{M}\p{N}_]+"), 0), lambda w: w.rlike("^(has|have|can|will|may|do|are|were)$|.(ed|ing|s)$"))
-    c = N.centralities(pool(spark, d), BY).where(F.length("s").between(40, 200) & (P.score_hint(F.col("s")) >= -1) & (P.citation_density(F.col("s")) < 0.05) & verb & P.valid_stem(F.col("s")))
+    c = N.centralities(good(spark, d), BY, pooled=True).where(F.length("s").between(40, 200) & (P.score_hint(F.col("s")) >= -1) & (P.citation_density(F.col("s")) < 0.05) & verb & P.valid_stem(F.col("s")))
     return top_per_group(c, ["doc_id"], [F.desc("centrality"), F.col("s")], 4, "n").select("doc_id", "n", F.concat(F.lit("True or False: "), "s").alias("prompt"))
 
 
 def generate_list(spark, d):
     """Questions for the terms that a bundle's label meets."""
-    b = N.bundles(pool(spark, d), BY).where(F.size("supporting") >= 2).withColumn("prompt", F.concat(F.lit("List the key aspects of "), F.initcap("label"), F.lit("."))).where(P.valid_stem(F.col("prompt")))
+    b = N.bundles(good(spark, d), BY, n_sentences=0, pooled=True).where(F.size("supporting") >= 2).withColumn("prompt", F.concat(F.lit("List the key aspects of "), F.initcap("label"), F.lit("."))).where(P.valid_stem(F.col("prompt")))
     return top_per_group(b, ["doc_id"], [F.col("place")], 3, "n").select("doc_id", "n", "prompt", F.array_join(F.transform("supporting", lambda t: F.concat(F.lit("- "), t)), "\n").alias("answer"))
 
 
