@@ -8,17 +8,23 @@ from pyspark.sql import functions as F
 from ..functions import prose as P
 from ..functions import text as T
 from ..operators import notes as N
+from ..operators import sentences as S
 from ..operators.joins import top_per_group
 from ..sources import tables
-from .prose import LINE_RULES, SENTENCES, _pair_sql, hits, prose_sentences, squeeze, strip, words
+from .prose import LINE_RULES, SENTENCES, _pair_sql, hits, squeeze, strip, words
 from .text import _defines, _exercise, _ngrams, _noise, _overload, _passes, _reference
 
 BY = ["doc_id"]
 
 
+def prose_sentences(spark, d):
+    """(doc_id, pos, s) of all pages' sentences."""
+    return S.of_pages(tables.probe_pages(spark, d))
+
+
 def good(spark, d):
-    """(doc_id, pos, s): the sentences of each page that pass the quality filters."""
-    return prose_sentences(spark, d).withColumn("s", T.squeeze(F.col("s"))).where(T.passes_quality(F.col("s")))
+    """(doc_id, pos, s): the sentences of each page that pass the quality filters, squeezed."""
+    return S.of_pages(tables.probe_pages(spark, d), good=True)
 
 
 def pool(spark, d):
@@ -95,29 +101,29 @@ def compose_bulleted_summary(spark, d):
     return N.summaries(N.centralities(N.deduped(prose_sentences(spark, d)), BY, together=True), together=True)
 
 
-def definitions(spark, d):
+def definitions(spark, d, given=None):
     """(doc_id, pos, s, key, term, definition, centrality, score): sentences of the pool that define a fit term, with that term's own score."""
     s, x = F.col("s"), F.col("p")["definition"]
     fit = ~T.structural_noise(x) & ~T.exercise_prompt(x) & ~T.reference_line(x) & P.valid_term(F.col("p")["term"])
     pair = F.when(P.score_hint(s) >= 2, P.definition_pair(s))
     key = F.lower(F.regexp_replace(F.col("p")["term"], r"^\p{Zs}+|\p{Zs}+\z", ""))
-    return N.scored_keys(good(spark, d), BY, pair, fit, key)
+    return N.scored_keys(good(spark, d) if given is None else given, BY, pair, fit, key, together=given is not None)
 
 
-def _registry(spark, d):
+def _registry(spark, d, given=None):
     """Of each term of a scope the best definition: the most central, then the shortest of six to 28 words, then the least noisy, then the first."""
     n = T.word_count(F.col("definition"))
     order = [F.desc("fit"), F.desc("centrality"), n, P.citation_noise(F.col("definition")), F.col("pos")]
-    return top_per_group(definitions(spark, d).withColumn("fit", n.between(6, 28)), ["doc_id", "key"], order, 1)
+    return top_per_group(definitions(spark, d, given).withColumn("fit", n.between(6, 28)), ["doc_id", "key"], order, 1)
 
 
 def extract_definitions(spark, d):
     return _registry(spark, d).select("doc_id", "key", "term", "definition", "centrality", "pos")
 
 
-def _ordered(spark, d):
+def _ordered(spark, d, given=None):
     """The registry's terms by their own score, then their definition's centrality, then name, all falling."""
-    return _registry(spark, d).withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), F.desc("centrality"), F.desc("key"))))
+    return _registry(spark, d, given).withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), F.desc("centrality"), F.desc("key"))))
 
 
 def registry_terms_ordered_by_centrality(spark, d):
@@ -129,9 +135,9 @@ def registry_to_card_format(spark, d):
     return _ordered(spark, d).select("doc_id", "place", "term", "definition", page.alias("pages"))
 
 
-def generate_definitions(spark, d):
+def generate_definitions(spark, d, given=None):
     """Up to five questions of each scope for its registry's terms."""
-    asked = _ordered(spark, d).withColumn("prompt", F.concat(F.lit("What is "), "term", F.lit("?"))).withColumn("answer", T.first_words(F.col("definition")))
+    asked = _ordered(spark, d, given).withColumn("prompt", F.concat(F.lit("What is "), "term", F.lit("?"))).withColumn("answer", T.first_words(F.col("definition")))
     fit = asked.where(P.valid_stem(F.col("prompt")) & T.word_count(F.col("answer")).between(5, 30))
     return top_per_group(fit, ["doc_id"], [F.col("place")], 5, "n").select("doc_id", "n", "prompt", "answer")
 
@@ -153,16 +159,16 @@ def phrase_frequency(spark, d):
     return kept.where(F.length("phrase").between(3, 25)).groupBy("doc_id", "phrase").agg(F.count("*").alias("n"))
 
 
-def generate_tf(spark, d):
+def generate_tf(spark, d, given=None):
     """Statements to judge: central sentences of 40 to 200 characters with a verb and few citations. The sentence itself is validated, not its label."""
     verb = F.exists(F.regexp_extract_all(F.lower("s"), F.lit(r"[\p{L}\p{M}\p{N}_]+"), 0), lambda w: w.rlike("^(has|have|can|will|may|do|are|were)$|.(ed|ing|s)$"))
-    c = N.centralities(good(spark, d), BY, pooled=True).where(F.length("s").between(40, 200) & (P.score_hint(F.col("s")) >= -1) & (P.citation_density(F.col("s")) < 0.05) & verb & P.valid_stem(F.col("s")))
+    c = N.centralities(good(spark, d) if given is None else given, BY, pooled=True, together=given is not None).where(F.length("s").between(40, 200) & (P.score_hint(F.col("s")) >= -1) & (P.citation_density(F.col("s")) < 0.05) & verb & P.valid_stem(F.col("s")))
     return top_per_group(c, ["doc_id"], [F.desc("centrality"), F.col("s")], 4, "n").select("doc_id", "n", F.concat(F.lit("True or False: "), "s").alias("prompt"))
 
 
-def generate_list(spark, d):
+def generate_list(spark, d, given=None):
     """Questions for the terms that a bundle's label meets."""
-    b = N.bundles(good(spark, d), BY, n_sentences=0, pooled=True).where(F.size("supporting") >= 2).withColumn("prompt", F.concat(F.lit("List the key aspects of "), F.initcap("label"), F.lit("."))).where(P.valid_stem(F.col("prompt")))
+    b = N.bundles(good(spark, d) if given is None else given, BY, n_sentences=0, pooled=True, together=given is not None).where(F.size("supporting") >= 2).withColumn("prompt", F.concat(F.lit("List the key aspects of "), F.initcap("label"), F.lit("."))).where(P.valid_stem(F.col("prompt")))
     return top_per_group(b, ["doc_id"], [F.col("place")], 3, "n").select("doc_id", "n", "prompt", F.array_join(F.transform("supporting", lambda t: F.concat(F.lit("- "), t)), "\n").alias("answer"))
 
 
@@ -170,7 +176,8 @@ def generate_exam_questions(spark, d):
     """An exam of each scope: up to five definitions, four statements, four reasons and three lists, twenty in all."""
     typed = lambda df, kind, rank: df.select("doc_id", F.lit(kind).alias("kind"), F.lit(rank).alias("o"), "n", "prompt")
     short = top_per_group(generate_short_answer(spark, d).select("doc_id", "pos", F.col("question").alias("prompt")), ["doc_id"], [F.col("pos"), F.col("prompt")], 4, "n")
-    rows = typed(generate_definitions(spark, d), "definition", 0).union(typed(generate_tf(spark, d), "tf", 2)).union(typed(short, "short", 3)).union(typed(generate_list(spark, d), "list", 4))
+    given = N.arranged(good(spark, d), BY)  # one shuffle for three kinds
+    rows = typed(generate_definitions(spark, d, given), "definition", 0).union(typed(generate_tf(spark, d, given), "tf", 2)).union(typed(short, "short", 3)).union(typed(generate_list(spark, d, given), "list", 4))
     return top_per_group(rows, ["doc_id"], [F.col("o"), F.col("n")], 20, "place").select("doc_id", "place", "kind", "prompt")
 
 
