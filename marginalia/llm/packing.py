@@ -30,9 +30,6 @@ log = logging.getLogger(__name__)
 
 Plan = list[tuple[tuple[int, ...], int]]
 
-#: Pieces up to which the search first runs over all of them.
-WHOLE_SEARCH = 400
-
 
 # The search
 
@@ -158,38 +155,49 @@ def dive(counts: dict[int, int], capacity: int) -> Plan:
     return plan
 
 
-def branch_and_bound(counts: dict[int, int], capacity: int, fewest: int, nodes: int) -> tuple[list[tuple[int, ...]] | None, bool, int]:
-    """(the bins of a packing in under `fewest` bins or None, whether the search ended by itself, nodes visited).
+def branch_and_bound(counts: dict[int, int], capacity: int, fewest: int, nodes: int) -> tuple[Plan | None, bool, int]:
+    """(a packing in under `fewest` bins or None, whether the search ended by itself, nodes visited).
 
-    Depth first over the undominated fillings around the largest piece left; a branch ends when its waste leaves no
-    room for a better packing. Ended by itself, None proves that there is none.
+    Depth first over the undominated fillings around the largest piece left, each as often as the counts allow and
+    once, so that a path is as long as there are fillings, not pieces; a branch ends when its waste leaves no room
+    for a better packing. Ended by itself, None proves that there is none.
     """
     total, spent = sum(s * c for s, c in counts.items()), 0
     most = (fewest - 1) * capacity - total  # waste that a better packing may have
     if most < 0:
         return None, True, 0
-    path: list[tuple[int, ...]] = []
-    states = [(counts, 0, _around_largest(counts, capacity))]
+    path: Plan = []
+    states = [(counts, 0, _repeated(counts, capacity))]
     while states:
         left, waste, options = states[-1]
-        filling = next(options, None)
-        lost = 0 if filling is None else capacity - sum(filling)
-        if filling is None or waste + lost > most:  # later fillings waste no less
+        filling, times = next(options, (None, 0))
+        if filling is None or waste + capacity - sum(filling) > most:  # later fillings waste no less
             states.pop()
             if path:
                 path.pop()
             continue
         spent += 1
-        after = _without(left, filling)
-        if not after:
-            return [*path, filling], True, spent
+        lost = times * (capacity - sum(filling))
+        if waste + lost <= most:
+            after = _without(left, filling, times)
+            if not after:
+                return [*path, (filling, times)], True, spent
+            path.append((filling, times))
+            states.append((after, waste + lost, _repeated(after, capacity)))
         if spent >= nodes:
             return None, False, spent
-        path.append(filling)
-        states.append((after, waste + lost, _around_largest(after, capacity)))
     return None, True, spent
 
 
+def _repeated(counts: dict[int, int], capacity: int) -> Iterator[tuple[tuple[int, ...], int]]:
+    """The bins around the largest piece left, each as often as the counts allow and once."""
+    for filling in _around_largest(counts, capacity):
+        times = min(counts[s] // filling.count(s) for s in set(filling))
+        yield filling, times
+        if times > 1:
+            yield filling, 1
+
+
 def _merged(bins) -> Plan:
     plan: dict[tuple[int, ...], int] = {}
     for filling, times in bins:
@@ -209,7 +217,7 @@ def complete_bins(counts: dict[int, int], capacity: int, nodes: int = 120_000) -
     """A packing in few bins, the bound, and whether it is known to be the best.
 
     The better of best-fit decreasing and the first dive of bin completion is the incumbent. If it is over the bound
-    a search over all pieces tries to better it or to prove it; then bins of the incumbent, the wasteful ones and
+    a search over all pieces, however many, tries to better it or to prove it; then bins of the incumbent, the wasteful ones and
     some others, are taken apart and packed again by the same search, so that waste gathers in ever fewer bins until
     one is left over. The problem is NP-hard: `nodes` bounds the work, what is not settled by then is reported as
     not proved. Every packing on the way holds all pieces.
@@ -220,11 +228,11 @@ def complete_bins(counts: dict[int, int], capacity: int, nodes: int = 120_000) -
     size = lambda plan: sum(t for _, t in plan)
     plan = min((_merged(best_fit(counts, capacity)), _merged(dive(counts, capacity))), key=size)
     least = lower_bound(counts, capacity)
-    if size(plan) > least and sum(counts.values()) <= WHOLE_SEARCH:
+    if size(plan) > least:
         bins, ended, spent = branch_and_bound(counts, capacity, size(plan), nodes // 6)
         nodes -= spent
         while bins:
-            plan = _merged((b, 1) for b in bins)
+            plan = _merged(bins)
             bins, ended, spent = branch_and_bound(counts, capacity, size(plan), nodes // 6) if size(plan) > least else (None, True, 0)
             nodes -= spent
         if ended:

@@ -230,3 +230,15 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string, rank long")
     for out in (token_counts.token_counts(none), bpe.round_trips(none), packing.pack(none), bpe.encode_texts(none)):
         assert out.count() == 0
+
+
+def test_search_over_all_pieces_whatever_their_number():
+    """Over 400 pieces of two lengths, above the bound: proved, as fillings are taken as often as they fit."""
+    counts = {350: 1001, 341: 7}
+    found = packing.complete_bins(counts, 1024)
+    held = {}
+    for filling, times in found.plan:
+        assert sum(filling) <= 1024
+        for s in filling:
+            held[s] = held.get(s, 0) + times
+    assert held == counts and found.bins == 503 and found.proved
