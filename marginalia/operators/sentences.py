@@ -15,9 +15,14 @@ from ..functions import text as T
 
 _SPACE = " \t\n\f\r"
 _ODD = regex.compile(r"[[\p{C}\p{Z}]--[ \n\t]]", regex.V1).sub
-_ODD_ASCII = re.compile(r"[\x00-\x08\x0b-\x1f\x7f]").sub
-_CLEAN = [(re.compile(p).sub, by) for p, by in ((r"(\w)-[ \t\n]*\n[ \t\n]*(\w)", r"\1\2"), (r"\n{3,}", "\n\n"), (r"\.{4,}", " "), (r"\.[ \t\n]+\.[ \t\n]+\.([ \t\n]+\.)*", " "), (r"[ \t]+", " "), (r"\n ", "\n"))]
-_MARKS = [(re.compile(p, re.A).sub, by) for p, by in ((r"[—–]", "\n"), (r"\s+•\s+", "\n"), (r"(?i:example|chapter|section|figure|table)\s+\d+(?:\.\d+)*[.:]\s*", "\n"), (r":\s+(?=[A-Z])", ".\n"), (r"\.{3,}\s*", "\n"))]
+#: (sign without which a pattern can't match, pattern, what it becomes), in order.
+_STEPS = [
+    (re.compile(sign).search, re.compile(p, re.A if k > 5 else 0).sub, by)
+    for k, (sign, p, by) in enumerate((
+        (r"-[ \t\n]*\n", r"(\w)-[ \t\n]*\n[ \t\n]*(\w)", r"\1\2"), (r"\n\n\n", r"\n{3,}", "\n\n"), (r"\.\.\.\.", r"\.{4,}", " "), (r"\.[ \t\n]+\.", r"\.[ \t\n]+\.[ \t\n]+\.([ \t\n]+\.)*", " "), (r"  |\t", r"[ \t]+", " "), (r"\n ", r"\n ", "\n"),
+        (r"—|–", r"[—–]", "\n"), ("•", r"\s+•\s+", "\n"), (r"[eErR][ \n]+[0-9]|[nN][ \n]+[0-9]", r"(?i:example|chapter|section|figure|table)\s+\d+(?:\.\d+)*[.:]\s*", "\n"), (":", r":\s+(?=[A-Z])", ".\n"), (r"\.\.\.", r"\.{3,}\s*", "\n"),
+    ))
+]
 _ENDS, _HALVES, _CLAUSES = (re.compile(p, re.A).split for p in (r"[.!?]+\s*|\n+", r"[;:]\s+", r"[;,:]\s+"))
 
 
@@ -40,12 +45,13 @@ def _packed(s: str, most: int) -> list[str]:
 def split(text: str | None, most: int = 240, least: int = 30) -> list[str]:
     """The sentences of a text in order, as sentences() of functions/prose.py gives them."""
     t = text or ""
-    t = _ODD_ASCII("", t) if t.isascii() else _ODD("", t)
-    for sub, by in _CLEAN:
-        t = sub(by, t)
-    t = t.strip(_SPACE)
-    for sub, by in _MARKS:
-        t = sub(by, t)
+    if not t.replace("\n", " ").replace("\t", " ").isprintable():
+        t = _ODD("", t)
+    for k, (sign, sub, by) in enumerate(_STEPS):
+        if k == 6:
+            t = t.strip(_SPACE)
+        if sign(t):
+            t = sub(by, t)
     out: list[str] = []
     for x in _kept(_ENDS(t)):
         for y in _kept(_HALVES(x)) if len(x) > 220 else (x,):
@@ -56,10 +62,10 @@ def split(text: str | None, most: int = 240, least: int = 30) -> list[str]:
 
 
 _STOP = frozenset(T.CONTENT_STOPWORDS)
-_NOISE, _EXERCISE, _REFERENCE, _CUES = (
-    re.compile(p, re.A).search
-    for p in (rf"^({T.any_of(T.STRUCTURAL_PREFIXES)})[ :]|\b(chapter|section|figure|table)\s+\d+", T.any_of(T.EXERCISE_PHRASES), T.any_of(T.REFERENCE_PATTERNS), T.any_of(T.DEFINITION_CUES))
-)
+_BEGINS = tuple(p + end for p in T.STRUCTURAL_PREFIXES for end in " :")
+_PHRASES = [p for p in T.EXERCISE_PHRASES + T.REFERENCE_PATTERNS if p.isascii() and p.replace(" ", "").isalpha()]
+#: What else filters look for has a digit.
+_NUMBERED = re.compile("|".join([r"\b(?:chapter|section|figure|table)\s+\d", *(p for p in T.REFERENCE_PATTERNS if p not in _PHRASES)]), re.A).search
 _DIGIT, _YEAR, _DATED, _TOKENS = re.compile("[0-9]").findall, re.compile("[0-9]{4}").findall, re.compile(r"[0-9]{4}\s*[,.]", re.A).search, re.compile("[a-z]+").findall
 
 
@@ -69,24 +75,26 @@ def passes(s: str) -> bool:
         return False
     n, low = s.count(" ") + 1, s.lower()
     tokens = _TOKENS(low)
-    if not tokens or not sum(len(t) > 1 and t not in _STOP for t in tokens) / len(tokens) > 0.6:
+    if not tokens or not len([t for t in tokens if t not in _STOP and len(t) > 1]) / len(tokens) > 0.6:
         return False
-    if n < 8 and not _CUES(low) or s.count(",") >= 4 and n < 15:
+    if n < 8 and not any(p in low for p in T.DEFINITION_CUES) or s.count(",") >= 4 and n < 15:
         return False
     digits = len(_DIGIT(s))
-    if digits and (digits / (len(s) - s.count(" ")) > 0.12 or _DATED(s) and len(_YEAR(s)) >= 2):
+    if digits and (digits / (len(s) - s.count(" ")) > 0.12 or _DATED(s) and len(_YEAR(s)) >= 2 or _NUMBERED(low)):
         return False
-    return not (_NOISE(low) or _EXERCISE(low) or _REFERENCE(low))
+    return not low.startswith(_BEGINS) and not any(p in low for p in _PHRASES)
 
 
-def of_pages(pages: DataFrame, good: bool = False) -> DataFrame:
-    """pages (doc_id, s) -> (doc_id, pos, s) of all sentences; good: squeezed, and only those that pass the quality filters."""
+def of_pages(pages: DataFrame, good: bool = False, holding: tuple[str, ...] = ()) -> DataFrame:
+    """pages (doc_id, s) -> (doc_id, pos, s) of all sentences; good: squeezed, and only those that pass the quality filters; holding: only those with one of these in lower case."""
 
     def run(batches):
         for batch in batches:
             ids, places, texts = [], [], []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 for pos, s in enumerate(split(text.as_py())):
+                    if holding and not any(map(s.lower().__contains__, holding)):
+                        continue
                     if not good or passes(s := " ".join(s.split())):
                         ids.append(i)
                         places.append(pos)

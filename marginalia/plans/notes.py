@@ -143,7 +143,7 @@ def generate_definitions(spark, d, given=None):
 
 
 def generate_short_answer(spark, d):
-    s = prose_sentences(spark, d).where(F.lower("s").rlike("because|due to|since|therefore|thus") & (P.score_hint(F.col("s")) >= 0))
+    s = S.of_pages(tables.probe_pages(spark, d), holding=("because", "due to", "since", "therefore", "thus")).where(P.score_hint(F.col("s")) >= 0)
     return N.why_questions(s)
 
 
