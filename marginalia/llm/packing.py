@@ -82,76 +82,120 @@ def _put(left, rooms, room, filling, times):
     left[room][filling] = left[room].get(filling, 0) + times
 
 
-def fillings(sizes: list[int], counts: dict[int, int], gap: int) -> Iterator[tuple[int, ...]]:
-    """Every undominated filling of a gap, the least waste first, of equal waste those of the largest members first.
-
-    sizes: those with a count, ascending. A filling is dominated if another piece still fits, a member can give way
-    to a longer piece that is left over, or two members can give way to one piece as long as both. Fillings are
-    made when asked for; sums that no pieces reach are never tried.
-    """
-    sizes = sizes[: bisect.bisect_right(sizes, gap)]
-    whole, reach = (1 << gap + 1) - 1, [1]  # reach[k]: the sums of pieces of the first k sizes, as bits
-    for s in sizes:
-        sums, n = reach[-1], min(counts[s], gap // s)
-        step = 1
-        while n > 0:  # n copies as one, two, four ... and the rest
-            use = min(step, n)
-            sums |= sums << s * use & whole
-            n, step = n - use, 2 * step
-        reach.append(sums)
-
-    def made(k, target):
-        """The ways to reach a sum with the first k sizes."""
-        if not target:
-            yield ()
-            return
-        for i in range(bisect.bisect_right(sizes, target, 0, k) - 1, -1, -1):
-            if not reach[i + 1] >> target & 1:
-                return
-            s = sizes[i]
-            for n in range(min(counts[s], target // s), 0, -1):
-                if reach[i] >> target - n * s & 1:
-                    for rest in made(i, target - n * s):
-                        yield (s,) * n + rest
-
-    def undominated(chosen, slack):
-        left = lambda s: counts.get(s, 0) - chosen.count(s) > 0
-        for x in {*chosen, 0} if slack else ():
-            if any(map(left, sizes[bisect.bisect_right(sizes, x) : bisect.bisect_right(sizes, x + slack)])):
-                return False
-        return not any(left(x + y) for k, x in enumerate(chosen) for y in chosen[k + 1 :])
-
-    for waste in range(gap + 1):
-        if reach[-1] >> gap - waste & 1:
-            for chosen in made(len(sizes), gap - waste):
-                if undominated(chosen, waste):
+class Left:
+    """Pieces left by length, and which sums those of the first k lengths reach; a step costs what it changes of these, not all anew."""
+
+    def __init__(self, counts: dict[int, int], capacity: int):
+        self.counts, self.capacity = dict(counts), capacity
+        self.sizes = sorted(counts)
+        self.reach = [1]  # reach[k]: the sums of pieces of the first k sizes, as bits; as far as known
+        self.whole = (1 << capacity + 1) - 1
+
+    def _change(self, size: int, by: int) -> None:
+        before = self.counts.get(size, 0)
+        self.counts[size] = after = before + by
+        fit = self.capacity // size
+        if min(before, fit) != min(after, fit):
+            k = bisect.bisect_left(self.sizes, size)
+            if not before:
+                self.sizes.insert(k, size)
+            elif not after:
+                del self.sizes[k]
+            del self.reach[k + 1 :]
+
+    def take(self, filling: tuple[int, ...], times: int = 1) -> None:
+        for s in filling:
+            self._change(s, -times)
+
+    def put(self, filling: tuple[int, ...], times: int = 1) -> None:
+        for s in filling:
+            self._change(s, times)
+
+    def largest(self) -> int:
+        """The largest length left, 0 if there is none."""
+        return self.sizes[-1] if self.sizes else 0
+
+    def times(self, filling: tuple[int, ...]) -> int:
+        """How often the pieces left make a filling."""
+        return min(self.counts[s] // filling.count(s) for s in set(filling))
+
+    def _know(self, k: int) -> None:
+        """Work reach out up to the first k sizes."""
+        for s in self.sizes[len(self.reach) - 1 : k]:
+            sums, n = self.reach[-1], min(self.counts[s], self.capacity // s)
+            step = 1
+            while n > 0:  # n copies as one, two, four ... and the rest
+                use = min(step, n)
+                sums |= sums << s * use & self.whole
+                n, step = n - use, 2 * step
+            self.reach.append(sums)
+
+    def fillings(self, gap: int, waste: int) -> Iterator[tuple[int, ...]]:
+        """Every undominated filling of a gap of at most so much waste, the least waste first, of equal waste those of the largest members first.
+
+        A filling is dominated if another piece still fits, a member can give way to a longer piece that is left
+        over, or two members can give way to one piece as long as both. Fillings are made when asked for; sums that
+        no pieces reach are never tried. Between two of them pieces may be taken if they are put back.
+        """
+        sizes, counts, reach = self.sizes, self.counts, self.reach
+        most = bisect.bisect_right(sizes, gap)
+
+        def made(k, target, chosen, waste):
+            """The undominated ways to end a filling with a sum of the first k sizes. What dominates a member is longer, so that the longer ones chosen decide."""
+            left = lambda s: counts.get(s, 0) - chosen.count(s) > 0
+            if not target:
+                if not any(map(left, sizes[: bisect.bisect_right(sizes, waste)])):
                     yield chosen
+                return
+            for i in range(bisect.bisect_right(sizes, target, 0, k) - 1, -1, -1):
+                if not reach[i + 1] >> target & 1:
+                    return
+                s = sizes[i]
+                if any(left(x + s) for x in chosen) or waste and any(map(left, sizes[i + 1 : bisect.bisect_right(sizes, s + waste)])):
+                    continue
+                for n in range(min(counts[s], target // s, 1 if left(2 * s) else target), 0, -1):
+                    if reach[i] >> target - n * s & 1:
+                        yield from made(i, target - n * s, chosen + (s,) * n, waste)
+
+        target = gap
+        while target >= gap - waste:
+            self._know(most)
+            target = (reach[most] & (1 << target + 1) - 1).bit_length() - 1  # the next sum that is reached
+            if target < gap - waste:
+                return
+            for chosen in made(most, target, (), gap - target):
+                yield chosen
+                self._know(most)
+            target -= 1
+
+    def around_largest(self, waste: int | None = None) -> Iterator[tuple[int, ...]]:
+        """The undominated bins around the largest piece left, those of at most so much waste."""
+        first = (self.largest(),)
+        gap = self.capacity - first[0]
+        options = self.fillings(gap, gap if waste is None else min(gap, waste))
+        while True:
+            self.take(first)
+            filling = next(options, None)
+            self.put(first)
+            if filling is None:
+                return
+            yield first + filling
 
 
-def _without(counts: dict[int, int], filling: tuple[int, ...], times: int = 1) -> dict[int, int]:
-    out = dict(counts)
-    for s in filling:
-        out[s] -= times
-        if not out[s]:
-            del out[s]
-    return out
-
-
-def _around_largest(counts: dict[int, int], capacity: int) -> Iterator[tuple[int, ...]]:
-    """The undominated bins around the largest piece left."""
-    sizes = sorted(counts)
-    rest = _without(counts, (sizes[-1],))
-    return ((sizes[-1], *f) for f in fillings([s for s in sizes if s in rest], rest, capacity - sizes[-1]))
+def fillings(sizes: list[int], counts: dict[int, int], gap: int) -> Iterator[tuple[int, ...]]:
+    """The undominated fillings of a gap with pieces of these sizes."""
+    return Left({s: counts[s] for s in sizes}, gap).fillings(gap, gap)
 
 
 def dive(counts: dict[int, int], capacity: int) -> Plan:
     """The packing of the first filling of each bin, used as often as the counts allow."""
     plan: Plan = []
-    while counts:
-        filling = next(_around_largest(counts, capacity))
-        times = min(counts[s] // filling.count(s) for s in set(filling))
+    left = Left(counts, capacity)
+    while left.largest():
+        filling = next(left.around_largest())
+        times = left.times(filling)
         plan.append((filling, times))
-        counts = _without(counts, filling, times)
+        left.take(filling, times)
     return plan
 
 
@@ -167,32 +211,33 @@ def branch_and_bound(counts: dict[int, int], capacity: int, fewest: int, nodes:
     if most < 0:
         return None, True, 0
     path: Plan = []
-    states = [(counts, 0, _repeated(counts, capacity))]
+    left = Left(counts, capacity)
+    states = [(0, _repeated(left, most))]
     while states:
-        left, waste, options = states[-1]
+        waste, options = states[-1]
         filling, times = next(options, (None, 0))
-        if filling is None or waste + capacity - sum(filling) > most:  # later fillings waste no less
+        if filling is None:
             states.pop()
             if path:
-                path.pop()
+                left.put(*path.pop())
             continue
         spent += 1
         lost = times * (capacity - sum(filling))
         if waste + lost <= most:
-            after = _without(left, filling, times)
-            if not after:
-                return [*path, (filling, times)], True, spent
             path.append((filling, times))
-            states.append((after, waste + lost, _repeated(after, capacity)))
+            left.take(filling, times)
+            if not left.largest():
+                return path, True, spent
+            states.append((waste + lost, _repeated(left, most - waste - lost)))
         if spent >= nodes:
             return None, False, spent
     return None, True, spent
 
 
-def _repeated(counts: dict[int, int], capacity: int) -> Iterator[tuple[tuple[int, ...], int]]:
-    """The bins around the largest piece left, each as often as the counts allow and once."""
-    for filling in _around_largest(counts, capacity):
-        times = min(counts[s] // filling.count(s) for s in set(filling))
+def _repeated(left: Left, waste: int) -> Iterator[tuple[tuple[int, ...], int]]:
+    """The bins around the largest piece left that waste no more, each as often as the counts allow and once."""
+    for filling in left.around_largest(waste):
+        times = left.times(filling)
         yield filling, times
         if times > 1:
             yield filling, 1
@@ -213,7 +258,7 @@ class Packed(NamedTuple):
     proved: bool  # that no packing has fewer bins
 
 
-def complete_bins(counts: dict[int, int], capacity: int, nodes: int = 120_000) -> Packed:
+def complete_bins(counts: dict[int, int], capacity: int, nodes: int = 320_000) -> Packed:
     """A packing in few bins, the bound, and whether it is known to be the best.
 
     The better of best-fit decreasing and the first dive of bin completion is the incumbent. If it is over the bound
@@ -229,57 +274,90 @@ def complete_bins(counts: dict[int, int], capacity: int, nodes: int = 120_000) -
     plan = min((_merged(best_fit(counts, capacity)), _merged(dive(counts, capacity))), key=size)
     least = lower_bound(counts, capacity)
     if size(plan) > least:
-        bins, ended, spent = branch_and_bound(counts, capacity, size(plan), nodes // 6)
+        bins, ended, spent = branch_and_bound(counts, capacity, size(plan), nodes // 16)
         nodes -= spent
         while bins:
             plan = _merged(bins)
-            bins, ended, spent = branch_and_bound(counts, capacity, size(plan), nodes // 6) if size(plan) > least else (None, True, 0)
+            bins, ended, spent = branch_and_bound(counts, capacity, size(plan), nodes // 16) if size(plan) > least else (None, True, 0)
             nodes -= spent
         if ended:
             return Packed(plan, size(plan), least, True)
-    rng = np.random.default_rng(0)
-    while size(plan) > least and nodes > 0:
-        plan, spent = _repacked(plan, capacity, rng)
-        nodes -= spent
+    bins = _Bins(plan, capacity)
+    while bins.n > least and nodes > 0:
+        nodes -= bins.repack()
+    plan = bins.plan()
     return Packed(plan, size(plan), least, size(plan) == least)
 
 
-def _repacked(plan: Plan, capacity: int, rng) -> tuple[Plan, int]:
-    """The plan with some bins packed again if that gathers their waste: the fullest k - 1 of k bins hold more than before."""
-    loose = [(f, capacity - sum(f)) for f, _ in plan if sum(f) < capacity]
-    loose.sort(key=lambda x: -x[1])
-    k = int(rng.integers(2, 7))
-    weights = np.array([w for _, w in loose], float) + 1
-    some = rng.choice(len(loose), min(k, len(loose)), replace=False, p=weights / weights.sum())
-    taken = [loose[i][0] for i in some]
-    several = [f for f, _ in plan if len(f) > 1]
-    if several:
-        chosen = [several[i] for i in rng.choice(len(several), min(len(several), int(rng.integers(2, 12))), replace=False)]
-        taken += [f for f in chosen if f not in taken]
-    counts: dict[int, int] = {}
-    for f in taken:
-        for s in f:
-            counts[s] = counts.get(s, 0) + 1
-    again, spent, waste, before = [], 0, 0, sorted((capacity - sum(f) for f in taken), reverse=True)
-    left = counts
-    while left:  # a dive that now and then leaves the first filling
-        options = _around_largest(left, capacity)
-        filling = next(options)
-        for _ in range(int(rng.integers(0, 3))):
-            other = next(options, None)
+class _Bins:
+    """A plan whose bins are taken apart and packed again some at a time; a step costs what it changes, whatever the plan's length."""
+
+    def __init__(self, plan: Plan, capacity: int):
+        self.capacity, self.rng = capacity, np.random.default_rng(0)
+        self.times = dict(plan)
+        self.n = sum(self.times.values())
+        self.known = list(self.times)  # every filling met, also those gone
+        self.place = {f: k for k, f in enumerate(self.known)}
+        self.weights = np.array([self._weight(f) for f in self.known], float)  # of wasteful ones, by which they are drawn
+
+    def _weight(self, filling: tuple[int, ...]) -> int:
+        waste = self.capacity - sum(filling)
+        return waste + 1 if waste else 0
+
+    def plan(self) -> Plan:
+        return [(f, t) for f, t in self.times.items() if t]
+
+    def _add(self, filling: tuple[int, ...], by: int) -> None:
+        if filling not in self.place:
+            self.place[filling] = len(self.known)
+            self.known.append(filling)
+            if len(self.known) > len(self.weights):
+                self.weights = np.concatenate([self.weights, np.zeros(len(self.weights) + 1)])
+        t = self.times[filling] = self.times.get(filling, 0) + by
+        self.weights[self.place[filling]] = self._weight(filling) if t else 0
+        self.n += by
+
+    def _drawn(self) -> list[tuple[int, ...]]:
+        """Up to six wasteful fillings, the likelier the more they waste, and some others of several pieces."""
+        rng, taken = self.rng, {}
+        sums = np.cumsum(self.weights)
+        for x in rng.random(int(rng.integers(2, 7))):
+            taken[self.known[min(int(np.searchsorted(sums, x * sums[-1], side="right")), len(self.known) - 1)]] = None
+        for k in rng.integers(0, len(self.known), int(rng.integers(2, 12))).tolist():
+            if len(self.known[k]) > 1:
+                taken[self.known[k]] = None
+        return [f for f in taken if self.times[f]]
+
+    def repack(self) -> int:
+        """Pack some bins again if that gathers their waste: the fullest k - 1 of k bins hold more than before. Gives the fillings looked at."""
+        taken = self._drawn()
+        counts: dict[int, int] = {}
+        for f in taken:
+            for s in f:
+                counts[s] = counts.get(s, 0) + 1
+        again, spent, waste, before = [], 1, 0, sorted((self.capacity - sum(f) for f in taken), reverse=True)
+        left = Left(counts, self.capacity)
+        while left.largest():  # a dive that now and then leaves the first filling
+            options = left.around_largest()
+            filling = next(options)
+            for _ in range(int(self.rng.integers(0, 3))):
+                other = next(options, None)
+                spent += 1
+                if other is None or waste + self.capacity - sum(other) >= sum(before):
+                    break
+                if sum(other) == sum(filling):
+                    filling = other
             spent += 1
-            if other is None or waste + capacity - sum(other) >= sum(before):
-                break
-            if sum(other) == sum(filling):
-                filling = other
-        spent += 1
-        again.append(filling)
-        waste += capacity - sum(filling)
-        left = _without(left, filling)
-    after = sorted((capacity - sum(f) for f in again), reverse=True)
-    if len(again) < len(taken) or len(again) == len(taken) and after >= before and sum(w * w for w in after) >= sum(w * w for w in before):
-        return _merged([*plan, *((f, -1) for f in map(lambda f: tuple(sorted(f, reverse=True)), taken)), *((f, 1) for f in again)]), spent
-    return plan, spent
+            again.append(filling)
+            waste += self.capacity - sum(filling)
+            left.take(filling)
+        after = sorted((self.capacity - sum(f) for f in again), reverse=True)
+        if len(again) < len(taken) or len(again) == len(taken) and after >= before and sum(w * w for w in after) >= sum(w * w for w in before):
+            for f in taken:
+                self._add(f, -1)
+            for f in again:
+                self._add(tuple(sorted(f, reverse=True)), 1)
+        return spent
 
 
 # Pieces

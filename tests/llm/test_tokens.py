@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -242,3 +243,24 @@ def test_search_over_all_pieces_whatever_their_number():
         for s in filling:
             held[s] = held.get(s, 0) + times
     assert held == counts and found.bins == 503 and found.proved
+
+
+def test_a_step_of_the_search_costs_what_it_changes():
+    """40,000 pieces of nearly all lengths that fill 16,000 bins to the last token: many steps in a plan of thousands of fillings."""
+    r, counts = random.Random(11), {}
+    for _ in range(16_000):
+        a = r.randint(520, 1000)
+        b = 1024 - a
+        for s in (a, b) if b < 100 or r.random() < 0.5 else (a, b - 50, 50):
+            counts[s] = counts.get(s, 0) + 1
+    bins = packing._Bins(packing.best_fit(counts, 1024), 1024)
+    before, start = bins.n, time.process_time()
+    for _ in range(3_000):
+        bins.repack()
+    assert time.process_time() - start < 20
+    held = {}
+    for filling, times in bins.plan():
+        assert sum(filling) <= 1024 and times > 0
+        for s in filling:
+            held[s] = held.get(s, 0) + times
+    assert held == counts and bins.n == sum(t for _, t in bins.plan()) < before
