@@ -85,6 +85,15 @@ def passes(s: str) -> bool:
     return not low.startswith(_BEGINS) and not any(p in low for p in _PHRASES)
 
 
+_NO_LETTERS = re.compile("[^a-z]+").sub
+
+
+def may_hold(text: str | None, holding: tuple[str, ...]) -> bool:
+    """Whether a sentence of the text may hold one of these (letters a to z and spaces): what becomes a sentence loses other signs, or letters where it ends, so that the letters of what it holds follow each other in the text."""
+    letters = _NO_LETTERS("", (text or "").lower())
+    return any(_NO_LETTERS("", h) in letters for h in holding)
+
+
 def of_pages(pages: DataFrame, good: bool = False, holding: tuple[str, ...] = ()) -> DataFrame:
     """pages (doc_id, s) -> (doc_id, pos, s) of all sentences; good: squeezed, and only those that pass the quality filters; holding: only those with one of these in lower case."""
 
@@ -92,10 +101,14 @@ def of_pages(pages: DataFrame, good: bool = False, holding: tuple[str, ...] = ()
         for batch in batches:
             ids, places, texts = [], [], []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                for pos, s in enumerate(split(text.as_py())):
+                text = text.as_py()
+                if holding and not may_hold(text, holding):
+                    continue
+                for pos, s in enumerate(split(text)):
+                    s = " ".join(s.split()) if good else s
                     if holding and not any(map(s.lower().__contains__, holding)):
                         continue
-                    if not good or passes(s := " ".join(s.split())):
+                    if not good or passes(s):
                         ids.append(i)
                         places.append(pos)
                         texts.append(s)

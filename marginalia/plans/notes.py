@@ -101,13 +101,29 @@ def compose_bulleted_summary(spark, d):
     return N.summaries(N.centralities(N.deduped(prose_sentences(spark, d)), BY, together=True), together=True)
 
 
+DEFINING = 500_000  # scopes with a definition whose ids are held at once; beyond, the sentences of all are shuffled
+
+
 def definitions(spark, d, given=None):
     """(doc_id, pos, s, key, term, definition, centrality, score): sentences of the pool that define a fit term, with that term's own score."""
     s, x = F.col("s"), F.col("p")["definition"]
     fit = ~T.structural_noise(x) & ~T.exercise_prompt(x) & ~T.reference_line(x) & P.valid_term(F.col("p")["term"])
     pair = F.when(P.score_hint(s) >= 2, P.definition_pair(s))
     key = F.lower(F.regexp_replace(F.col("p")["term"], r"^\p{Zs}+|\p{Zs}+\z", ""))
-    return N.scored_keys(good(spark, d) if given is None else given, BY, pair, fit, key, together=given is not None)
+    if given is not None:
+        return N.scored_keys(given, BY, pair, fit, key, together=True)
+    return N.scored_keys(S.of_pages(_of_defining(tables.probe_pages(spark, d), pair, fit), good=True), BY, pair, fit, key)
+
+
+def _of_defining(pages, pair, fit, most=None):
+    """The pages of all scopes in which a sentence defines a fit term: no other scope gives a row, and its sentences needn't meet."""
+    most = DEFINING if most is None else most
+    some = S.of_pages(pages, good=True, holding=T.DEFINITION_CUES).select("doc_id", pair.alias("p"))
+    ids = some.where(F.col("p").isNotNull()).where(fit).select("doc_id").distinct().limit(most + 1).collect()  # at most so many ids
+    if len(ids) > most:
+        return pages
+    held = F.broadcast(pages.sparkSession.createDataFrame([(r["doc_id"],) for r in ids], "held long"))
+    return pages.join(held, F.col("doc_id").eqNullSafe(F.col("held")), "left_semi")
 
 
 def _registry(spark, d, given=None):

@@ -92,3 +92,24 @@ def test_pool_and_exam(spark):
     assert pool and all(v == sorted(v) for v in by_doc.values())
     assert all(b.bullet and len(b.bullet) <= 180 for b in catalog.QUERIES["compose_bulleted_summary"](spark, SF).collect())
     assert {r.question for r in catalog.QUERIES["generate_short_answer"](spark, SF).collect()} >= {"Why are smooth convex losses much easier targets?"}
+
+
+def test_only_scopes_with_a_definition_are_folded(spark):
+    """The pages kept are those of scopes that define a term, whichever of their rows does and whatever splits its words; beyond the number of ids held all are kept."""
+    from pyspark.sql import functions as F
+
+    from marginalia.functions import prose as P
+    from marginalia.functions import text as T
+    from marginalia.operators import sentences as S
+    from marginalia.plans import notes
+
+    definition = "Gradient descent is de-\nfined as an optimization method that uses slopes to find the least value of functions."
+    plain = "Several quiet rivers carried wooden boats toward distant harbors during early winter mornings."
+    assert any("is defined as" in s for s in S.split(definition))
+    assert S.may_hold(definition, ("is defined as",)) and not S.may_hold(plain, tuple(T.DEFINITION_CUES)) and not S.may_hold(None, ("means",))
+    pages = spark.createDataFrame([(1, definition), (1, plain), (2, plain), (3, None), (None, definition), (None, plain)], "doc_id long, s string")
+    s = F.col("s")
+    pair, fit = F.when(P.score_hint(s) >= 2, P.definition_pair(s)), P.valid_term(F.col("p")["term"])
+    kept = lambda most: sorted((r.doc_id or 0, r.s or "") for r in notes._of_defining(pages, pair, fit, most).collect())
+    assert kept(None) == sorted([(1, definition), (1, plain), (0, definition), (0, plain)])
+    assert len(kept(1)) == pages.count()
