@@ -15,14 +15,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PIECE_ROWS, keeps, text_pieces, task
+from .common import PIECE_ROWS, cut, drop, keeps, text_pieces, task
 
 DIMENSIONS, N = 1024, 3
 SEED = 20_240_501
-SAMPLE_PER_LANGUAGE = 4000  # documents that a profile is learned from, about; all if there are fewer
 UNKNOWN = "und"
-SAMPLE_FOR_LIMITS = 2000  # documents that the limits of rejection are learned from, about
+FIXED = 2.0**32  # profiles are summed in fixed point, so that the order of the texts doesn't matter
+ODD_TEXTS = 1000  # one text in so many may be below what the limits of rejection take for the least
 GRAMS_KEPT = 40_000  # trigram vectors that a worker keeps, 40 MB
+GRAMS_AT_ONCE = 8_192
 
 
 @lru_cache(1)
@@ -65,22 +66,29 @@ class Grams:
             self.letters[code] = letter_vector(code)
         return self.letters[code]
 
+    def made(self, keys: np.ndarray) -> np.ndarray:
+        mask = np.uint64((1 << 21) - 1)
+        codes, at = np.unique(np.concatenate([keys & mask, keys >> np.uint64(21) & mask, keys >> np.uint64(42)]), return_inverse=True)
+        letters = np.array([self.letter(c) for c in codes.tolist()])
+        last, middle, first = at.reshape(3, -1)
+        out = letters[last]
+        out *= np.roll(letters, 1, axis=1)[middle]
+        out *= np.roll(letters, 2, axis=1)[first]
+        return out
+
     def of(self, keys: np.ndarray) -> np.ndarray:
-        """The vectors of sorted distinct trigrams."""
-        if len(self.keys) + len(keys) > GRAMS_KEPT:
-            self.clear()
+        """The vectors of sorted distinct trigrams, GRAMS_AT_ONCE at most."""
         at = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
         new = keys[self.keys[at] != keys] if len(self.keys) else keys
         if len(new):
-            mask = (1 << 21) - 1
-            made = np.empty((len(new), DIMENSIONS), np.int8)
-            for i, k in enumerate(new.tolist()):
-                made[i] = np.roll(self.letter(k >> 42), 2) * np.roll(self.letter(k >> 21 & mask), 1) * self.letter(k & mask)
-            keys_all = np.concatenate([self.keys, new])
-            rows = np.concatenate([self.rows, np.arange(len(self.vectors), len(self.vectors) + len(new))])
-            self.vectors = np.concatenate([self.vectors, made])
-            order = np.argsort(keys_all)
-            self.keys, self.rows = keys_all[order], rows[order]
+            if len(self.keys) + len(new) > GRAMS_KEPT:
+                self.keys, self.rows, new = self.keys[:0], self.rows[:0], keys
+            if not len(self.vectors):
+                self.vectors = np.empty((GRAMS_KEPT, DIMENSIONS), np.int8)  # touched as it fills
+            held = len(self.keys)
+            self.vectors[held : held + len(new)] = self.made(new)
+            place = np.searchsorted(self.keys, new)
+            self.keys, self.rows = np.insert(self.keys, place, new), np.insert(self.rows, place, np.arange(held, held + len(new)))
             at = np.searchsorted(self.keys, keys)
         return self.vectors[self.rows[at]]
 
@@ -92,15 +100,18 @@ def grams() -> Grams:
 
 def bundles(texts: list[str | None]) -> np.ndarray:
     """The unit vector of each text; zero for a text without letters."""
-    found = [trigrams(t) for t in texts]
-    out = np.zeros((len(texts), DIMENSIONS), np.float32)
-    for start in range(0, len(texts), 64):
+    return _bundles([trigrams(t) for t in texts])
+
+
+def _bundles(found: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    out = np.zeros((len(found), DIMENSIONS), np.float32)
+    for start in range(0, len(found), 64):
         some = found[start : start + 64]
         keys = np.unique(np.concatenate([k for k, _ in some]))
         if not len(keys):
             continue
-        for low in range(0, len(keys), GRAMS_KEPT // 2):  # texts in many scripts
-            part = keys[low : low + GRAMS_KEPT // 2]
+        for low in range(0, len(keys), GRAMS_AT_ONCE):
+            part = keys[low : low + GRAMS_AT_ONCE]
             counts = np.zeros((len(some), len(part)), np.float32)
             for i, (k, n) in enumerate(some):
                 mine = slice(np.searchsorted(k, part[0]), np.searchsorted(k, part[-1], side="right"))
@@ -117,23 +128,29 @@ def _sums(batches):
         langs = batch.column("lang").to_pylist()
         for k, (_, texts) in enumerate(text_pieces(batch)):
             for lang, v in zip(langs[k * PIECE_ROWS : k * PIECE_ROWS + len(texts)], bundles(texts)):
-                sums[lang] = sums.get(lang, 0) + v.astype(np.float64)
+                sums[lang] = sums.get(lang, 0) + np.rint(v * FIXED).astype(np.int64)
+    yield from _sent(sums)
+
+
+def _added(batches):
+    sums: dict[str, np.ndarray] = {}
+    for batch in batches:
+        for lang, v in zip(batch.column("lang").to_pylist(), batch.column("sum").to_pylist()):
+            sums[lang] = sums.get(lang, 0) + np.frombuffer(v, np.int64)
+    yield from _sent(sums)
+
+
+def _sent(sums: dict[str, np.ndarray]):
     if sums:
         yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([v.tobytes() for v in sums.values()])], ["lang", "sum"])
 
 
-def learn(docs: DataFrame, sample: int = SAMPLE_PER_LANGUAGE) -> dict[str, np.ndarray]:
-    """Unit profiles by language of the rows (doc_id, text, lang) with a text and a language; a bounded sample of each language by a hash of its ids."""
-    docs = docs.where("lang is not null and text is not null").select("doc_id", "text", "lang")
-    counts = {r["lang"]: r["count"] for r in docs.groupBy("lang").count().collect()}
-    if not counts:
-        return {}
-    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, sample / n))])
-    chosen = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < share[F.col("lang")] * 1_000_003)
-    out: dict[str, np.ndarray] = {}
-    for r in chosen.repartition(12, "doc_id").mapInArrow(_sums, "lang string, sum binary").collect():  # at most 12 rows a language
-        out[r["lang"]] = out.get(r["lang"], 0) + np.frombuffer(r["sum"])
-    return {k: v / np.linalg.norm(v) for k, v in sorted(out.items()) if np.linalg.norm(v)}
+def learn(docs: DataFrame) -> dict[str, np.ndarray]:
+    """Unit profiles by language, from all rows (text, lang) with a text and a language; other columns are ignored."""
+    form = "lang string, sum binary"
+    parts = docs.where("lang is not null and text is not null").select("text", "lang").mapInArrow(_sums, form)  # 8 kB for each task and language
+    sums = {r["lang"]: np.frombuffer(r["sum"], np.int64) / FIXED for r in parts.repartition("lang").mapInArrow(_added, form).collect()}
+    return {k: v / np.linalg.norm(v) for k, v in sorted(sums.items()) if np.linalg.norm(v)}
 
 
 def predict(docs: DataFrame, profiles: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -158,54 +175,91 @@ def predict(docs: DataFrame, profiles: dict[str, np.ndarray], id_col: str = "doc
 
 def scrambled(text: str) -> str:
     """The text with its letters in another order, the same each time: no language, but its letters and word lengths."""
-    letters = [c for c in text if c.isalpha()]
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).copy()
+    at = np.flatnonzero(_letters()[codes])
+    letters = codes[at]
     np.random.default_rng((SEED, len(letters))).shuffle(letters)
-    left = iter(letters)
-    return "".join(next(left) if c.isalpha() else c for c in text)
+    codes[at] = letters
+    return codes.tobytes().decode("utf-32-le", "surrogatepass")
+
+
+#: A place holds whether a text is as it was (bit 40), the bit length of its number of distinct trigrams (from bit 32), and its cosine as the bits of a float, which sort as the cosines do.
+PLAIN, LENGTH, LOW = 1 << 40, 32, 15
 
 
-def _scores(shared):
+def _places(shared):
     @task("language")
     def run(batches):
         for batch in batches:
             for _, texts in text_pieces(batch):
-                texts = [t or "" for t in texts]
-                for plain, some in ((True, texts), (False, [scrambled(t) for t in texts])):
-                    n = [len(trigrams(t)[0]) for t in some]
-                    yield pa.RecordBatch.from_arrays([pa.array([plain] * len(some)), pa.array([k.bit_length() for k in n], pa.int32()), pa.array(nearest(some, shared.value)[1])], ["plain", "bits", "score"])
+                for kind, some in ((PLAIN, texts), (0, [scrambled(t) for t in texts])):
+                    found = [trigrams(t) for t in some]
+                    cos = (_nearest(found, shared.value)[1] + 0.0).astype(np.float32).view(np.uint32).astype(np.int64)
+                    bits = np.array([len(k).bit_length() for k, _ in found], np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(kind + (bits << LENGTH) + cos)], ["place"])
 
     return run
 
 
-def limits(docs: DataFrame, profiles: dict[str, np.ndarray], sample: int = SAMPLE_FOR_LIMITS, least: int = 20) -> np.ndarray:
-    """The cosine under which a text of so many distinct trigrams (by bit length) is rejected, from about `sample` texts that a language is known of.
+def _counted(places: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct places in order, and how many rows there are up to each."""
+    rows = np.array(sorted(map(tuple, places.groupBy("place").count().collect())), np.int64).reshape(-1, 2)
+    return rows[:, 0], np.cumsum(rows[:, 1])
+
+
+def at_ranks(places: DataFrame, ranks) -> dict[int, tuple[int, list[float]]]:
+    """Of each group of places (all but the cosine), its size and its cosines at the ranks, from 0, that ranks(group, size) names.
+
+    Exact: rows are counted by the upper half of the cosine's bits, and then by all bits where a rank falls. The
+    driver gets at most 32,768 counts a group and half, whatever the number of rows.
+    """
+    high, upto = _counted(places.select(F.shiftright("place", LOW).alias("place")))
+    groups, first = np.unique(high >> (LENGTH - LOW), return_index=True)
+    start = np.append(0, upto)[first]
+    sizes = np.diff(np.append(start, upto[-1:]))
+    wanted = {g: (n, [a + r for r in ranks(g, n)]) for g, a, n in zip(groups.tolist(), start.tolist(), sizes.tolist())}
+    half = {r: int(np.searchsorted(upto, r, side="right")) for _, rs in wanted.values() for r in rs}
+    low, low_upto = _counted(places.where(F.shiftright("place", LOW).isin(sorted({int(high[k]) for k in half.values()}))))
+    value = {}
+    for r, k in half.items():
+        begin = int(np.searchsorted(low, high[k] << LOW))
+        before = low_upto[begin - 1] if begin else 0
+        skipped = upto[k - 1] if k else 0
+        place = low[np.searchsorted(low_upto, before + r - skipped, side="right")]
+        value[r] = float(np.uint32(place & ((1 << LENGTH) - 1)).view(np.float32))
+    return {g: (n, [value[r] for r in rs]) for g, (n, rs) in wanted.items()}
+
+
+def limits(docs: DataFrame, profiles: dict[str, np.ndarray], least: int = 20) -> np.ndarray:
+    """The cosine under which a text of so many distinct trigrams (by bit length) is rejected, from all texts that a language is known of.
 
     A third of the way from the median of the same texts with their letters scrambled to the least of the texts as
     they are; 0 where those meet or fewer than `least` texts of either kind tell, so that texts too short to judge stay.
+    The least is taken after one text in ODD_TEXTS, so that a few texts of no language that have one named don't
+    take the limit from a large corpus.
     """
-    docs = docs.where("lang is not null and text is not null").select("doc_id", "text")
-    n = docs.count()
     out = np.zeros(33)
-    if not profiles or not n:
+    if not profiles:
         return out
     shared = docs.sparkSession.sparkContext.broadcast(matrix(profiles))
-    chosen = docs.where(F.pmod(F.xxhash64("doc_id", F.lit("limits")), F.lit(1_000_003)) < min(1.0, sample / n) * 1_000_003).select("doc_id", "text")
-    found = chosen.repartition(12, "doc_id").mapInArrow(_scores(shared), "plain boolean, bits int, score double")
-    rows = found.groupBy("bits", "plain").agg(F.count("*").alias("n"), F.min("score").alias("low"), F.median("score").alias("middle")).collect()  # two for each bit length
-    real, mixed = ({r["bits"]: r for r in rows if r["plain"] == plain and r["n"] >= least} for plain in (True, False))
+    places = cut(docs.where("lang is not null and text is not null").select("text").mapInArrow(_places(shared), "place long"))  # two of 8 bytes a text
+    found = at_ranks(places, lambda group, n: [n // ODD_TEXTS] if group & PLAIN >> LENGTH else [(n - 1) // 2, n // 2])
+    drop(places)
     held = 0.0
     for bits in range(len(out)):
-        if bits in real and bits in mixed:
-            low, noise = real[bits]["low"], mixed[bits]["middle"]
-            held = max(held, noise + (low - noise) / 3) if low > noise else held
+        (real, low), (mixed, middle) = (found.get(kind + bits, (0, [])) for kind in (PLAIN >> LENGTH, 0))
+        if min(real, mixed) >= max(1, least):
+            noise = sum(middle) / 2
+            held = max(held, noise + (low[0] - noise) / 3) if low[0] > noise else held
         out[bits] = held
     return out
 
 
 def accepted(texts: list[str | None], profiles: tuple[list[str], np.ndarray], least: np.ndarray) -> list[bool]:
     """Whether each text is in a language of the profiles: it has letters, and its cosine reaches the limit for its number of distinct trigrams."""
-    names, cos = nearest(texts, profiles)
-    bits = [min(len(least) - 1, len(trigrams(t)[0]).bit_length()) for t in texts]
+    found = [trigrams(t) for t in texts]
+    names, cos = _nearest(found, profiles)
+    bits = [min(len(least) - 1, len(k).bit_length()) for k, _ in found]
     return [name != UNKNOWN and c >= least[b] for name, c, b in zip(names, cos, bits)]
 
 
@@ -215,9 +269,13 @@ def matrix(profiles: dict[str, np.ndarray]) -> tuple[list[str], np.ndarray]:
 
 def nearest(texts: list[str | None], profiles: tuple[list[str], np.ndarray]) -> tuple[list[str], np.ndarray]:
     """The nearest language of each text and the cosine with it, at least 0; und and 0 where there is none."""
+    return _nearest([trigrams(t) for t in texts], profiles)
+
+
+def _nearest(found: list[tuple[np.ndarray, np.ndarray]], profiles: tuple[list[str], np.ndarray]) -> tuple[list[str], np.ndarray]:
     names, p = profiles
-    b = bundles(texts)
-    cos = b @ p.T if names else np.zeros((len(texts), 1), np.float32)
+    b = _bundles(found)
+    cos = b @ p.T if names else np.zeros((len(found), 1), np.float32)
     best, known = cos.argmax(axis=1), b.any(axis=1) & bool(names)
     return [names[k] if ok else UNKNOWN for k, ok in zip(best, known)], np.where(known, np.clip(cos[np.arange(len(best)), best].astype(np.float64), 0, 1), 0.0)
 

@@ -98,3 +98,63 @@ def test_scrambled_texts_keep_their_letters():
 def test_limits_without_samples(spark):
     none = spark.createDataFrame([], "doc_id long, text string, lang string")
     assert not langid.limits(none, {}).any() and langid.accepted(["abc", None, "12"], langid.matrix({}), langid.limits(none, {})) == [False, False, False]
+
+
+def beginnings(spark, rows):
+    """The first 90 characters of documents, most with their language named."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id < %d" % rows)
+    return docs.selectExpr("doc_id", "left(text, 90) AS text", "if(doc_id % 11 = 0, null, lang) AS lang").repartition(5)
+
+
+def test_profiles_are_learned_from_all_rows(spark):
+    docs = beginnings(spark, 10_000)
+    rows = docs.where("lang = 'en' and text is not null").collect()
+    assert len(rows) > 5000
+    want = langid.bundles([r.text for r in rows]).astype(float).sum(axis=0)
+    got = langid.learn(docs)
+    assert np.allclose(got["en"], want / np.linalg.norm(want), atol=1e-6)
+    again = langid.learn(docs.repartition(3, "text"))
+    assert all(np.allclose(got[k], again[k], atol=1e-7) for k in got)
+
+
+def test_limits_are_learned_from_all_rows(spark):
+    docs = beginnings(spark, 6000)
+    profiles = langid.learn(docs)
+    texts = [r.text for r in docs.where("lang is not null and text is not null").collect()]
+    assert len(texts) > 5000
+    kinds = []
+    for some in (texts, [langid.scrambled(t) for t in texts]):
+        found = {}
+        for t, c in zip(some, langid.nearest(some, langid.matrix(profiles))[1]):
+            found.setdefault(len(langid.trigrams(t)[0]).bit_length(), []).append(c)
+        kinds.append({k: sorted(v) for k, v in found.items() if len(v) >= 20})
+    assert max(map(len, kinds[0].values())) > 2000  # some limit rests on more texts than one that it passes over
+    want, held = np.zeros(33), 0.0
+    for bits in range(33):
+        if all(bits in k for k in kinds):
+            low, noise = kinds[0][bits][len(kinds[0][bits]) // 1000], np.median(kinds[1][bits])
+            held = max(held, noise + (low - noise) / 3) if low > noise else held
+        want[bits] = held
+    assert want.any() and np.allclose(langid.limits(docs, profiles), want, atol=1e-5)
+
+
+def test_few_texts_of_no_language_leave_the_limits(spark):
+    docs = beginnings(spark, 6000).where("length(text) = 90")
+    profiles = langid.learn(docs)
+    junk = spark.createDataFrame([(-k, langid.scrambled("qzxj vkwq " * 9 + "k" * k), "en") for k in range(1, 4)], docs.schema)
+    clean, mixed = langid.limits(docs, profiles), langid.limits(docs.union(junk), profiles)
+    assert clean.max() > 0.1 and np.allclose(clean, mixed, atol=0.02)
+
+
+def test_ranks_are_those_of_the_sorted_rows(spark):
+    rng = np.random.default_rng(3)
+    scores = np.concatenate([rng.random(3000).astype(np.float32), np.float32([0, 0, 1, 1, 0.5] * 40), np.float32(0.7) + np.arange(400, dtype=np.float32) * np.float32(6e-8)])
+    groups = rng.choice([3, 4, 9, 256 + 4, 256 + 33], len(scores))
+    groups[:1] = 7
+    df = spark.createDataFrame([((int(g) << 32) + int(s.view(np.uint32)),) for g, s in zip(groups, scores)], "place long")
+    got = langid.at_ranks(df, lambda group, n: sorted({0, n // 1000, n // 3, (n - 1) // 2, n // 2, n - 1}))
+    assert set(got) == set(groups.tolist())
+    for g, (n, values) in got.items():
+        mine = np.sort(scores[groups == g])
+        assert n == len(mine) and values == [float(mine[r]) for r in sorted({0, n // 1000, n // 3, (n - 1) // 2, n // 2, n - 1})]
+    assert langid.at_ranks(df.limit(0), lambda group, n: [0]) == {}
