@@ -16,10 +16,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHE_WORDS, GOLD, MIX_A, keeps, mix, text_pieces, task
+from .common import CACHE_WORDS, GOLD, MIX_A, cut, distinct_sorted, drop, keeps, mix, release, text_pieces, task
 
-SAMPLE_PER_CLASS = 3000  # labelled rows of each class that the model is fitted to, about; all if there are fewer
-LEAST_TEXTS = 3  # of the sample that an n-gram of the model is in
+GROUP_ROWS = 6000  # labelled rows that one model is fitted to, about; more rows make more groups, and the model is the mean of theirs
+LEAST_OF_CLASS = 1500  # rows of each class in a group, about; those of a rarer class are in several groups
+LEAST_TEXTS = 3  # of a group that an n-gram of its model is in
 SMOOTHING, COST, EPOCHS = 1.0, 0.05, 12
 
 _runs = regex.compile(r"(?P<title>\p{Lu}(?:\p{Ll}|\p{M})+)|(?P<upper>\p{Lu}+)|(?P<lower>\p{L}+)|(?P<digits>\p{N}+)").sub
@@ -68,11 +69,11 @@ class Model:
         self.keys, self.weights, self.bias, self.slope, self.shift = keys, weights, bias, slope, shift
 
     def margin(self, text: str | None) -> float:
-        found = features(text)
+        found = distinct_sorted(features(text))
         if not len(found) or not len(self.keys):
             return self.bias
         at = np.minimum(np.searchsorted(self.keys, found), len(self.keys) - 1)
-        return float(self.weights[np.unique(at[self.keys[at] == found])].sum()) + self.bias
+        return float(self.weights[at[self.keys[at] == found]].sum()) + self.bias
 
     def score(self, text: str | None) -> float:
         return float(1 / (1 + np.exp(-np.clip(self.slope * self.margin(text) + self.shift, -30, 30))))
@@ -107,8 +108,8 @@ def fit(sets: list[np.ndarray], labels: np.ndarray) -> Model:
         return Model(np.empty(0, np.uint64), np.empty(0), 0.0 if not len(sets) else float(y[0]))
 
     def train(which):
-        keys, n = np.unique(np.concatenate([sets[i] for i in which] or [np.empty(0, np.uint64)]), return_counts=True)
-        keys = keys[n >= LEAST_TEXTS]
+        every = np.sort(np.concatenate([sets[i] for i in which] or [np.empty(0, np.uint64)]))
+        keys = distinct_sorted(every[LEAST_TEXTS - 1 :][every[LEAST_TEXTS - 1 :] == every[: max(0, len(every) - LEAST_TEXTS + 1)]])
         rows, good, bad = [], np.full(len(keys), SMOOTHING), np.full(len(keys), SMOOTHING)
         for i in which:
             at = np.minimum(np.searchsorted(keys, sets[i]), max(0, len(keys) - 1))
@@ -139,33 +140,49 @@ def fit(sets: list[np.ndarray], labels: np.ndarray) -> Model:
     return model
 
 
-def _fit_rows(batches):
-    ids, sets, labels = [], [], []
-    for batch in batches:
-        ids += batch.column("doc_id").to_pylist()
-        labels += batch.column("label").to_pylist()
-        for _, texts in text_pieces(batch):
-            sets += [np.unique(features(t)) for t in texts]
-    order = sorted(range(len(ids)), key=lambda i: (hashlib.blake2b(str(ids[i]).encode()).digest(), labels[i]))
-    m = fit([sets[i] for i in order], np.array([labels[i] for i in order], np.int64))
-    yield pa.RecordBatch.from_arrays([pa.array([m.keys.tobytes()]), pa.array([m.weights.astype(np.float32).tobytes()]), *(pa.array([x]) for x in (m.bias, m.slope, m.shift))], ["keys", "weights", "bias", "slope", "shift"])
-
-
-def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_PER_CLASS) -> Model:
-    """A model from the texts of docs (doc_id, text) and the rows (doc_id, label) of labels with label 0 or 1.
-
-    It is fitted to about `sample` rows of each class, by a hash of their ids. An id that is labelled twice counts
-    with its lower label. Without labelled texts all scores are 0.5.
+def _fitted(rows: pa.Table) -> pa.Table:
+    """The calibrated weights of the model of one group (doc_id, text, label), and its bias in a row without a key."""
+    ids, labels, sets = rows.column("doc_id").to_pylist(), rows.column("label").to_pylist(), []
+    try:
+        for batch in rows.select(["text"]).to_batches():
+            for _, texts in text_pieces(batch):
+                sets += [distinct_sorted(features(t)) for t in texts]
+        order = sorted(range(len(ids)), key=lambda i: (hashlib.blake2b(str(ids[i]).encode()).digest(), labels[i]))
+        m = fit([sets[i] for i in order], np.array([labels[i] for i in order], np.int64))
+    finally:
+        release("quality")
+    keys = pa.array(np.append(m.keys.view(np.int64), 0), mask=np.arange(len(m.keys) + 1) == len(m.keys))
+    return pa.table({"key": keys, "weight": np.append(m.weights * m.slope, m.bias * m.slope + m.shift)})
+
+
+def learn(docs: DataFrame, labels: DataFrame) -> Model:
+    """A model from the texts of docs (doc_id, text) and all rows (doc_id, label) of labels with label 0 or 1.
+
+    Rows are dealt by a hash of their ids into groups of about GROUP_ROWS; those of a class that would have fewer than
+    LEAST_OF_CLASS in a group are in several. Each group has its model, and the result is the mean of their calibrated
+    margins, over the n-grams that half of them know: as in one group, those of a small share of the texts or more,
+    so that the model doesn't grow with the rows. An id that is labelled twice counts with its lower label. Without
+    labelled texts all scores are 0.5.
     """
     rows = labels.where("label in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min(F.col("label").cast("int")).alias("label"))
     counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
-    share = F.when(F.col("label") == 1, min(1.0, sample / counts.get(1, 1))).otherwise(min(1.0, sample / counts.get(0, 1)))
-    chosen = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < share * 1_000_003)  # about 2 x sample rows of 12 bytes
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    r = texts.select("doc_id", "text", "label").repartition(1).mapInArrow(_fit_rows, "keys binary, weights binary, bias double, slope double, shift double").first()
-    if r is None:
+    groups = -(-sum(counts.values()) // GROUP_ROWS)
+    if not groups:
+        return Model(np.empty(0, np.uint64), np.empty(0), 0.0)
+    times = {k: min(groups, -(-LEAST_OF_CLASS * groups // n)) for k, n in counts.items()}
+    home, copies = F.pmod(F.xxhash64("doc_id"), F.lit(groups)), F.when(F.col("label") == 1, times.get(1, 1)).otherwise(times.get(0, 1))
+    texts = docs.select("doc_id", "text").join(rows.hint("merge"), "doc_id")  # labels may be of any number
+    dealt = texts.withColumn("group", F.explode(F.transform(F.sequence(F.lit(0), copies - 1), lambda k: F.pmod(home + k, F.lit(groups)))))
+    models = dealt.repartition(4 * groups, "group").groupBy("group").applyInArrow(lambda rows: _fitted(rows), "key long, weight double")
+    sums = cut(models.groupBy("key").agg(F.sum("weight").alias("weight"), F.count("*").alias("n")))
+    bias = sums.where("key is null").first()
+    if bias is None:
         return Model(np.empty(0, np.uint64), np.empty(0), 0.0)
-    return Model(np.frombuffer(r["keys"], np.uint64), np.frombuffer(r["weights"], np.float32), r["bias"], r["slope"], r["shift"])
+    known = sums.where(f"key is not null and 2 * n >= {bias['n']}").select("key", "weight").toArrow()
+    drop(sums)
+    keys, weights = known.column("key").to_numpy().view(np.uint64), known.column("weight").to_numpy()
+    order = np.argsort(keys)
+    return Model(keys[order], (weights[order] / bias["n"]).astype(np.float32), bias["weight"] / bias["n"])
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -158,3 +158,18 @@ def test_ranks_are_those_of_the_sorted_rows(spark):
         mine = np.sort(scores[groups == g])
         assert n == len(mine) and values == [float(mine[r]) for r in sorted({0, n // 1000, n // 3, (n - 1) // 2, n // 2, n - 1})]
     assert langid.at_ranks(df.limit(0), lambda group, n: [0]) == {}
+
+
+def test_quality_model_is_learned_from_all_labelled_rows(spark):
+    """The marked texts are those that the hash of ids, by which rows are dealt, puts last."""
+    docs = spark.range(9000).selectExpr("id AS doc_id", "concat('w', id % 7, ' v', id % 5, if(id % 2 = 1, ' good', ' bad'), if(pmod(xxhash64(id), 1000003) >= 700000, ' marked', '')) AS text", "cast(id % 2 AS int) AS label")
+    model = quality.learn(docs, docs.select("doc_id", "label"))
+    assert quality._hash("marked") in set(model.keys.tolist())
+    assert model.score("w1 v1 good") > 0.9 > 0.1 > model.score("w1 v1 bad")
+    assert (np.diff(model.keys.astype(object)) > 0).all()
+
+
+def test_quality_model_of_a_rare_class(spark):
+    docs = spark.range(13_000).selectExpr("id AS doc_id", "concat('w', id % 7, ' v', id % 5, if(id % 1300 = 0, ' bad worse', ' good')) AS text", "cast(id % 1300 <> 0 AS int) AS label")
+    model = quality.learn(docs, docs.select("doc_id", "label"))
+    assert model.score("w1 v1 good") > model.score("w1 v1 bad worse") + 0.2
