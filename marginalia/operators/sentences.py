@@ -85,6 +85,13 @@ def passes(s: str) -> bool:
     return not low.startswith(_BEGINS) and not any(p in low for p in _PHRASES)
 
 
+def marked(s: str) -> bool:
+    """Whether a squeezed text of 15 characters or more is structural noise, an exercise or a reference, as functions/text.py has them."""
+    low = s.lower()
+    listed = s.count(",") >= 4 and s.count(" ") + 1 < 15
+    return listed or low.startswith(_BEGINS) or any(p in low for p in _PHRASES) or bool(_NUMBERED(low)) or bool(_DATED(s)) and len(_YEAR(s)) >= 2
+
+
 _NO_LETTERS = re.compile("[^a-z]+").sub
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import prose as P
 from ..functions import text as T
+from ..operators import exam as E
 from ..operators import notes as N
 from ..operators import sentences as S
 from ..operators.joins import top_per_group
@@ -189,12 +190,8 @@ def generate_list(spark, d, given=None):
 
 
 def generate_exam_questions(spark, d):
-    """An exam of each scope: up to five definitions, four statements, four reasons and three lists, twenty in all."""
-    typed = lambda df, kind, rank: df.select("doc_id", F.lit(kind).alias("kind"), F.lit(rank).alias("o"), "n", "prompt")
-    short = top_per_group(generate_short_answer(spark, d).select("doc_id", "pos", F.col("question").alias("prompt")), ["doc_id"], [F.col("pos"), F.col("prompt")], 4, "n")
-    given = N.arranged(good(spark, d), BY)  # one shuffle for three kinds
-    rows = typed(generate_definitions(spark, d, given), "definition", 0).union(typed(generate_tf(spark, d, given), "tf", 2)).union(typed(short, "short", 3)).union(typed(generate_list(spark, d, given), "list", 4))
-    return top_per_group(rows, ["doc_id"], [F.col("o"), F.col("n")], 20, "place").select("doc_id", "place", "kind", "prompt")
+    """An exam of each scope: five definitions, four blanks, four statements, four reasons and three lists; kinds with more to ask fill it up to twenty."""
+    return E.exams(good(spark, d), BY)
 
 
 QUERIES = {f.__name__: f for f in (
