@@ -11,6 +11,7 @@ import unicodedata
 from bisect import insort
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from itertools import islice
 from typing import NamedTuple
 
@@ -57,25 +58,51 @@ _NO_TERM = frozenset(P.DETERMINERS + P.DISCOURSE + P.PRONOUNS + P.STEM_STOPWORDS
 _LETTERS, _DIGITS, _CITATIONS = (re.compile(p).findall for p in ("[a-zA-Z]+", "[0-9]", r"\[[0-9]+\]|\([0-9]{4}\)"))
 _BAD, _META, _YEAR = (re.compile(p, re.A).search for p in (P.BAD_STEM, P.META_TEXT, r"\d{4}"))
 _STRUCTURAL = re.compile("chapter|figure|table|page").search
+_DIGIT, _FIRST = re.compile("[0-9]").search, re.compile("[a-zA-Z]+").search
 _WORD = r"[\p{L}\p{M}\p{N}_]"
 _VERB = regex.compile(rf"(?<!{_WORD})(?:has|have|can|will|may|do|are|were)(?!{_WORD})|{_WORD}(?:ed|ing|s)(?!{_WORD})").search
+
+
+def has_verb(low: str) -> bool:
+    """Whether a word is a common verb or ends in s, ed or ing; most often one that a space follows."""
+    for end in ("s ", "ed ", "ing "):
+        if (at := low.find(end)) > 0 and low[at - 1].isalnum():
+            return True
+    return _VERB(low) is not None
+
+
 _re2 = lambda p, flags="i": re.compile(P.re2(p, flags).replace(r"\z", r"\Z"), re.A)
 _FORMS = [_re2(rf"^(.+?){p}(.+)$", "is").match for p in [*P.DEFINITION_PATTERNS, P.WEAK_DEFINITION]]
 _DEFINES_BY, _CITES = _re2(P.HAS_VERB).search, _re2(r"\d{4}|\bchapter\b|\bfig\.?\s*\d").search
 _LEADING = re.compile(r"^[\s,;\-–—]+")
 
 
-def hint(s: str, low: str) -> int:
+def _held(low: str, some) -> bool:
+    for w in some:  # half the time of any()
+        if w in low:
+            return True
+    return False
+
+
+def _count(found, s: str, *signs: str) -> int:
+    return len(found(s)) if _held(s, signs) else 0
+
+
+def hint(s: str, low: str, defines: bool | None = None) -> int:
     """score_hint of functions/prose.py."""
-    held = lambda some: any(w in low for w in some)
-    return 2 * held(T.DEFINITION_CUES) + held(P.CAUSAL_HINTS) - 2 * held(("figure", "table", "chapter")) - 2 * (len(_DIGITS(s)) > 2)
+    defines = _held(low, T.DEFINITION_CUES) if defines is None else defines
+    return 2 * defines + _held(low, P.CAUSAL_HINTS) - 2 * _held(low, ("figure", "table", "chapter")) - 2 * (_DIGIT(s) is not None and len(_DIGITS(s)) > 2)
 
 
+@lru_cache(4096)
 def fit_stem(s: str) -> bool:
-    """valid_stem of functions/prose.py."""
+    """valid_stem of functions/prose.py; what is bad holds one of a few signs or a digit."""
     s = s.strip()
+    first = _FIRST(s)
+    if not first or first[0].lower() in _STOP or _held(s, ("..", ";", ":", "  ")) or _held(s.lower(), ("page", "table", "figure", "chapter")):
+        return False
     words = _LETTERS(s)
-    return len(words) >= 4 and words[0].lower() not in _STOP and words[-1].lower() not in _STOP and not _BAD(s) and not _STRUCTURAL(s.lower())
+    return len(words) >= 4 and words[-1].lower() not in _STOP and not (_DIGIT(s) and _BAD(s))
 
 
 def fit_term(s: str) -> bool:
@@ -144,16 +171,19 @@ def why(s: str) -> tuple[str, str] | None:
 # What squeezed sentences share, as strong() and dedupe_key() of functions/prose.py have it
 
 
-_ARROWS = re.compile("[←→⇔⇐⇒↵↱↲↳↴]").sub
+_ARROWS, _ARROW = re.compile("[←→⇔⇐⇒↵↱↲↳↴�]").sub, re.compile("[←→⇔⇐⇒↵↱↲↳↴�]").search
 _DOTS, _COMMAS, _MARKS = (re.compile(p, re.A).sub for p in (r"\.{3,}", r"[,;]\s*[,;]+", "[^a-z0-9_ ']"))
-_ODD_MARKS = regex.compile(r"[^\p{L}\p{M}\p{N}_ ']").sub
+_ODD_MARKS = re.compile(r"[^\w ']").sub
+_mark = lambda m: m[0] if unicodedata.category(m[0])[0] == "M" else " "
 _squeeze = lambda s: " ".join(s.split())
 
 
 def strong(s: str) -> str:
     if not s.isascii():
-        s = unicodedata.normalize("NFKC", s).replace("�", "")
-        s = _squeeze(_ARROWS("", re.sub("([A-Za-z])↵([A-Za-z])", r"\1f\2", s)))
+        s = unicodedata.normalize("NFKC", s)
+        if _ARROW(s):
+            s = _ARROWS("", re.sub("([A-Za-z])↵([A-Za-z])", r"\1f\2", s.replace("�", "")))
+        s = _squeeze(s)
     if "-" in s:
         s = P._HYPHEN.sub(P._joined, P._HYPHEN.sub(P._joined, s))
     if "..." in s:
@@ -167,7 +197,7 @@ def strong(s: str) -> str:
 def keyed(s: str) -> tuple[str, str, str]:
     """(sentence, dedupe key, strong form in lower case)."""
     low = strong(s).lower()
-    return s, _squeeze((_MARKS if low.isascii() else _ODD_MARKS)(" ", low)), low
+    return s, _squeeze(_MARKS(" ", low) if low.isascii() else _ODD_MARKS(_mark, low)), low
 
 
 # The pool and the kinds
@@ -275,7 +305,7 @@ def blanks(pool: list[Candidate], supporting: set[str], labels: bool = False) ->
 
 def statements(pool: list[Candidate], labels: bool = False) -> Iterator[Question]:
     """Sentences of 40 to 200 characters with a verb and few citations. Splitting took their stops, so none is asked for unless labels are."""
-    fit = (c for c in pool if 40 <= len(c.s) <= 200 and c.hint >= -1 and len(_CITATIONS(c.s)) / max(c.n, 1) < 0.05 and _VERB(c.low))
+    fit = (c for c in pool if 40 <= len(c.s) <= 200 and c.hint >= -1 and _count(_CITATIONS, c.s, "[", "(") / max(c.n, 1) < 0.05 and has_verb(c.low))
     seen: set[str] = set()
     label = TO_JUDGE if labels else ""
     for c in diverse(fit):
@@ -286,7 +316,7 @@ def statements(pool: list[Candidate], labels: bool = False) -> Iterator[Question
 
 def reasons(pool: list[Candidate]) -> Iterator[Question]:
     seen: set[str] = set()
-    for c in diverse(c for c in pool if c.hint >= 0 and any(w in c.low for w in CAUSES)):
+    for c in diverse(c for c in pool if c.hint >= 0 and _held(c.low, CAUSES)):
         asked = why(c.s)
         if asked and asked[0].lower() not in seen:
             seen.add(asked[0].lower())
@@ -295,7 +325,7 @@ def reasons(pool: list[Candidate]) -> Iterator[Question]:
 
 def list_items(s: str, low: str) -> list[str] | None:
     """Three to seven items of up to six words each of a sentence that enumerates."""
-    if not any(w in low for w in ENUMERATIONS):
+    if not _held(low, ENUMERATIONS):
         return None
     items = [p for x in re.split(r"[,;]\s*|\s+and\s+", s) if len(p := x.strip()) >= 2 and len(p.split()) <= 6]
     return items if 3 <= len(items) <= 7 else None
@@ -355,9 +385,9 @@ def pooled(key: tuple, places: list[int], sentences: list[str]) -> tuple[list[Ca
     kept = [rows[k][0] for k in N.distinct_sentences(rows)]
     lows = [s.lower() for s in kept]
     counts = [s.count(" ") + 1 for s in kept]
-    columns = [list(range(len(kept))), kept, counts, [any(cue in low for cue in T.DEFINITION_CUES) for low in lows], [False] * len(kept)]
+    columns = [list(range(len(kept))), kept, counts, [_held(low, T.DEFINITION_CUES) for low in lows], [False] * len(kept)]
     scope, central = N._central(key, columns)
-    pool = [Candidate(s, low, n, hint(s, low), c, top) for s, low, n, (c, _, top) in zip(kept, lows, counts, central)]
+    pool = [Candidate(s, low, n, hint(s, low, defines), c, top) for s, low, n, defines, (c, _, top) in zip(kept, lows, *columns[2:4], central)]
     return sorted(pool, key=lambda c: (-c.central, -c.hint, c.s)), N.bundled(key, columns, scope, central, n_sentences=0), scope
 
 

@@ -42,7 +42,7 @@ def test_rules_are_those_of_the_columns(spark, sentences):
     defined = 0
     for r in columns.withColumn("marked", noisy).withColumn("fit", P.valid_term(F.col("p")["term"])).collect():
         low = r.s.lower()
-        assert (E.hint(r.s, low), E.fit_stem(r.s), E.fit_term(r.s), bool(E._VERB(low))) == (r.hint, r.stem, r.term, r.verb), r.s
+        assert (E.hint(r.s, low), E.fit_stem(r.s), E.fit_term(r.s), E.has_verb(low)) == (r.hint, r.stem, r.term, r.verb), r.s
         assert (E.strong(r.s), E.keyed(r.s)[1]) == (r.strong, r.key), r.s
         if not re.search(r"(\([^(]*\)[ ,;.]*){3}$", r.s):  # the Columns take off two citations, as the SQL does
             assert E.definition_pair(r.s) == (tuple(r.p) if r.p else None), r.s
