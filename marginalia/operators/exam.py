@@ -61,6 +61,8 @@ _STRUCTURAL = re.compile("chapter|figure|table|page").search
 _DIGIT, _FIRST = re.compile("[0-9]").search, re.compile("[a-zA-Z]+").search
 _WORD = r"[\p{L}\p{M}\p{N}_]"
 _VERB = regex.compile(rf"(?<!{_WORD})(?:has|have|can|will|may|do|are|were)(?!{_WORD})|{_WORD}(?:ed|ing|s)(?!{_WORD})").search
+_COMMON, _WORDS = frozenset("has have can will may do are were".split()), re.compile(r"\w+").findall
+_JOINING = re.compile(r"[^\w\x00-\x7f]").search  # a sign that may be a mark and so part of a word
 
 
 def has_verb(low: str) -> bool:
@@ -68,7 +70,12 @@ def has_verb(low: str) -> bool:
     for end in ("s ", "ed ", "ing "):
         if (at := low.find(end)) > 0 and low[at - 1].isalnum():
             return True
-    return _VERB(low) is not None
+    if _JOINING(low):
+        return _VERB(low) is not None
+    for w in _WORDS(low):
+        if w in _COMMON or w.endswith(("s", "ed", "ing")) and w not in ("s", "ed", "ing"):
+            return True
+    return False
 
 
 _re2 = lambda p, flags="i": re.compile(P.re2(p, flags).replace(r"\z", r"\Z"), re.A)
@@ -77,21 +84,14 @@ _DEFINES_BY, _CITES = _re2(P.HAS_VERB).search, _re2(r"\d{4}|\bchapter\b|\bfig\.?
 _LEADING = re.compile(r"^[\s,;\-–—]+")
 
 
-def _held(low: str, some) -> bool:
-    for w in some:  # half the time of any()
-        if w in low:
-            return True
-    return False
-
-
 def _count(found, s: str, *signs: str) -> int:
-    return len(found(s)) if _held(s, signs) else 0
+    return len(found(s)) if S.held(s, signs) else 0
 
 
 def hint(s: str, low: str, defines: bool | None = None) -> int:
     """score_hint of functions/prose.py."""
-    defines = _held(low, T.DEFINITION_CUES) if defines is None else defines
-    return 2 * defines + _held(low, P.CAUSAL_HINTS) - 2 * _held(low, ("figure", "table", "chapter")) - 2 * (_DIGIT(s) is not None and len(_DIGITS(s)) > 2)
+    defines = S.held(low, T.DEFINITION_CUES) if defines is None else defines
+    return 2 * defines + S.held(low, P.CAUSAL_HINTS) - 2 * S.held(low, ("figure", "table", "chapter")) - 2 * (_DIGIT(s) is not None and len(_DIGITS(s)) > 2)
 
 
 @lru_cache(4096)
@@ -99,7 +99,7 @@ def fit_stem(s: str) -> bool:
     """valid_stem of functions/prose.py; what is bad holds one of a few signs or a digit."""
     s = s.strip()
     first = _FIRST(s)
-    if not first or first[0].lower() in _STOP or _held(s, ("..", ";", ":", "  ")) or _held(s.lower(), ("page", "table", "figure", "chapter")):
+    if not first or first[0].lower() in _STOP or S.held(s, ("..", ";", ":", "  ")) or S.held(s.lower(), ("page", "table", "figure", "chapter")):
         return False
     words = _LETTERS(s)
     return len(words) >= 4 and words[-1].lower() not in _STOP and not (_DIGIT(s) and _BAD(s))
@@ -316,7 +316,7 @@ def statements(pool: list[Candidate], labels: bool = False) -> Iterator[Question
 
 def reasons(pool: list[Candidate]) -> Iterator[Question]:
     seen: set[str] = set()
-    for c in diverse(c for c in pool if c.hint >= 0 and _held(c.low, CAUSES)):
+    for c in diverse(c for c in pool if c.hint >= 0 and S.held(c.low, CAUSES)):
         asked = why(c.s)
         if asked and asked[0].lower() not in seen:
             seen.add(asked[0].lower())
@@ -325,7 +325,7 @@ def reasons(pool: list[Candidate]) -> Iterator[Question]:
 
 def list_items(s: str, low: str) -> list[str] | None:
     """Three to seven items of up to six words each of a sentence that enumerates."""
-    if not _held(low, ENUMERATIONS):
+    if not S.held(low, ENUMERATIONS):
         return None
     items = [p for x in re.split(r"[,;]\s*|\s+and\s+", s) if len(p := x.strip()) >= 2 and len(p.split()) <= 6]
     return items if 3 <= len(items) <= 7 else None
@@ -379,21 +379,21 @@ def drawn(kinds: dict[str, Iterator[Question]], wanted: dict[str, int] | None =
     return [q for q in out[:total] if sane(q)]
 
 
-def pooled(key: tuple, places: list[int], sentences: list[str]) -> tuple[list[Candidate], list[tuple], N.Scope]:
+def pooled(key: tuple, sentences: list[str]) -> tuple[list[Candidate], list[tuple], N.Scope]:
     """The candidates of a scope's good sentences in order, near duplicates gone, by centrality, hint and text; its bundles and its terms."""
     rows = list(map(keyed, dict.fromkeys(sentences)))
     kept = [rows[k][0] for k in N.distinct_sentences(rows)]
     lows = [s.lower() for s in kept]
     counts = [s.count(" ") + 1 for s in kept]
-    columns = [list(range(len(kept))), kept, counts, [_held(low, T.DEFINITION_CUES) for low in lows], [False] * len(kept)]
+    columns = [list(range(len(kept))), kept, counts, [S.held(low, T.DEFINITION_CUES) for low in lows], [False] * len(kept)]
     scope, central = N._central(key, columns)
     pool = [Candidate(s, low, n, hint(s, low, defines), c, top) for s, low, n, defines, (c, _, top) in zip(kept, lows, *columns[2:4], central)]
     return sorted(pool, key=lambda c: (-c.central, -c.hint, c.s)), N.bundled(key, columns, scope, central, n_sentences=0), scope
 
 
-def exam(key: tuple, places: list[int], sentences: list[str], wanted: dict[str, int] | None = None, total: int = 20, labels: bool = False) -> list[Question]:
+def exam(key: tuple, sentences: list[str], wanted: dict[str, int] | None = None, total: int = 20, labels: bool = False) -> list[Question]:
     """The questions of one scope. labels: stems are validated with their labels, whose colons let no blank, statement or enumeration pass, as in the reference."""
-    pool, bundles, scope = pooled(key, places, sentences)
+    pool, bundles, scope = pooled(key, sentences)
     kinds = {
         "definition": definitions(pool, lambda k: 0.0 if None in key else scope.score(k)), "fib": blanks(pool, {t for _, _, terms, _ in bundles for t in terms}, labels),
         "tf": statements(pool, labels), "short": reasons(pool), "list": lists(pool, bundles, labels),
@@ -407,5 +407,5 @@ def exams(good: DataFrame, by: list[str]) -> DataFrame:
     def fold(key, columns):
         return [(k + 1, q.kind, q.prompt, q.answer) for k, q in enumerate(exam(key, *columns))]
 
-    rows = good.select(*by, "pos", "s").repartition(*by).sortWithinPartitions(*by, "pos", "s")
+    rows = good.select(*by, "pos", "s").repartition(*by).sortWithinPartitions(*by, "pos", "s").select(*by, "s")
     return N.folded(rows, by, fold, "place int, kind string, prompt string, answer string")

@@ -63,7 +63,7 @@ def test_pool_is_that_of_the_candidates(spark):
     scopes = {}
     for r in sorted(notes.good(spark, SF).collect(), key=lambda r: (r.doc_id, r.pos)):
         scopes.setdefault(r.doc_id, []).append(r.s)
-    pools = {i: E.pooled((i,), list(range(len(s))), s)[0] for i, s in scopes.items()}
+    pools = {i: E.pooled((i,), s)[0] for i, s in scopes.items()}
     assert {(i, k + 1, c.central, c.hint, hashlib.md5(c.s.encode()).hexdigest()) for i, pool in pools.items() for k, c in enumerate(pool)} == want
 
 
