@@ -141,3 +141,18 @@ def test_near_duplicates_are_asked_once(spark):
     got = [(r.doc_id, r.prompt) for r in E.exams(rows, ["doc_id"]).where("kind = 'tf'").collect()]
     assert sorted(got, key=str) == sorted([(i, f"True or False: {s}") for i in (1, 2, None)], key=str)
     assert E.exams(rows, ["doc_id"])._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
+def test_rare_words_find_the_same_near_duplicates(monkeypatch):
+    r = random.Random(7)
+    words = [f"w{k}" for k in range(40)] + ["not", "increase", "decrease"]
+    base = [" ".join(["because", *(r.choice(words) for _ in range(25))]) for _ in range(30)]
+    rows = []
+    for _ in range(400):
+        w = r.choice(base).split()
+        w[r.randrange(len(w))] = r.choice(words)
+        rows.append((" ".join(w) + r.choice(("", " = 1")), " ".join(w), " ".join(w)))
+    want = N.distinct_sentences(rows)
+    monkeypatch.setattr(N, "MANY", 0)
+    assert N.distinct_sentences(rows) == want and 30 <= len(want) < 300
+    assert N.distinct_sentences([]) == []
